@@ -124,17 +124,16 @@ def token_array(vector: Column, sections: Sequence[Section]) -> Column:
         F.lit(0).alias("object"),
         (F.array(*counts) if counts else F.array(F.lit(0.0))).alias("values"),
     )
-    parts = [F.array(event)]
-    for s in sections:
-        n = len(s.columns)
-        parts.append(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(s.slots - 1)),
-                lambda i, s=s, n=n: F.struct(
-                    F.lit(s.group).alias("group"),
-                    i.alias("object"),
-                    F.slice(vector, F.lit(s.start + 1) + i * n, F.lit(n)).alias("values"),
-                ),
-            )
-        )
-    return F.concat(*parts)
+    return F.concat(F.array(event), *[_section_tokens(vector, s) for s in sections])
+
+
+def _section_tokens(vector: Column, section: Section) -> Column:
+    n = len(section.columns)
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(section.slots - 1)),
+        lambda i: F.struct(
+            F.lit(section.group).alias("group"),
+            i.alias("object"),
+            F.slice(vector, F.lit(section.start + 1) + i * n, F.lit(n)).alias("values"),
+        ),
+    )

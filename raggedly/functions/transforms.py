@@ -110,33 +110,29 @@ def expand_vector(
     vector: Column, sections: Sequence[Section], treatment: Treatment, strict: bool = True
 ) -> Column:
     """Apply every transform to a flat vector, in layout order; counts pass through."""
-    parts: list[Column] = []
-    for s in sections:
-        n = len(s.columns)
-        plain = all(treatment.transform_of(family_of(c)) == "identity" for c in s.columns)
-        if plain:
-            parts.append(F.slice(vector, s.start + 1, n * s.slots))
-        elif s.slots == 1:
-            parts.append(
-                _object_pieces(
-                    lambda i, s=s: F.get(vector, F.lit(s.start + i)), s.columns, treatment, strict
-                )
-            )
-        else:
-            starts = F.lit([s.start + obj * n for obj in range(s.slots)])
-            parts.append(
-                F.flatten(
-                    F.transform(
-                        starts,
-                        lambda at, s=s: _object_pieces(
-                            lambda i: F.get(vector, at + i), s.columns, treatment, strict
-                        ),
-                    )
-                )
-            )
-        if s.count:
-            parts.append(F.slice(vector, s.end, 1))
-    return F.concat(*parts)
+    return F.concat(*[_expand_section(vector, s, treatment, strict) for s in sections])
+
+
+def _expand_section(
+    vector: Column, section: Section, treatment: Treatment, strict: bool
+) -> Column:
+    start, n = section.start, len(section.columns)
+
+    def expanded_at(first: Column) -> Column:
+        return _object_pieces(
+            lambda i: F.get(vector, first + i), section.columns, treatment, strict
+        )
+
+    if all(treatment.transform_of(family_of(c)) == "identity" for c in section.columns):
+        objects = F.slice(vector, start + 1, n * section.slots)
+    elif section.slots == 1:
+        objects = expanded_at(F.lit(start))
+    else:
+        starts = F.lit([start + obj * n for obj in range(section.slots)])
+        objects = F.flatten(F.transform(starts, expanded_at))
+    if section.count:
+        return F.concat(objects, F.slice(vector, section.end, 1))
+    return objects
 
 
 def unknown_categories(x: Column, categories: Sequence[int]) -> Column:

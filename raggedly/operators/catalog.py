@@ -99,7 +99,8 @@ def dataset_summary(manifest: DataFrame, catalog: DataFrame) -> DataFrame:
     known = catalog.select("class_folder").distinct()
     counts = catalog.select("class_folder", "file", "n_rows")
     rows = (
-        manifest.join(known, "class_folder", "left_semi")
+        manifest.select("class_folder", "split", "file")
+        .join(known, "class_folder", "left_semi")
         .join(counts, ["class_folder", "file"], "left")
         .select("class_folder", "split", "file", "n_rows")
     )
@@ -141,7 +142,7 @@ def coverage(
         [(s, c, int(n)) for s, n in targets.items() for c in class_folders],
         "split string, class_folder string, needed long",
     )
-    counted = written.join(
+    counted = written.select("split", "class_folder", "file").join(
         catalog.select("class_folder", "file", "n_rows"), ["class_folder", "file"], "left"
     )
     rows = F.col("n_rows")

@@ -63,7 +63,7 @@ def macro_f1(scored_rows: DataFrame) -> DataFrame:
 
 def score_counts(scored_rows: DataFrame) -> DataFrame:
     """One-versus-rest positives and negatives per class and distinct score."""
-    rows = scored_rows.select("label", F.posexplode("probs").alias("class", "score"))
+    rows = scored_rows.select("label", F.posexplode_outer("probs").alias("class", "score"))
     positive = (F.col("label") == F.col("class")).cast("long")
     return rows.groupBy("class", "score").agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")

@@ -19,8 +19,8 @@ from ..functions.ordering import float_bucket
 CUTS = 1024
 
 
-def sampled_bucket(df: DataFrame, key: Column, cuts: int = CUTS) -> Column:
-    """Bucket of ``key`` (any orderable type, unique per row) by cut points in the data.
+def with_sampled_bucket(df: DataFrame, key: Column, cuts: int = CUTS) -> DataFrame:
+    """Add ``_bucket``: the place of ``key`` (orderable, unique per row) among cut points.
 
     The cut points are about ``cuts`` keys picked by hash, so they follow the data's
     own distribution and are the same in every task and every retry. They are a
@@ -34,39 +34,43 @@ def sampled_bucket(df: DataFrame, key: Column, cuts: int = CUTS) -> Column:
         .scalar()
     )
     # Twice the wanted number of cuts leaves room for the spread of the hash.
-    steps = [2**i for i in range(max(1, (2 * cuts - 1).bit_length()) - 1, -1, -1)]
-    return F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda at, step: F.when(
-            F.try_element_at(points, at + step) <= key, at + step
-        ).otherwise(at),
-    ).cast("long")
-
-
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+    steps = [2**i for i in reversed(range((2 * cuts - 1).bit_length()))]
+    # The optimizer folds the two projections into one, so no row carries the points.
+    return (
+        df.withColumn("_points", points)
+        .withColumn(
+            "_bucket",
+            F.aggregate(
+                F.lit(steps),
+                F.lit(0),
+                lambda at, step: F.when(
+                    F.try_element_at(F.col("_points"), at + step) <= key, at + step
+                ).otherwise(at),
+            ).cast("long"),
+        )
+        .drop("_points")
+    )
 
 
 def running(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str | Column],
-    bucket: Column,
+    bucket: Column | None = None,
     sums: Mapping[str, Column] | None = None,
     maxima: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums and maxima per ``by`` in ``order``.
 
-    ``bucket`` must not decrease along ``order``; ``order`` should be free of ties.
+    ``bucket`` must not decrease along ``order``; without one, cut points are taken
+    from the data. ``order`` must be free of ties within a group.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
-    work = df.withColumns(
-        {
-            "_bucket": bucket,
-            **{f"_in_{n}": c for n, c in {**sums, **maxima}.items()},
-        }
-    )
+    if bucket is None:
+        work = with_sampled_bucket(df, F.struct(*by, *order))
+    else:
+        work = df.withColumn("_bucket", bucket)
+    work = work.withColumns({f"_in_{n}": c for n, c in {**sums, **maxima}.items()})
     keys = [*by, "_bucket"]
     totals = work.groupBy(*keys).agg(
         *[F.sum(f"_in_{n}").alias(f"_all_{n}") for n in sums],

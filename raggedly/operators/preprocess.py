@@ -57,7 +57,7 @@ class Preprocessor:
         of_slot = [number[s.block] if self.kinds[s.block] in kinds else -1 for s in self.slots]
         return (
             self.expand(vectors)
-            .select(F.posexplode("x").alias("position", "value"))
+            .select(F.posexplode_outer("x").alias("position", "value"))
             .select(F.get(F.lit(of_slot), F.col("position")).alias("block"), "value")
             .where(F.col("block") >= 0)
         )
@@ -231,7 +231,7 @@ def unmasked_moments(vectors: DataFrame) -> DataFrame:
     from ..functions.normalizers import EPSILON
 
     return (
-        vectors.select(F.posexplode("x").alias("position", "value"))
+        vectors.select(F.posexplode_outer("x").alias("position", "value"))
         .groupBy("position")
         .agg(
             F.avg("value").alias("mean"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import running, sampled_bucket
+from .prefix import running
 
 
 def finished(runs: DataFrame, status: str = "FINISHED") -> DataFrame:
@@ -37,16 +37,14 @@ def group_best(runs: DataFrame, by: str, value: str) -> DataFrame:
 
 def epoch_index(history: DataFrame, run: str, order: Sequence[str]) -> DataFrame:
     """Number each run's measurements from zero in time order."""
-    bucket = sampled_bucket(history, F.struct(run, *order))
-    return running(history, [run], order, bucket, sums={"_n": F.lit(1)}).select(
+    return running(history, [run], order, sums={"_n": F.lit(1)}).select(
         *history.columns, (F.col("_n") - 1).alias("epoch")
     )
 
 
 def running_best(history: DataFrame, run: str, order: Sequence[str], value: str) -> DataFrame:
     """Best value so far within each run."""
-    bucket = sampled_bucket(history, F.struct(run, *order))
-    return running(history, [run], order, bucket, maxima={"best": F.col(value)})
+    return running(history, [run], order, maxima={"best": F.col(value)})
 
 
 def last_epoch(history: DataFrame, by: str, epoch: Column, keep: Sequence[str]) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import shuffle_bucket, shuffle_key
 from ..sources.sinks import table_or_none
-from .prefix import running, sampled_bucket
+from .prefix import running
 
 SPLITS = ("train", "val", "test")
 
@@ -60,10 +60,7 @@ def ratio_split(files: DataFrame, ratio: float, cap: int) -> DataFrame:
 
     A class stops at ``cap`` rows: ``take`` is what the last file still gives.
     """
-    n = running(
-        files, ["class_folder"], ["file"], sampled_bucket(files, F.struct("class_folder", "file")),
-        sums={"upto": F.col("n_rows")},
-    )
+    n = running(files, ["class_folder"], ["file"], sums={"upto": F.col("n_rows")})
     before = F.col("upto") - F.col("n_rows")
     held = F.least(F.col("upto"), F.lit(cap))
     return n.where(before < cap).select(
@@ -90,13 +87,11 @@ def with_empty_splits(manifest: DataFrame, class_folders: Sequence[str]) -> Data
     )
 
 
-def _numbered(files: DataFrame, order: Column) -> DataFrame:
-    return running(
-        files, [], [order], sampled_bucket(files, order), sums={"_position": F.lit(1)}
-    )
+def _numbered(files: DataFrame, order: Sequence[str]) -> DataFrame:
+    return running(files, [], order, sums={"_position": F.lit(1)})
 
 
-def job_chunks(files: DataFrame, order: Column, size: int = 50) -> DataFrame:
+def job_chunks(files: DataFrame, order: Sequence[str], size: int = 50) -> DataFrame:
     """Number the pending files and cut them into chunks of at most ``size``."""
     return _numbered(files, order).withColumn(
         "chunk", F.floor((F.col("_position") - 1) / size)
@@ -110,7 +105,7 @@ def chunk_manifests(chunks: DataFrame) -> DataFrame:
     )
 
 
-def worker_ranges(files: DataFrame, order: Column, workers: int) -> DataFrame:
+def worker_ranges(files: DataFrame, order: Sequence[str], workers: int) -> DataFrame:
     """Contiguous ranges of ceil(n / workers) files per worker."""
     n = files.agg(F.count("*").alias("n")).scalar()
     return _numbered(files, order).withColumn(

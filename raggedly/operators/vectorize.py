@@ -27,7 +27,7 @@ def vectorize(
 def tokens(vectors: DataFrame, sections: Sequence[Section], keep: Sequence[str]) -> DataFrame:
     """One row per token: position, group, object number and values."""
     return vectors.select(
-        *keep, F.posexplode(token_array(F.col("x"), sections)).alias("token", "t")
+        *keep, F.posexplode_outer(token_array(F.col("x"), sections)).alias("token", "t")
     ).select(*keep, "token", "t.group", "t.object", "t.values")
 
 

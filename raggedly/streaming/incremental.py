@@ -16,11 +16,17 @@ from ..sources.events import PARQUET_GLOB
 def stream_files(
     spark: SparkSession, path: str, schema: T.StructType | str, max_files: int | None = None
 ) -> DataFrame:
-    """Event shards as a stream; each file is taken once, also after a failure."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", PARQUET_GLOB)
+    """Event shards as a stream; each file is taken once, also after a failure.
+
+    ``path`` is a folder, or one file of a folder.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    pattern = place.getName() if single else PARQUET_GLOB
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.parquet(place.getParent().toString() if single else path)
 
 
 def append_available(df: DataFrame, path: str, checkpoint: str, partition_by=()) -> StreamingQuery:

@@ -455,7 +455,7 @@ def slot_blocks(spark, sf_dir):
     blocks = [s.block for s in expanded_slots(SECTIONS, plain)]
     return (
         order_vectors(spark, sf_dir)
-        .select(F.posexplode("x").alias("position", "v"))
+        .select(F.posexplode_outer("x").alias("position", "v"))
         .groupBy(F.get(F.lit(blocks), F.col("position")).alias("block"))
         .agg(F.count("*").alias("n_values"), F.count_if(F.col("v") != 0).alias("n_nonzero"))
     )

@@ -190,7 +190,7 @@ CHUNKS = f"""{SPLIT}, {TODO}, chunks AS (
 
 @query("job_chunks", f"WITH {CHUNKS} SELECT * FROM chunks")
 def job_chunks(spark, sf_dir):
-    return splits.job_chunks(todo(spark, sf_dir), F.struct("class_folder", "split", "file"))
+    return splits.job_chunks(todo(spark, sf_dir), ["class_folder", "split", "file"])
 
 
 @query(
@@ -208,10 +208,10 @@ def chunk_manifests(spark, sf_dir):
 @query(
     "worker_ranges",
     f"""WITH {FILES} SELECT *, ((row_number() OVER (ORDER BY class_folder, file) - 1)
-        // ceil((SELECT count(*) FROM files) / 6))::BIGINT AS worker FROM files""",
+        // ceil((SELECT count(*) FROM files) / 6)::BIGINT)::BIGINT AS worker FROM files""",
 )
 def worker_ranges(spark, sf_dir):
-    return splits.worker_ranges(order_files(spark, sf_dir), F.struct("class_folder", "file"), 6)
+    return splits.worker_ranges(order_files(spark, sf_dir), ["class_folder", "file"], 6)
 
 
 @query(

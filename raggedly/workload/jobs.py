@@ -61,7 +61,7 @@ def incremental_apply_query(spark, sf_dir):
     out, checkpoint = fresh_folder(spark, "applied"), fresh_folder(spark, "checkpoint")
     incremental_apply(stream.select("vec_id", x), model, out, checkpoint)
     done = spark.read.parquet(out)
-    return done.select("vec_id", F.posexplode("x").alias("position", "value")).select(
+    return done.select("vec_id", F.posexplode_outer("x").alias("position", "value")).select(
         "vec_id", "position", F.round("value", 6).alias("value")
     )
 
@@ -104,7 +104,7 @@ def _layer_sql(source: str, n_out: int, salt: int, relu: bool) -> str:
 def mlp_score_query(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
     out = mlp_score(vectors, rule_network())
-    return out.select("vec_id", F.posexplode("logits").alias("class", "logit")).select(
+    return out.select("vec_id", F.posexplode_outer("logits").alias("class", "logit")).select(
         "vec_id", "class", F.round("logit", 5).alias("logit")
     )
 
