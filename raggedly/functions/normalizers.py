@@ -84,23 +84,16 @@ def affine(kind: str, stats: Mapping[str, float]) -> Affine:
 
 
 def apply_affine(vector: Column, params: list[Affine]) -> Column:
-    """Normalize a whole vector; the parameters are literals, so nothing is joined."""
-    if all(p == Affine(0.0, 1.0, False) for p in params):
+    """Normalize a whole vector. The parameters are literals in compiled expressions."""
+    plain = Affine(0.0, 1.0, False)
+    if all(p == plain for p in params):
         return vector
-    literal = F.array(
-        *[
-            F.struct(
-                F.lit(float(p.shift)).alias("shift"),
-                F.lit(float(p.scale)).alias("scale"),
-                F.lit(p.keep_zero).alias("keep_zero"),
-            )
-            for p in params
-        ]
-    )
-    return F.zip_with(
-        vector,
-        literal,
-        lambda x, p: F.when(p["keep_zero"] & (x == 0), F.lit(0.0)).otherwise(
-            (x - p["shift"]) / p["scale"]
-        ),
-    )
+    slots = []
+    for i, p in enumerate(params):
+        x = F.get(vector, F.lit(i))
+        y = (x - p.shift) / p.scale
+        if p == plain:
+            slots.append(x)
+        else:
+            slots.append(F.when(x != 0, y).otherwise(F.lit(0.0)) if p.keep_zero else y)
+    return F.array(*slots)

@@ -9,12 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.layout import Section
-from ..plans.spec import EventSpec, ObjectGroup
-
-
-def _list(name: str, dtype: str) -> Column:
-    typed = F.col(name).cast(f"array<{dtype}>")
-    return F.coalesce(typed, F.array().cast(f"array<{dtype}>"))
+from ..plans.spec import ObjectGroup
 
 
 def object_count(name: str) -> Column:
@@ -22,85 +17,71 @@ def object_count(name: str) -> Column:
     return F.coalesce(F.size(F.col(name)), F.lit(0))
 
 
-def ranked_objects(columns: Sequence[str], dtype: str = "double") -> Column:
-    """Objects as ``array<struct<key, tie, c0, c1, ...>>``.
-
-    Struct order is (key, tie), so that a descending sort keeps earlier objects
-    first among equals. A NaN or null key ranks last. Lists of unequal length in
-    one event are an error, since zipping would invent nulls.
-    """
-    lists = [_list(c, dtype) for c in columns]
-    size = F.size(lists[0])
+def order_key(name: str, dtype: str = "double") -> Column:
+    """The list to rank by. A NaN becomes null, so that it ranks last."""
+    values = F.coalesce(F.col(name).cast(f"array<{dtype}>"), F.array().cast(f"array<{dtype}>"))
     nan = F.lit(float("nan")).cast(dtype)
-    key = F.when(
-        F.array_contains(lists[0], nan),
-        F.transform(lists[0], lambda v: F.when(~F.isnan(v), v)),
-    ).otherwise(lists[0])
-    tie = F.slice(F.sequence(F.lit(0), -size, F.lit(-1)), F.lit(1), size)
-    zipped = F.arrays_zip(
-        key.alias("key"), tie.alias("tie"), *[c.alias(f"c{i}") for i, c in enumerate(lists)]
-    )
-    if len(lists) == 1:
-        return zipped
-    same = reduce(lambda a, b: a & b, [F.size(c) == size for c in lists[1:]])
-    return F.when(same, zipped).otherwise(
-        F.raise_error(F.lit(f"lists of unequal length in {list(columns)}"))
-    )
+    return F.when(
+        F.array_contains(values, nan), F.transform(values, lambda v: F.when(~F.isnan(v), v))
+    ).otherwise(values)
 
 
-def _flattened(objects: Column, n: int, fill: float, dtype: str) -> Column:
-    fill_value = F.lit(fill).cast(dtype)
-    return F.flatten(
-        F.transform(
-            objects, lambda o: F.array(*[F.coalesce(o[f"c{i}"], fill_value) for i in range(n)])
-        )
-    )
-
+def kth_value(key: Column, k: int) -> Column:
+    """The k-th largest value; null if there are fewer."""
+    return F.try_element_at(F.sort_array(key, asc=False), F.lit(k))
 
-def _padded(values: Column, length: int, fill: float, dtype: str) -> Column:
-    padding = F.lit([float(fill)] * length).cast(f"array<{dtype}>")
-    return F.slice(F.concat(values, padding), 1, length)
 
+def leading_place(key: Column) -> Column:
+    """Zero-based place of the first largest value; negative if there is no object."""
+    unranked = F.when(F.size(key) > 0, F.lit(0)).otherwise(F.lit(-1))
+    return F.coalesce(F.array_position(key, F.array_max(key)).cast("int") - 1, unranked)
 
-def pack_topk(
-    columns: Sequence[str], k: int, fill: float = 0.0, dtype: str = "double"
-) -> Column:
-    """The k objects with the largest first column, object-major, padded with ``fill``."""
-    best = F.slice(F.sort_array(ranked_objects(columns, dtype), asc=False), 1, k)
-    return _padded(_flattened(best, len(columns), fill, dtype), k * len(columns), fill, dtype)
 
+def topk_places(key: Column, least: Column, k: int) -> Column:
+    """Places of the k largest values in falling order, earlier ones first among equals.
 
-def pack_leading(columns: Sequence[str], fill: float = 0.0, dtype: str = "double") -> Column:
-    """The object with the largest first column; one pass, no sort."""
-    best = F.array_max(ranked_objects(columns, dtype))
-    fill_value = F.lit(fill).cast(dtype)
-    return F.array(*[F.coalesce(best[f"c{i}"], fill_value) for i in range(len(columns))])
+    ``least`` is the k-th value. Sorting plain numbers to find it is cheap; only the
+    few objects at or above it are then put in order as (value, place). Both
+    arguments should be columns, since they are looked at for every element.
+    """
+    size = F.size(key)
+    places = F.slice(F.sequence(F.lit(0), size), F.lit(1), size)
+    near = F.when(
+        least.isNotNull(), F.filter(places, lambda i: F.get(key, i) >= least)
+    ).otherwise(places)
+    ranked = F.transform(near, lambda i: F.struct(F.get(key, i).alias("key"), (-i).alias("tie")))
+    return F.transform(F.slice(F.sort_array(ranked, asc=False), 1, k), lambda o: -o["tie"])
+
+
+def checked_places(group: ObjectGroup, places: Column) -> Column:
+    """The places, or an error if the lists of one event differ in length."""
+    if len(group.columns) == 1:
+        return places
+    size = object_count(group.columns[0])
+    same = reduce(lambda a, b: a & b, [object_count(c) == size for c in group.columns[1:]])
+    return F.when(same, places).otherwise(
+        F.raise_error(F.lit(f"lists of unequal length in group '{group.name}'"))
+    )
 
 
-def pack_scalars(columns: Sequence[str], fill: float = 0.0, dtype: str = "double") -> Column:
-    fill_value = F.lit(fill).cast(dtype)
-    return F.array(*[F.coalesce(F.col(c).cast(dtype), fill_value) for c in columns])
+def group_slots(
+    group: ObjectGroup, places: Column | None, fill: float = 0.0, dtype: str = "double"
+) -> list[Column]:
+    """A group's part of the flat vector, object-major, missing values filled, count last."""
 
+    def filled(value: Column) -> Column:
+        return F.coalesce(value.cast(dtype), F.lit(fill).cast(dtype))
 
-def pack_group(group: ObjectGroup, fill: float = 0.0, dtype: str = "double") -> Column:
     if group.topk is None:
-        packed = pack_scalars(group.columns, fill, dtype)
-    elif group.topk == 1:
-        packed = pack_leading(group.columns, fill, dtype)
-    else:
-        packed = pack_topk(group.columns, group.topk, fill, dtype)
+        return [filled(F.col(c)) for c in group.columns]
+    at = [places] if group.topk == 1 else [F.get(places, F.lit(i)) for i in range(group.topk)]
+    slots = [filled(F.get(F.col(c), i)) for i in at for c in group.columns]
     if group.count:
         n = F.coalesce(F.col(group.count_from), F.lit(0)) if group.count_from else object_count(
             group.columns[0]
         )
-        packed = F.concat(packed, F.array(n.cast(dtype)))
-    return packed
-
-
-def event_vector(spec: EventSpec, fill: float = 0.0, strict_float32: bool = False) -> Column:
-    """All groups in declared order as one ``array<double>`` (``array<float>`` if strict)."""
-    dtype = "float" if strict_float32 else "double"
-    return F.concat(*[pack_group(g, fill, dtype) for g in spec.groups])
+        slots.append(n.cast(dtype))
+    return slots
 
 
 def leading_slice(vector: Column, section: Section, n_columns: int | None = None) -> Column:

@@ -26,9 +26,9 @@ def log1p_signed(x: Column) -> Column:
     return nonzero(x, F.signum(x) * F.log1p(F.abs(x) + EPSILON))
 
 
-def trig_phi(x: Column) -> Column:
-    """(sin, cos) as an array; padding gives (0, 0), not (0, 1)."""
-    return F.array(nonzero(x, F.sin(x)), nonzero(x, F.cos(x)))
+def trig_phi(x: Column) -> list[Column]:
+    """Sine and cosine; padding gives (0, 0), not (0, 1)."""
+    return [nonzero(x, F.sin(x)), nonzero(x, F.cos(x))]
 
 
 def one_hot(x: Column, categories: Sequence[int], strict: bool = True) -> Column:
@@ -52,87 +52,68 @@ def one_hot(x: Column, categories: Sequence[int], strict: bool = True) -> Column
 
 
 class TransformRegistry:
-    """Name -> builder. A builder maps a Column to a Column (``arity`` 1) or an array."""
+    """Name -> builder from a Column to a Column, a list of Columns, or an array Column."""
 
     def __init__(self):
         self._builders: dict[str, tuple[Callable, bool]] = {}
 
-    def register(self, name: str, builder: Callable[..., Column], array: bool = False) -> None:
+    def register(self, name: str, builder: Callable, array: bool = False) -> None:
         self._builders[name] = (builder, array)
 
     @property
     def names(self) -> list[str]:
         return list(self._builders)
 
-    def array_of(
+    def apply(
         self, name: str, x: Column, family: str, treatment: Treatment, strict: bool = True
-    ) -> tuple[Column, bool]:
-        """The transformed column and whether it is an array."""
+    ) -> Column | list[Column]:
+        """Single values as a list; an array Column for transforms registered as such."""
         if name not in self._builders:
             raise ValueError(f"unknown transform '{name}'; available: {self.names}")
         builder, array = self._builders[name]
         if name == "onehot":
             if family not in treatment.categories:
                 raise ValueError(f"one-hot for family '{family}', which has no category list")
-            return builder(x, treatment.categories[family], strict), True
-        return builder(x), array
+            return builder(x, treatment.categories[family], strict)
+        out = builder(x)
+        return out if array or isinstance(out, list) else [out]
 
 
 TRANSFORMS = TransformRegistry()
 TRANSFORMS.register("identity", identity)
 TRANSFORMS.register("log1p", log1p_signed)
-TRANSFORMS.register("trig", trig_phi, array=True)
+TRANSFORMS.register("trig", trig_phi)
 TRANSFORMS.register("onehot", one_hot, array=True)
 
 
-def _object_pieces(value_of, columns, treatment: Treatment, strict: bool) -> Column:
-    """One object's expanded features; neighbouring single columns share one array."""
-    pieces: list[Column] = []
-    run: list[Column] = []
-    for i, name in enumerate(columns):
-        family = family_of(name)
-        column, is_array = TRANSFORMS.array_of(
-            treatment.transform_of(family), value_of(i), family, treatment, strict
-        )
-        if not is_array:
-            run.append(column)
-            continue
-        if run:
-            pieces.append(F.array(*run))
-            run = []
-        pieces.append(column)
-    if run:
-        pieces.append(F.array(*run))
-    return pieces[0] if len(pieces) == 1 else F.concat(*pieces)
-
-
 def expand_vector(
     vector: Column, sections: Sequence[Section], treatment: Treatment, strict: bool = True
 ) -> Column:
-    """Apply every transform to a flat vector, in layout order; counts pass through."""
-    return F.concat(*[_expand_section(vector, s, treatment, strict) for s in sections])
-
+    """Apply every transform to a flat vector, in layout order; counts pass through.
 
-def _expand_section(
-    vector: Column, section: Section, treatment: Treatment, strict: bool
-) -> Column:
-    start, n = section.start, len(section.columns)
-
-    def expanded_at(first: Column) -> Column:
-        return _object_pieces(
-            lambda i: F.get(vector, first + i), section.columns, treatment, strict
-        )
-
-    if all(treatment.transform_of(family_of(c)) == "identity" for c in section.columns):
-        objects = F.slice(vector, start + 1, n * section.slots)
-    elif section.slots == 1:
-        objects = expanded_at(F.lit(start))
-    else:
-        starts = F.lit([start + obj * n for obj in range(section.slots)])
-        objects = F.flatten(F.transform(starts, expanded_at))
-    if section.count:
-        return F.concat(objects, F.slice(vector, section.end, 1))
-    return objects
+    Every slot is a plain expression, so that the projection is compiled; only
+    one-hot slots are arrays, taken from a constant.
+    """
+    pieces: list[Column] = []
+    run: list[Column] = []
+    for s in sections:
+        n = len(s.columns)
+        for place in range(n * s.slots):
+            family = family_of(s.columns[place % n])
+            out = TRANSFORMS.apply(
+                treatment.transform_of(family), F.get(vector, F.lit(s.start + place)),
+                family, treatment, strict,
+            )
+            if isinstance(out, list):
+                run += out
+            else:
+                pieces += ([F.array(*run)] if run else []) + [out]
+                run = []
+        if s.count:
+            run.append(F.get(vector, F.lit(s.end - 1)))
+    if run:
+        pieces.append(F.array(*run))
+    return pieces[0] if len(pieces) == 1 else F.flatten(F.array(*pieces))
 
 
 def unknown_categories(x: Column, categories: Sequence[int]) -> Column:

@@ -46,7 +46,7 @@ class Preprocessor:
         x = F.when(F.size("x") == raw, F.col("x").cast("array<double>")).otherwise(
             F.raise_error(F.lit(f"vector width differs from the layout's {raw}"))
         )
-        checked = vectors.withColumn("x", x)
+        checked = vectors.withColumn("x", x)  # its own projection: every slot refers to it
         return checked.withColumn(
             "x", expand_vector(F.col("x"), self.sections, self.treatment, self.strict)
         )

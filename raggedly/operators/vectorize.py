@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.packing import event_vector, token_array
+from ..functions.packing import (
+    checked_places, group_slots, kth_value, leading_place, order_key, token_array, topk_places,
+)
 from ..plans.layout import Section
 from ..plans.spec import EventSpec
 
@@ -19,9 +21,42 @@ def vectorize(
     fill: float = 0.0,
     strict_float32: bool = False,
 ) -> DataFrame:
-    """One row per event: the kept columns and the flat vector ``x``. A narrow map."""
+    """One row per event: the kept columns and the flat vector ``x``. A narrow map.
+
+    What is used more than once (ranking keys, places of the kept objects) gets a
+    projection of its own; the slots are then plain, compiled expressions.
+    """
     spec.validate(events.schema)
-    return events.select(*keep, event_vector(spec, fill, strict_float32).alias("x"))
+    dtype = "float" if strict_float32 else "double"
+    jagged = [g for g in spec.groups if g.topk is not None]
+    firsts = {g.columns[0]: f"_key_{g.name}" for g in reversed(jagged)}
+    keyed = events.withColumns({key: order_key(c, dtype) for c, key in firsts.items()})
+    bounded = keyed.withColumns(
+        {
+            f"_least_{g.name}": kth_value(F.col(firsts[g.columns[0]]), g.topk)
+            for g in jagged
+            if g.topk > 1
+        }
+    )
+    placed = bounded.withColumns(
+        {
+            f"_places_{g.name}": checked_places(
+                g,
+                leading_place(F.col(firsts[g.columns[0]]))
+                if g.topk == 1
+                else topk_places(
+                    F.col(firsts[g.columns[0]]), F.col(f"_least_{g.name}"), g.topk
+                ),
+            )
+            for g in jagged
+        }
+    )
+    slots = [
+        slot
+        for g in spec.groups
+        for slot in group_slots(g, F.col(f"_places_{g.name}") if g in jagged else None, fill, dtype)
+    ]
+    return placed.select(*keep, F.array(*slots).alias("x"))
 
 
 def tokens(vectors: DataFrame, sections: Sequence[Section], keep: Sequence[str]) -> DataFrame:

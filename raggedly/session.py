@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Methods longer than this are never compiled by the JVM. Above it Spark splits a
+    # projection into small methods instead, which wide vectors need.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -51,3 +54,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/raggedly/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df, name: str):
+    """Write an intermediate result to the shared folder and read it back.
+
+    Used where several jobs need the same costly rows; a lost executor then costs a
+    re-read, not a re-computation.
+    """
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

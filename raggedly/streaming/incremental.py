@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.packing import event_vector
 from ..operators.preprocess import PreprocessModel
+from ..operators.vectorize import vectorize
 from ..plans.spec import EventSpec
 from ..sources.events import PARQUET_GLOB
 
@@ -48,8 +48,7 @@ def incremental_vectorize(
     events: DataFrame, spec: EventSpec, keep: list[str], path: str, checkpoint: str
 ) -> StreamingQuery:
     """Vectorize new event files and append them."""
-    spec.validate(events.schema)
-    return append_available(events.select(*keep, event_vector(spec).alias("x")), path, checkpoint)
+    return append_available(vectorize(events, spec, keep), path, checkpoint)
 
 
 def incremental_apply(

@@ -14,6 +14,7 @@ from ..operators.splits import greedy_split
 from ..operators.vectorize import vectorize
 from ..plans.layout import expanded_slots, raw_layout
 from ..plans.spec import Treatment
+from ..session import stored
 from .files import SEED, SPLIT, TARGETS
 from .registry import query
 from .tables import ORDER_SPEC, charge, item_features, order_events, table, wide, word_events
@@ -44,11 +45,9 @@ def log1p_query(spark, sf_dir):
         round(CASE WHEN {PHI} <> 0 THEN cos({PHI}) ELSE 0 END, 6) AS y_cos FROM lineitem""",
 )
 def trig_query(spark, sf_dir):
-    pair = trig_phi(F.col("l_discount") * 20 - 1)
-    return lines(spark, sf_dir, pair.alias("p")).select(
-        "l_orderkey", "l_linenumber", "l_partkey",
-        F.round(F.get("p", F.lit(0)), DIGITS).alias("y_sin"),
-        F.round(F.get("p", F.lit(1)), DIGITS).alias("y_cos"),
+    sin, cos = trig_phi(F.col("l_discount") * 20 - 1)
+    return lines(
+        spark, sf_dir, F.round(sin, DIGITS).alias("y_sin"), F.round(cos, DIGITS).alias("y_cos")
     )
 
 
@@ -285,6 +284,11 @@ def order_vectors(spark, sf_dir):
     )
 
 
+def stored_vectors(spark, sf_dir):
+    """Vectors as a table: a fit looks at them several times."""
+    return stored(order_vectors(spark, sf_dir), "vectors")
+
+
 def _stats_rows(stats):
     fitted = stats.where(F.col("kind") != "none")
     return rounded(fitted, ["block", "kind"], ["median", "iqr", "min", "max"])
@@ -303,7 +307,7 @@ def expanded_vector(spark, sf_dir):
 
 @query("block_stats", f"WITH {EXPANDED}, {_stats_sql('expanded')} {STATS_OUT}")
 def block_stats(spark, sf_dir):
-    return _stats_rows(Preprocessor(SECTIONS, TREATMENT).fit_stats(order_vectors(spark, sf_dir)))
+    return _stats_rows(Preprocessor(SECTIONS, TREATMENT).fit_stats(stored_vectors(spark, sf_dir)))
 
 
 @query(
@@ -317,7 +321,7 @@ def block_stats(spark, sf_dir):
 )
 def sample_block_stats(spark, sf_dir):
     """Statistics from the first files of each class's train split, as a fit does it."""
-    vectors = order_vectors(spark, sf_dir)
+    vectors = stored_vectors(spark, sf_dir)
     files = file_table(table_rows(vectors))
     placed = vectors.join(
         greedy_split(files, TARGETS, SEED).select("class_folder", "file", "split"),
@@ -354,7 +358,7 @@ def _normalized_sql() -> str:
 @query("preprocessed_vector", f"WITH {EXPANDED}, {_stats_sql('expanded')} {_normalized_sql()}")
 def preprocessed_vector(spark, sf_dir):
     """Pack, transform, fit and normalize: raw events to model input."""
-    vectors = order_vectors(spark, sf_dir)
+    vectors = stored_vectors(spark, sf_dir)
     plan = Preprocessor(SECTIONS, TREATMENT)
     model = plan.fit(vectors)
     return wide(model.transform(vectors), len(plan.slots), ["o_orderkey"], DIGITS)

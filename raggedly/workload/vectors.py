@@ -10,6 +10,7 @@ from ..operators.prefix import running
 from ..operators.vectorize import tokens, vectorize
 from ..functions.ordering import float_bucket
 from ..plans.layout import raw_layout
+from ..plans.spec import EventSpec, ObjectGroup
 from ..sources.events import with_label
 from .registry import query
 from .tables import (
@@ -59,16 +60,18 @@ words AS (
 
 @query("topk_pack", per_order(slot_list(ITEM_SLOTS)))
 def topk_pack(spark, sf_dir):
-    events = order_events(spark, sf_dir)
-    packed = events.select("o_orderkey", P.pack_topk(ITEM_COLUMNS, K).alias("x"))
-    return wide(packed, K * len(ITEM_COLUMNS), ["o_orderkey"])
+    spec = EventSpec((ObjectGroup("items", ITEM_COLUMNS, K),))
+    return wide(
+        vectorize(order_events(spark, sf_dir), spec, ["o_orderkey"]), spec.width, ["o_orderkey"]
+    )
 
 
 @query("leading_pack", per_order(slot_list(LEAD_SLOTS)))
 def leading_pack(spark, sf_dir):
-    events = order_events(spark, sf_dir, 1)
-    packed = events.select("o_orderkey", P.pack_leading(ITEM_COLUMNS[:2]).alias("x"))
-    return wide(packed, 2, ["o_orderkey"])
+    spec = EventSpec((ObjectGroup("lead", ITEM_COLUMNS[:2], 1),))
+    return wide(
+        vectorize(order_events(spark, sf_dir, 1), spec, ["o_orderkey"]), 2, ["o_orderkey"]
+    )
 
 
 @query("scalar_pack", f"SELECT o_orderkey, {slot_list([MET_SLOT, VERTEX_SLOT])} FROM orders GROUP BY 1")
@@ -77,8 +80,8 @@ def scalar_pack(spark, sf_dir):
         "o_orderkey", "o_totalprice",
         F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") / 100.0).alias("vertex"),
     )
-    packed = orders.select("o_orderkey", P.pack_scalars(["o_totalprice", "vertex"]).alias("x"))
-    return wide(packed, 2, ["o_orderkey"])
+    spec = EventSpec((ObjectGroup("totals", ("o_totalprice", "vertex"), None),))
+    return wide(vectorize(orders, spec, ["o_orderkey"]), 2, ["o_orderkey"])
 
 
 @query(
