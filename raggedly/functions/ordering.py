@@ -23,16 +23,16 @@ def float_bucket(x: Column, pieces: int = 1024) -> Column:
 
     Each factor of two is cut into ``pieces`` equal parts. A float32 has 2**23
     values per factor of two, so at most 2**23 / pieces distinct float32 values
-    share a bucket, whatever the data look like. NaN gives null.
+    share a bucket, whatever the data look like. NaN comes last, as in Spark's sort.
     """
     size = F.abs(x.cast("double"))
     power = F.floor(F.log2(size))
     part = F.floor((size / F.pow(F.lit(2.0), power) - 1) * pieces)
     rank = (power + 1100) * pieces + part
-    top = F.lit(2200 * pieces).cast("long")
+    top = F.lit(2200 * pieces).cast("long")  # above the bucket of any finite number
     magnitude = F.when(size == float("inf"), top).otherwise(rank)
     return (
-        F.when(F.isnan(x), F.lit(None).cast("long"))
+        F.when(F.isnan(x), top + 1)
         .when(x > 0, magnitude)
         .when(x < 0, -magnitude)
         .when(x == 0, F.lit(0).cast("long"))

@@ -4,19 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import shuffle_bucket, shuffle_key
-from .prefix import first_n, running
+from ..plans.spec import ClassList, EventSpec
+from ..sources.events import scan_files
+from .prefix import bounded, first_n, running
 
 
 def class_cap(
-    df: DataFrame, by: str, row_id: Sequence[Column], cap: int, seed: int = 42
+    df: DataFrame,
+    by: str,
+    row_id: Sequence[Column],
+    cap: int,
+    seed: int = 42,
+    n_classes: int | None = None,
 ) -> DataFrame:
     """Exactly ``cap`` rows per class (all of a smaller one), in seeded shuffle order."""
     keyed = df.withColumn("_key", shuffle_key(seed, *row_id))
-    return first_n(keyed, [by], ["_key"], shuffle_bucket(F.col("_key")), cap).drop("_key")
+    return first_n(
+        keyed, [by], ["_key"], shuffle_bucket(F.col("_key")), cap, n_classes
+    ).drop("_key")
 
 
 def file_limits(files: DataFrame, cap: int, seed: int = 42) -> DataFrame:
@@ -28,22 +37,46 @@ def file_limits(files: DataFrame, cap: int, seed: int = 42) -> DataFrame:
     )
     left = F.lit(cap) - (F.col("upto") - F.col("n_rows"))
     return placed.where(left > 0).select(
-        "class_folder", "file", F.least(left, F.col("n_rows")).alias("take")
+        "class_folder", "file", F.least(left, F.col("n_rows")).alias("take"), "n_rows"
     )
 
 
-def capped_scan(events: DataFrame, files: DataFrame, cap: int, seed: int = 42) -> DataFrame:
-    """Per-class cap on a file scan, without ranking any row.
+def capped_scan(
+    spark: SparkSession,
+    base_dir: str,
+    classes: ClassList,
+    catalog: DataFrame,
+    cap: int,
+    spec: EventSpec | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """Per-class cap on a scan of event shards, without ranking or shuffling any row.
 
-    The file table says how many rows each file still gives; the scan's own row
-    number then cuts inside the one file where the cap falls.
+    The catalogue says which files are needed, so the others are never opened. The
+    cap falls inside at most one file per class; there the scan's own row number
+    cuts.
     """
-    limits = file_limits(files, cap, seed)
-    return (
-        events.join(limits, ["class_folder", "file"])
-        .where(F.col("row") < F.col("take"))
-        .drop("take")
+    limits = file_limits(
+        catalog.where(F.col("class_folder").isin(classes.class_folders)), cap, seed
     )
+    # File names, as many as the scan's own file index holds on the driver anyway.
+    rows = limits.collect()
+    whole = [(r["class_folder"], r["file"]) for r in rows if r["take"] == r["n_rows"]]
+    cut = [(r["class_folder"], r["file"], r["take"]) for r in rows if r["take"] < r["n_rows"]]
+    parts = []
+    if whole:
+        parts.append(scan_files(spark, base_dir, whole, classes, spec))
+    if cut:
+        ends = spark.createDataFrame(cut, "class_folder string, file string, _take long")
+        parts.append(
+            scan_files(spark, base_dir, [c[:2] for c in cut], classes, spec)
+            .join(bounded(ends, len(cut)), ["class_folder", "file"])
+            .where(F.col("row") < F.col("_take"))
+            .drop("_take")
+        )
+    if not parts:
+        raise ValueError("the catalogue holds no rows of these classes")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def shuffled_files(files: DataFrame, seed: int = 42) -> DataFrame:

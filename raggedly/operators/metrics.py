@@ -91,20 +91,20 @@ def mean_auroc(scored_rows: DataFrame, empty: float | None = None) -> DataFrame:
 
 
 def roc(scored_rows: DataFrame) -> DataFrame:
-    """ROC points per class by falling threshold, without the (0, 0) start."""
-    counts = score_counts(scored_rows)
+    """ROC points per class by falling threshold, without the (0, 0) start.
+
+    A class without positives (negatives) has a null TPR (FPR).
+    """
     curve = running(
-        counts, ["class"], [F.col("score").desc()], float_bucket(-F.col("score")),
-        sums={"tp": F.col("pos"), "fp": F.col("neg")},
-    )
-    totals = counts.groupBy(F.col("class").alias("_class")).agg(
-        F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")
+        score_counts(scored_rows), ["class"], [F.col("score").desc()],
+        float_bucket(-F.col("score")),
+        sums={"tp": F.col("pos"), "fp": F.col("neg")}, totals=True,
     )
-    return curve.join(totals, F.col("class") == F.col("_class")).select(
+    return curve.select(
         "class",
         F.col("score").alias("threshold"),
-        F.try_divide(F.col("fp").cast("double"), F.col("_neg")).alias("fpr"),
-        F.try_divide(F.col("tp").cast("double"), F.col("_pos")).alias("tpr"),
+        F.try_divide(F.col("fp").cast("double"), F.col("fp_total")).alias("fpr"),
+        F.try_divide(F.col("tp").cast("double"), F.col("tp_total")).alias("tpr"),
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import float_bucket
 
 CUTS = 1024
+MAX_BROADCAST_ROWS = 100_000
 
 
 def with_sampled_bucket(df: DataFrame, key: Column, cuts: int = CUTS) -> DataFrame:
@@ -59,60 +60,74 @@ def running(
     bucket: Column | None = None,
     sums: Mapping[str, Column] | None = None,
     maxima: Mapping[str, Column] | None = None,
+    totals: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums and maxima per ``by`` in ``order``.
 
     ``bucket`` must not decrease along ``order``; without one, cut points are taken
-    from the data. ``order`` must be free of ties within a group.
+    from the data. ``order`` must be free of ties within a group. ``totals`` adds the
+    whole group's sums as ``<name>_total``.
+
+    Each bucket's starting value enters the bucket as one extra first row, so that no
+    join is needed and rows are shuffled once.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     if bucket is None:
         work = with_sampled_bucket(df, F.struct(*by, *order))
     else:
         work = df.withColumn("_bucket", bucket)
-    work = work.withColumns({f"_in_{n}": c for n, c in {**sums, **maxima}.items()})
+    inputs = {f"_in_{n}": c for n, c in {**sums, **maxima}.items()}
+    work = work.withColumns({**inputs, "_row": F.lit(1)})
     keys = [*by, "_bucket"]
-    totals = work.groupBy(*keys).agg(
-        *[F.sum(f"_in_{n}").alias(f"_all_{n}") for n in sums],
-        *[F.max(f"_in_{n}").alias(f"_all_{n}") for n in maxima],
-    )
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        *[F.sum(f"_all_{n}").over(before).alias(f"_base_{n}") for n in sums],
-        *[F.max(f"_all_{n}").over(before).alias(f"_base_{n}") for n in maxima],
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        work.groupBy(*keys)
+        .agg(
+            *[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums],
+            *[F.max(f"_in_{n}").alias(f"_in_{n}") for n in maxima],
+        )
+        .select(
+            *keys,
+            F.lit(0).alias("_row"),
+            *[F.sum(f"_in_{n}").over(before).alias(f"_in_{n}") for n in sums],
+            *[F.max(f"_in_{n}").over(before).alias(f"_in_{n}") for n in maxima],
+            *[F.sum(f"_in_{n}").over(group).alias(f"_of_{n}") for n in sums if totals],
+        )
     )
     inside = (
-        Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = work.select(
-        "*",
-        *[F.sum(f"_in_{n}").over(inside).alias(f"_run_{n}") for n in sums],
-        *[F.max(f"_in_{n}").over(inside).alias(f"_run_{n}") for n in maxima],
-    )
-    match = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
+        Window.partitionBy(*keys)
+        .orderBy("_row", *order)
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = ranked.join(start, match, "left")
-    return joined.select(
+    ranked = work.unionByName(starts, allowMissingColumns=True).select(
         *df.columns,
-        *[
-            (F.coalesce(F.col(f"_base_{n}"), F.lit(0)) + F.coalesce(F.col(f"_run_{n}"), F.lit(0)))
-            .alias(n)
-            for n in sums
-        ],
-        *[F.greatest(F.col(f"_base_{n}"), F.col(f"_run_{n}")).alias(n) for n in maxima],
+        "_row",
+        *[F.coalesce(F.sum(f"_in_{n}").over(inside), F.lit(0)).alias(n) for n in sums],
+        *[F.max(f"_in_{n}").over(inside).alias(n) for n in maxima],
+        *[F.max(f"_of_{n}").over(inside).alias(f"{n}_total") for n in sums if totals],
     )
+    return ranked.where(F.col("_row") == 1).drop("_row")
+
+
+def bounded(df: DataFrame, rows: int | None) -> DataFrame:
+    """Broadcast a table whose row count has a known, small bound; else leave it to Spark."""
+    return F.broadcast(df) if rows is not None and rows <= MAX_BROADCAST_ROWS else df
 
 
 def first_n(
-    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], bucket: Column, n: int
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str | Column],
+    bucket: Column,
+    n: int,
+    groups: int | None = None,
 ) -> DataFrame:
     """Exactly the first ``n`` rows of each group (all rows of smaller groups).
 
     Buckets before the one where the count passes ``n`` are taken whole by a filter;
-    only rows of that one bucket per group are shuffled and ranked.
+    only rows of that one bucket per group are shuffled and ranked. ``groups`` is an
+    upper bound of the number of groups, where the caller knows one.
     """
     work = df.withColumn("_bucket", bucket)
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -132,7 +147,7 @@ def first_n(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)],
     )
-    placed = work.join(edge, match, "left")
+    placed = work.join(bounded(edge, groups), match, "left")
     whole = placed.where(
         F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge._bucket"))
     ).select(*df.columns)
@@ -153,22 +168,24 @@ def order_statistics(
     fractions: Mapping[str, float],
     lower: Sequence[str] = (),
     pieces: int = 1 << 14,
+    groups: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group by linear interpolation, or the lower rank for ``lower``.
 
     A histogram over value buckets finds the buckets that hold the wanted ranks; a
     second look at the data ranks the distinct values of only those buckets. Neither
     step keeps a group's values in one place, unlike an exact ``percentile``.
+    ``groups`` is an upper bound of the number of groups, where the caller knows one.
     """
     work = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
         *by, F.col(value).cast("double").alias("_v"), float_bucket(F.col(value), pieces).alias("_b")
     )
-    groups = Window.partitionBy(*by)
-    before = groups.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = (
         work.groupBy(*by, "_b")
         .agg(F.count("*").alias("_c"))
-        .withColumn("_n", F.sum("_c").over(groups))
+        .withColumn("_n", F.sum("_c").over(group))
         .withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     )
     wanted = []
@@ -196,6 +213,7 @@ def order_statistics(
             "t.q", (F.col("t.r") - F.col("_base")).alias("_r"), "t.w",
         )
     )
+    targets = bounded(targets, None if groups is None else 2 * len(fractions) * groups)
     match = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],

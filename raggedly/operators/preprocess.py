@@ -14,7 +14,7 @@ from ..plans.layout import Section, check_width, expanded_layout, expanded_slots
 from ..plans.spec import Treatment
 from ..sources.events import first_files
 from ..sources.sinks import missing_outputs, pending, read_vectors, write_vectors, written_files
-from .prefix import order_statistics
+from .prefix import bounded, order_statistics
 
 STATS_SCHEMA = (
     "block string, kind string, mean double, std double, median double, iqr double, "
@@ -95,6 +95,7 @@ class Preprocessor:
                 order_statistics(
                     self.block_values(vectors, ["robust"]).where(F.col("value") != 0),
                     ["block"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, lower=["q50"],
+                    groups=len(self.blocks),
                 ),
                 "block",
                 "left",
@@ -175,11 +176,16 @@ class PreprocessModel:
         spark.createDataFrame(rows, STATS_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
 
 
-def fit_sample(vectors: DataFrame, n_files: int = 5) -> DataFrame:
+def fit_sample(vectors: DataFrame, class_folders: Sequence[str], n_files: int = 5) -> DataFrame:
     """Rows of the first ``n_files`` train files of each class, by name."""
-    train = vectors.where(F.col("split") == "train")
+    train = vectors.where(
+        (F.col("split") == "train") & F.col("class_folder").isin(list(class_folders))
+    )
     files = first_files(train.select("class_folder", "file").distinct(), n_files)
-    return train.join(files, ["class_folder", "file"], "left_semi")
+    # At most n_files rows per declared class.
+    return train.join(
+        bounded(files, n_files * len(class_folders)), ["class_folder", "file"], "left_semi"
+    )
 
 
 def apply_files(
@@ -218,7 +224,7 @@ def run(
     if mode == "apply_only":
         model = plan.load(spark, stats_path)
     else:
-        model = plan.fit(fit_sample(vectors, n_files))
+        model = plan.fit(fit_sample(vectors, class_folders, n_files))
         model.save(spark, stats_path)
     if mode != "fit_only":
         files = vectors.select("class_folder", "split", "file").distinct()

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import bounded
+
 
 def long_features(df: DataFrame, features: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """(by, feature, value) for a few named columns; nulls are left out."""
@@ -23,10 +25,13 @@ def long_features(df: DataFrame, features: Mapping[str, Column], by: Sequence[st
     )
 
 
-def histogram(values: DataFrame, bins: int, by: Sequence[str] = ("feature",)) -> DataFrame:
+def histogram(
+    values: DataFrame, bins: int, by: Sequence[str] = ("feature",), groups: int | None = None
+) -> DataFrame:
     """Counts in equal bins between minimum and maximum, the last bin closed.
 
     A constant feature is widened by a half on each side. Empty bins have no row.
+    ``groups`` is an upper bound of the number of histograms, where one is known.
     """
     keys = [f"_{k}" for k in by]
     ranges = values.groupBy(*[F.col(k).alias(a) for k, a in zip(by, keys)]).agg(
@@ -45,7 +50,7 @@ def histogram(values: DataFrame, bins: int, by: Sequence[str] = ("feature",)) ->
     place = F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins)
     step = (F.col("high") - F.col("low")) / bins
     return (
-        values.join(ranges, match)
+        values.join(bounded(ranges, groups), match)
         .groupBy(*by, "low", "high", F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count("*").alias("n"))
         .select(*by, "bin", (F.col("low") + F.col("bin") * step).alias("left_edge"), "n")

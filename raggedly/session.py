@@ -22,7 +22,12 @@ SETTINGS = {
 }
 
 
-def local_session(app: str = "raggedly", cores: str = "8", memory: str = "8g") -> SparkSession:
+_local_folders: dict[str, str] = {}
+
+
+def local_session(
+    app: str = "raggedly", cores: str = "8", memory: str = "8g", shared: str | None = None
+) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -31,6 +36,8 @@ def local_session(app: str = "raggedly", cores: str = "8", memory: str = "8g") -
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cores)
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -40,16 +47,15 @@ def local_session(app: str = "raggedly", cores: str = "8", memory: str = "8g") -
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see. Only a local session may fall back to a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", ""
-    )
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    base = tempfile.mkdtemp(prefix="raggedly-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="raggedly-")
+    return _local_folders[app]
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

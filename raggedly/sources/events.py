@@ -62,6 +62,13 @@ def with_label(df: DataFrame, classes: ClassList, on: str = "class_folder") -> D
     return df.join(F.broadcast(dim), on, "inner")
 
 
+def _placed(df: DataFrame, classes: ClassList, spec: EventSpec | None) -> DataFrame:
+    if spec:
+        spec.validate(df.schema)
+    kept = [*(spec.columns if spec else df.columns), "class_folder", "file", "row"]
+    return with_label(with_file(df).select(*kept), classes)
+
+
 def scan_classes(
     spark: SparkSession,
     base_dir: str,
@@ -71,13 +78,18 @@ def scan_classes(
 ) -> DataFrame:
     """All events of the listed class folders with class, file, row and label."""
     paths = [f"{base_dir}/{folder}" for folder in classes.class_folders]
-    columns = spec.columns if spec else None
-    df = scan(spark, paths, skip_corrupt=skip_corrupt)
-    if spec:
-        spec.validate(df.schema)
-    placed = with_file(df)
-    kept = [*(columns or df.columns), "class_folder", "file", "row"]
-    return with_label(placed.select(*kept), classes)
+    return _placed(scan(spark, paths, skip_corrupt=skip_corrupt), classes, spec)
+
+
+def scan_files(
+    spark: SparkSession,
+    base_dir: str,
+    files: Sequence[tuple[str, str]],
+    classes: ClassList,
+    spec: EventSpec | None = None,
+) -> DataFrame:
+    """Events of the named (class_folder, file) pairs; no other file is opened."""
+    return _placed(scan(spark, [f"{base_dir}/{c}/{f}" for c, f in files]), classes, spec)
 
 
 def scan_manifest(
@@ -89,12 +101,26 @@ def scan_manifest(
 ) -> DataFrame:
     """Events of the manifest's files only, with their split.
 
-    The manifest join is on the file's folder and name; Spark decides by the
-    manifest's actual size whether to broadcast it.
+    Files are chosen before the read, one scan per split, so no event is joined or
+    shuffled. The names pass through the driver, as a scan's file index does anyway.
     """
-    events = scan_classes(spark, base_dir, classes, spec)
-    files = manifest.where(F.col("split") != "unused").select("class_folder", "file", "split")
-    return events.join(files, ["class_folder", "file"], "inner")
+    names = (
+        manifest.where(
+            (F.col("split") != "unused") & F.col("class_folder").isin(classes.class_folders)
+        )
+        .select("split", "class_folder", "file")
+        .collect()
+    )
+    by_split: dict[str, list[tuple[str, str]]] = {}
+    for r in names:
+        by_split.setdefault(r["split"], []).append((r["class_folder"], r["file"]))
+    if not by_split:
+        raise ValueError("the manifest names no file of these classes")
+    out = None
+    for split, files in by_split.items():
+        part = scan_files(spark, base_dir, files, classes, spec).withColumn("split", F.lit(split))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def listing(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:

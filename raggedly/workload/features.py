@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import normalizers as N
 from ..functions.transforms import log1p_signed, one_hot, trig_phi, unknown_categories
 from ..operators.catalog import file_table
-from ..operators.prefix import order_statistics
+from ..operators.prefix import bounded, order_statistics
 from ..operators.preprocess import Preprocessor, fit_sample, unmasked_moments
 from ..operators.profile import distinct_values, histogram, long_features
 from ..operators.splits import greedy_split
@@ -17,7 +17,7 @@ from ..plans.spec import Treatment
 from ..session import stored
 from .files import SEED, SPLIT, TARGETS
 from .registry import query
-from .tables import ORDER_SPEC, charge, item_features, order_events, table, wide, word_events
+from .tables import CLASSES, ORDER_SPEC, charge, item_features, order_events, table, wide, word_events
 from .vectors import LINES, RAW_SLOTS, WORDS, slot_list
 
 DIGITS = 6
@@ -115,7 +115,7 @@ def standard_stats(spark, sf_dir):
 def robust_stats(spark, sf_dir):
     q = order_statistics(
         item_values(spark, sf_dir).where("value <> 0"), ["feature"], "value",
-        {"q25": 0.25, "q50": 0.5, "q75": 0.75}, lower=["q50"],
+        {"q25": 0.25, "q50": 0.5, "q75": 0.75}, lower=["q50"], groups=len(item_features()),
     )
     return q.select(
         "feature",
@@ -155,6 +155,7 @@ def applied(spark, sf_dir, stats, formula):
     """Join statistics (one row per declared feature) to the long values and apply them."""
     values = item_values(spark, sf_dir).where(F.col("feature").isin("Sim_Item_Mass", "Sim_Item_Eta"))
     y = formula(F.col("value"))
+    stats = bounded(stats, len(item_features()))
     return values.join(stats, "feature").select("feature", "value", F.round(y, DIGITS).alias("y"))
 
 
@@ -327,7 +328,7 @@ def sample_block_stats(spark, sf_dir):
         greedy_split(files, TARGETS, SEED).select("class_folder", "file", "split"),
         ["class_folder", "file"],
     )
-    return _stats_rows(Preprocessor(SECTIONS, TREATMENT).fit_stats(fit_sample(placed)))
+    return _stats_rows(Preprocessor(SECTIONS, TREATMENT).fit_stats(fit_sample(placed, CLASSES.class_folders)))
 
 
 def table_rows(vectors):
@@ -413,7 +414,7 @@ def leading_histogram(spark, sf_dir):
             "place": first_of_list(F.col("Doc_Word_D0")),
         },
     )
-    out = histogram(values, 100)
+    out = histogram(values, 100, groups=2)
     return out.withColumn("left_edge", F.round("left_edge", DIGITS))
 
 

@@ -223,7 +223,8 @@ def worker_ranges(spark, sf_dir):
         WHERE r <= {CAP}""",
 )
 def class_cap(spark, sf_dir):
-    return feed.class_cap(order_rows(spark, sf_dir), "class_folder", [F.col("o_orderkey")], CAP, SEED)
+    return feed.class_cap(order_rows(spark, sf_dir), "class_folder", [F.col("o_orderkey")], CAP, SEED,
+                          len(CLASSES.names))
 
 
 @query(
@@ -232,7 +233,7 @@ def class_cap(spark, sf_dir):
         FROM ordered WHERE c - n_rows < {CAP}""",
 )
 def file_limits(spark, sf_dir):
-    return feed.file_limits(order_files(spark, sf_dir), CAP, SEED)
+    return feed.file_limits(order_files(spark, sf_dir), CAP, SEED).drop("n_rows")
 
 
 @query(
