@@ -43,7 +43,7 @@ def robust_median(median: Column) -> Column:
 
 
 def robust_iqr(q25: Column, q75: Column) -> Column:
-    return F.coalesce(F.greatest(q75 - q25, F.lit(EPSILON)), F.lit(1.0))
+    return F.when(q75.isNull(), F.lit(1.0)).otherwise(F.greatest(q75 - q25, F.lit(EPSILON)))
 
 
 def standard(x: Column, mean: Column, std: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..operators import feed, splits
+from ..session import stored
 from ..sources.sinks import pending
 from .registry import query
 from .tables import CLASSES, order_rows, table
@@ -173,7 +174,8 @@ TODO = """todo AS (SELECT class_folder, split, file, n_rows FROM manifest
 
 
 def todo(spark, sf_dir):
-    work = used(spark, sf_dir)
+    """The manifest is stored first, as for a real run: numbering looks at it several times."""
+    work = stored(manifest(spark, sf_dir), "manifest").where(F.col("split") != "unused")
     done = work.where(F.col("class_folder") == "1-URGENT").select("class_folder", "split", "file")
     return pending(work, done)
 
