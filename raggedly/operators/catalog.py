@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.names import base_name, folder_name
 from ..plans.spec import ClassList
 from ..sources.events import listing, scan
+from .prefix import bounded
 
 SPLITS = ("train", "val", "test")
+MAX_EMPTY_BYTES = 16 << 20  # a Parquet file without rows is little more than its footer
 
 
 def rows_per_file(df: DataFrame) -> DataFrame:
@@ -54,34 +56,37 @@ def build_catalog(spark: SparkSession, base_dir: str, classes: ClassList) -> Dat
         base_name(F.col("path")).alias("file"),
         "n_rows",
     )
-    files = listing(spark, paths)
-    known = files.join(counts, ["class_folder", "file"], "left")
-    # Files that gave no rows are either empty or damaged; look at their end marks.
-    silent = known.where(F.col("n_rows").isNull())
-    marks = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .load(paths)
-        .join(silent.select("path"), "path", "left_semi")
-        .select(
-            "path",
-            (
-                (F.substring("content", 1, 4) == F.lit(b"PAR1"))
-                & (F.substring("content", -4, 4) == F.lit(b"PAR1"))
-            ).alias("_whole"),
-        )
+    known = listing(spark, paths).join(counts, ["class_folder", "file"], "left")
+    # Files without rows are either empty or damaged. They are exceptions, so their
+    # names go through the driver: only they are opened, and only if small.
+    quiet = [
+        r["path"]
+        for r in known.where(F.col("n_rows").isNull() & (F.col("length") <= MAX_EMPTY_BYTES))
+        .select("path")
+        .collect()
+    ]
+    status = F.when(F.col("n_rows").isNotNull(), "ok")
+    if quiet:
+        known = known.join(intact_files(spark, quiet), "path", "left")
+        status = status.when(F.col("_intact"), "empty")
+    return known.select(
+        "class_folder",
+        "file",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        status.otherwise("unreadable").alias("status"),
     )
+
+
+def intact_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Which of a few small files begin and end as a Parquet file does."""
+    mark = F.lit(b"PAR1")  # fixed value of the file format
     return (
-        known.join(marks, "path", "left")
-        .select(
-            "class_folder",
-            "file",
-            F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-            F.when(F.col("n_rows").isNotNull(), "ok")
-            .when(F.col("_whole"), "empty")
-            .otherwise("unreadable")
-            .alias("status"),
+        spark.read.format("binaryFile")
+        .load(list(paths))
+        .where(
+            (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
         )
+        .select("path", F.lit(True).alias("_intact"))
     )
 
 
@@ -89,18 +94,21 @@ def class_totals(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("class_folder").agg(F.sum("n_rows").alias("n_rows"))
 
 
-def dataset_summary(manifest: DataFrame, catalog: DataFrame) -> DataFrame:
+def dataset_summary(
+    manifest: DataFrame, catalog: DataFrame, n_classes: int | None = None
+) -> DataFrame:
     """Rows, files and missing files per (class, split), per class and in total.
 
     Classes that the catalogue does not know at all are left out; a single file it
     does not know counts as missing. Totals are told apart by ``level``
-    (0 split, 1 class, 3 all).
+    (0 split, 1 class, 3 all). ``n_classes`` is the number of declared classes, if
+    known.
     """
     known = catalog.select("class_folder").distinct()
     counts = catalog.select("class_folder", "file", "n_rows")
     rows = (
         manifest.select("class_folder", "split", "file")
-        .join(known, "class_folder", "left_semi")
+        .join(bounded(known, n_classes), "class_folder", "left_semi")
         .join(counts, ["class_folder", "file"], "left")
         .select("class_folder", "split", "file", "n_rows")
     )

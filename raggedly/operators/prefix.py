@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import float_bucket
 
 CUTS = 1024
-MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_ROWS = 500_000  # names and numbers, about 100 MB
 
 
 def with_sampled_bucket(df: DataFrame, key: Column, cuts: int = CUTS) -> DataFrame:

@@ -196,6 +196,8 @@ def apply_files(
     todo = pending(
         manifest.select("class_folder", "split", "file"), written_files(spark, out_path)
     )
+    # One row per file; counted, so that it is only broadcast when it is small enough.
+    todo = bounded(todo, todo.count())
     rows = vectors.join(todo, ["class_folder", "split", "file"], "left_semi")
     write_vectors(model.transform(rows), out_path)
 

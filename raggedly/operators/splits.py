@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import shuffle_bucket, shuffle_key
 from ..sources.sinks import table_or_none
-from .prefix import running
+from .prefix import bounded, running
 
 SPLITS = ("train", "val", "test")
 
@@ -23,13 +23,16 @@ def _ordered_files(files: DataFrame, seed: int) -> DataFrame:
     ).withColumn("_place", F.struct("_key", "file"))
 
 
-def greedy_split(files: DataFrame, targets: Sequence[int], seed: int = 42) -> DataFrame:
+def greedy_split(
+    files: DataFrame, targets: Sequence[int], seed: int = 42, n_classes: int | None = None
+) -> DataFrame:
     """Give each class's shuffled files to train, then val, then test.
 
     A split is closed by the file that brings it to its target, so it may overshoot
     by that file; even a target of zero takes one. What is left is ``unused``.
     The closing file of each split is an aggregate (the first place where the
     running total passes the mark), so no class is ever walked by one task.
+    ``n_classes`` is the number of declared classes, if known.
     """
     ordered = _ordered_files(files, seed)
     marked = ordered
@@ -43,7 +46,9 @@ def greedy_split(files: DataFrame, targets: Sequence[int], seed: int = 42) -> Da
             .groupBy(F.col("class_folder").alias("_class"))
             .agg(F.min(F.struct("_place", "upto")).alias(f"_end{i}"))
         )
-        marked = marked.join(end, F.col("class_folder") == F.col("_class"), "left").drop("_class")
+        marked = marked.join(
+            bounded(end, n_classes), F.col("class_folder") == F.col("_class"), "left"
+        ).drop("_class")
         ends.append(f"_end{i}")
         opened = F.col(f"_end{i}").isNotNull() & (F.col("_place") > F.col(f"_end{i}._place"))
         start = F.col(f"_end{i}.upto")
@@ -114,11 +119,16 @@ def worker_ranges(files: DataFrame, order: Sequence[str], workers: int) -> DataF
 
 
 def read_or_create_manifest(
-    spark: SparkSession, path: str, files: DataFrame, targets: Sequence[int], seed: int = 42
+    spark: SparkSession,
+    path: str,
+    files: DataFrame,
+    targets: Sequence[int],
+    seed: int = 42,
+    n_classes: int | None = None,
 ) -> DataFrame:
     """The stored manifest if there is one, else a new split, stored first."""
     stored = table_or_none(spark, path)
     if stored is not None:
         return stored
-    greedy_split(files, targets, seed).write.parquet(path)
+    greedy_split(files, targets, seed, n_classes).write.parquet(path)
     return spark.read.parquet(path)

@@ -55,7 +55,7 @@ def order_files(spark, sf_dir):
 
 
 def manifest(spark, sf_dir):
-    return splits.greedy_split(order_files(spark, sf_dir), TARGETS, SEED)
+    return splits.greedy_split(order_files(spark, sf_dir), TARGETS, SEED, len(CLASSES.names))
 
 
 def used(spark, sf_dir):
@@ -130,7 +130,7 @@ KNOWN = "known AS (SELECT * FROM files WHERE n_rows > 40)"
 )
 def dataset_summary(spark, sf_dir):
     known = order_files(spark, sf_dir).where(F.col("n_rows") > 40)
-    return C.dataset_summary(manifest(spark, sf_dir), known)
+    return C.dataset_summary(manifest(spark, sf_dir), known, len(CLASSES.names))
 
 
 @query(
