@@ -167,70 +167,85 @@ def order_statistics(
     value: str,
     fractions: Mapping[str, float],
     lower: Sequence[str] = (),
-    pieces: int = 1 << 14,
+    pieces: Sequence[int] = (256, 1 << 20),
     groups: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group by linear interpolation, or the lower rank for ``lower``.
 
-    A histogram over value buckets finds the buckets that hold the wanted ranks; a
-    second look at the data ranks the distinct values of only those buckets. Neither
-    step keeps a group's values in one place, unlike an exact ``percentile``.
-    ``groups`` is an upper bound of the number of groups, where the caller knows one.
+    A coarse histogram finds the buckets that hold the wanted ranks, a finer one is
+    then made inside these buckets only, and at last the distinct values of the few
+    fine buckets are ranked. Each step combines before it shuffles, and none keeps a
+    group's values in one place, unlike an exact ``percentile``. ``groups`` is an
+    upper bound of the number of groups, where the caller knows one.
     """
-    work = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
-        *by, F.col(value).cast("double").alias("_v"), float_bucket(F.col(value), pieces).alias("_b")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
+        *by, F.col(value).cast("double").alias("_v")
     )
+    limit = None if groups is None else 2 * len(fractions) * groups
+    levels = [float_bucket(F.col("_v"), p) for p in pieces] + [F.col("_v")]
+
     group = Window.partitionBy(*by)
-    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = (
-        work.groupBy(*by, "_b")
+        rows.groupBy(*by, levels[0].alias("_b"))
         .agg(F.count("*").alias("_c"))
         .withColumn("_n", F.sum("_c").over(group))
-        .withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        .withColumn("_base", _before(group))
     )
-    wanted = []
-    for name, q in fractions.items():
-        place = F.lit(float(q)) * (F.col("_n") - 1)
-        below = F.floor(place)
-        share = F.lit(0.0) if name in lower else place - below
-        wanted.append(
-            F.struct(F.lit(name).alias("q"), below.alias("r"), (1 - share).alias("w"))
+    targets = _holding(hist.withColumn("_t", F.array(*_ranks(fractions, lower))), by)
+    for coarse, fine in zip(levels, levels[1:]):
+        keys = [*by, "_k"]
+        match = reduce(
+            lambda a, b: a & b,
+            [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys],
         )
-        if name not in lower:
-            wanted.append(
-                F.struct(F.lit(name).alias("q"), (below + 1).alias("r"), share.alias("w"))
-            )
-    keys = [*by, "_b"]
-    targets = (
-        hist.select(*keys, "_base", "_c", F.explode(F.array(*wanted)).alias("t"))
-        .where(
-            (F.col("t.w") > 0)
-            & (F.col("t.r") >= F.col("_base"))
-            & (F.col("t.r") < F.col("_base") + F.col("_c"))
+        near = bounded(
+            targets.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("_b").alias("__k"), "_base", "_t"),
+            limit,
         )
-        .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            "t.q", (F.col("t.r") - F.col("_base")).alias("_r"), "t.w",
-        )
-    )
-    targets = bounded(targets, None if groups is None else 2 * len(fractions) * groups)
-    match = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
-    )
-    inside = Window.partitionBy(*keys).orderBy("_v")
-    near = (
-        work.join(targets, match, "left_semi")
-        .groupBy(*keys, "_v")
-        .agg(F.count("*").alias("_c"))
-        .withColumn(
-            "_upto", F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        # ``_base`` and ``_t`` are the same for all rows of a coarse bucket.
+        hist = (
+            rows.withColumn("_k", coarse)
+            .join(near, match)
+            .groupBy(*keys, fine.alias("_b"))
+            .agg(
+                F.count("*").alias("_c"), F.first("_base").alias("_base"), F.first("_t").alias("_t")
+            )
+            .withColumn("_base", F.col("_base") + _before(Window.partitionBy(*keys)))
         )
-    )
-    hit = near.join(
-        targets,
-        match & (F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c")),
-    )
+        targets = _holding(hist, by)
+    hit = targets.select(*by, F.col("_b").alias("_v"), F.explode("_t").alias("t"))
     return hit.groupBy(*by).agg(
-        *[F.sum(F.when(F.col("q") == name, F.col("w") * F.col("_v"))).alias(name) for name in fractions]
+        *[
+            F.sum(F.when(F.col("t.q") == name, F.col("t.w") * F.col("_v"))).alias(name)
+            for name in fractions
+        ]
+    )
+
+
+def _ranks(fractions: Mapping[str, float], lower: Sequence[str]) -> list[Column]:
+    """Wanted zero-based ranks of ``_n`` values with the weight each has in its quantile."""
+    out = []
+    for name, q in fractions.items():
+        place = F.lit(float(q)) * (F.col("_n") - 1)
+        below = F.floor(place)
+        share = F.lit(0.0) if name in lower else place - below
+        for rank, weight in ((below, 1 - share), (below + 1, share)):
+            out.append(F.struct(F.lit(name).alias("q"), rank.alias("r"), weight.alias("w")))
+    return out
+
+
+def _before(window) -> Column:
+    """Number of values in earlier buckets."""
+    earlier = window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_c").over(earlier), F.lit(0))
+
+
+def _holding(hist: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Buckets that hold a wanted rank, each with the ranks it holds."""
+    base, n = F.col("_base"), F.col("_c")
+    held = F.filter("_t", lambda t: (t["w"] > 0) & (t["r"] >= base) & (t["r"] < base + n))
+    return (
+        hist.withColumn("_held", held)
+        .where(F.size("_held") > 0)
+        .select(*by, "_b", "_base", F.col("_held").alias("_t"))
     )

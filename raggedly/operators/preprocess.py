@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalizers as N
-from ..functions.transforms import expand_vector
+from ..functions.names import family_of
+from ..functions.transforms import TRANSFORMS, expand_vector
 from ..plans.layout import Section, check_width, expanded_layout, expanded_slots, width
 from ..plans.spec import Treatment
 from ..sources.events import first_files
@@ -20,6 +21,7 @@ STATS_SCHEMA = (
     "block string, kind string, mean double, std double, median double, iqr double, "
     "min double, max double, num_examples_fit long, num_features_expanded int"
 )
+ZERO_TO_ZERO = ("identity", "log1p", "trig")
 MODES = ("fit_only", "fit_and_apply", "apply_only")
 
 
@@ -40,27 +42,76 @@ class Preprocessor:
         }
         self.blocks = sorted(self.kinds)
 
-    def expand(self, vectors: DataFrame) -> DataFrame:
-        """Replace the raw vector ``x`` by the transformed, still unnormalized one."""
+    def checked(self, vectors: DataFrame) -> DataFrame:
         raw = width(self.sections)
-        x = F.when(F.size("x") == raw, F.col("x").cast("array<double>")).otherwise(
-            F.raise_error(F.lit(f"vector width differs from the layout's {raw}"))
+        return vectors.withColumn(
+            "x",
+            F.when(F.size("x") == raw, F.col("x").cast("array<double>")).otherwise(
+                F.raise_error(F.lit(f"vector width differs from the layout's {raw}"))
+            ),
         )
-        checked = vectors.withColumn("x", x)  # its own projection: every slot refers to it
-        return checked.withColumn(
+
+    def expand(self, vectors: DataFrame) -> DataFrame:
+        """Replace the raw vector ``x`` by the transformed, still unnormalized one."""
+        return self.checked(vectors).withColumn(
             "x", expand_vector(F.col("x"), self.sections, self.treatment, self.strict)
         )
 
     def block_values(self, vectors: DataFrame, kinds: Sequence[str]) -> DataFrame:
-        """(block number, value) of every slot whose block uses one of ``kinds``."""
+        """(block number, value) of every slot whose block uses one of ``kinds``.
+
+        Raw vectors are taken apart first and each value is transformed by its
+        position's family, so that the plan does not grow with the layout.
+        """
         number = {b: i for i, b in enumerate(self.blocks)}
-        of_slot = [number[s.block] if self.kinds[s.block] in kinds else -1 for s in self.slots]
-        return (
-            self.expand(vectors)
-            .select(F.posexplode_outer("x").alias("position", "value"))
-            .select(F.get(F.lit(of_slot), F.col("position")).alias("block"), "value")
+        block_at, family_at, families = [], [], []
+        for s in self.sections:
+            places = [family_of(c) for _ in range(s.slots) for c in s.columns]
+            for family in places + ["count"] * int(s.count):
+                block = f"{s.group}.{family}"
+                fitted = self.kinds[block] in kinds
+                block_at.append(number[block] if fitted else -1)
+                if family not in families:
+                    families.append(family)
+                family_at.append(families.index(family))
+        used = sorted({f for f, b in zip(family_at, block_at) if b >= 0})
+        outputs = {
+            f: [F.col("value")]
+            if families[f] == "count"
+            else TRANSFORMS.apply(
+                self.treatment.transform_of(families[f]), F.col("value"), families[f],
+                self.treatment, self.strict,
+            )
+            for f in used
+        }
+        position = F.col("position")
+        slots = self.checked(vectors).select(
+            F.posexplode_outer("x").alias("position", "value")
+        )
+        masked = set(kinds) <= {"standard", "robust"}
+        if masked and all(
+            self.treatment.transform_of(families[f]) in ZERO_TO_ZERO for f in used
+        ):
+            # Padding plays no part in these fits, and it stays zero: drop it at once.
+            slots = slots.where(F.col("value") != 0)
+        rows = (
+            slots
+            .select(
+                F.get(F.lit(block_at), position).alias("block"),
+                F.get(F.lit(family_at), position).alias("family"),
+                "value",
+            )
             .where(F.col("block") >= 0)
         )
+        single = all(isinstance(o, list) and len(o) == 1 for o in outputs.values())
+        value = F.lit(None)
+        for f, out in outputs.items():
+            if single:
+                out = out[0]
+            elif isinstance(out, list):
+                out = F.array(*out)
+            value = F.when(F.col("family") == f, out).otherwise(value)
+        return rows.select("block", (value if single else F.explode_outer(value)).alias("value"))
 
     def fit_stats(self, vectors: DataFrame) -> DataFrame:
         """One row per block. Both aggregations combine before they shuffle."""

@@ -103,7 +103,7 @@ def test_order_statistics_match_numpy(spark, n):
     rows = [("a", round(rng.gauss(0, 3), 1)) for _ in range(n)] + [("b", 4.0)] * 7 + [(None, float(i)) for i in range(9)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(3)
     got = order_statistics(
-        df, ["g"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, lower=["q50"], pieces=8
+        df, ["g"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, lower=["q50"], pieces=(4, 64), groups=3
     ).collect()
     for r in got:
         v = np.array([x for g, x in rows if g == r["g"]])
