@@ -71,6 +71,11 @@ def plottable(names: list[str], skip: tuple[str, ...] = ("Constituents",)) -> di
     return grouped
 
 
+def plain_path(uri: Column) -> Column:
+    """Path of a file URI: a scan's metadata has blanks and other signs encoded."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import base_name, folder_name
+from ..functions.names import base_name, folder_name, plain_path
 from ..plans.spec import ClassList
 from ..sources.events import listing, scan
 from .prefix import bounded
@@ -18,9 +18,10 @@ MAX_EMPTY_BYTES = 16 << 20  # a Parquet file without rows is little more than it
 
 def rows_per_file(df: DataFrame) -> DataFrame:
     """Rows of each file of a scan. No column is read, so Parquet footers suffice."""
-    return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+    counts = df.groupBy(F.col("_metadata.file_path").alias("uri")).agg(
         F.count("*").alias("n_rows")
     )
+    return counts.select(plain_path(F.col("uri")).alias("path"), "n_rows")
 
 
 def file_table(df: DataFrame, folder: str = "class_folder", file: str = "file") -> DataFrame:

@@ -298,3 +298,20 @@ def unmasked_moments(vectors: DataFrame) -> DataFrame:
             F.sqrt(F.coalesce(F.var_samp("value"), F.lit(0.0)) + EPSILON).alias("std"),
         )
     )
+
+
+def standardize_positions(vectors: DataFrame, moments: DataFrame, n_positions: int) -> DataFrame:
+    """Plain ``(x - mean) / std`` per position, zeros included.
+
+    ``moments`` has one row per vector position, so it is read to the driver.
+    """
+    rows = {r["position"]: r for r in moments.collect()}
+    return vectors.withColumn(
+        "x",
+        F.array(
+            *[
+                N.standardize(F.get("x", F.lit(i)), F.lit(rows[i]["mean"]), F.lit(rows[i]["std"]))
+                for i in range(n_positions)
+            ]
+        ),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import base_name, folder_name
+from ..functions.names import base_name, folder_name, plain_path
 from ..plans.spec import ClassList, EventSpec
 
 PARQUET_GLOB = "*.parquet"
@@ -47,8 +47,8 @@ def with_file(df: DataFrame) -> DataFrame:
     """Add class_folder, file and row (position inside the file) from the scan itself."""
     return df.select(
         "*",
-        folder_name(F.col("_metadata.file_path")).alias("class_folder"),
-        F.col("_metadata.file_name").alias("file"),
+        folder_name(plain_path(F.col("_metadata.file_path"))).alias("class_folder"),
+        base_name(plain_path(F.col("_metadata.file_path"))).alias("file"),
         F.col("_metadata.row_index").alias("row"),
     )
 

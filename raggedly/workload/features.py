@@ -8,7 +8,7 @@ from ..functions import normalizers as N
 from ..functions.transforms import log1p_signed, one_hot, trig_phi, unknown_categories
 from ..operators.catalog import file_table
 from ..operators.prefix import bounded, order_statistics
-from ..operators.preprocess import Preprocessor, fit_sample, unmasked_moments
+from ..operators.preprocess import Preprocessor, fit_sample, standardize_positions, unmasked_moments
 from ..operators.profile import distinct_values, histogram, long_features
 from ..operators.splits import greedy_split
 from ..operators.vectorize import vectorize
@@ -215,6 +215,23 @@ def mean_std_unmasked(spark, sf_dir):
     return rounded(unmasked_moments(vectors), ["position"], ["mean", "std"])
 
 
+@query(
+    "standardized_vectors",
+    """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) - 1 AS p
+                  FROM embeddings),
+            m AS (SELECT p, avg(e) AS mean, sqrt(coalesce(var_samp(e), 0) + 1e-6) AS std FROM v GROUP BY 1)
+       SELECT vec_id, p::INTEGER AS "position", round((e - mean) / std, 6) AS value FROM v JOIN m USING (p)""",
+)
+def standardized_vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("x")
+    )
+    out = standardize_positions(vectors, unmasked_moments(vectors), 64)
+    return out.select("vec_id", F.posexplode_outer("x").alias("position", "value")).select(
+        "vec_id", "position", F.round("value", DIGITS).alias("value")
+    )
+
+
 # The whole treatment of an order's vector, written out in SQL from the slot list.
 SECTIONS = raw_layout(ORDER_SPEC)
 TREATMENT = Treatment()

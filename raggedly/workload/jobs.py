@@ -5,17 +5,24 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators.catalog import build_catalog, class_totals
+from ..operators.feed import capped_scan
 from ..operators.mlp import baseline_predictions, mlp_baseline, mlp_score
 from ..operators.metrics import accuracy, scored
 from ..operators.preprocess import Preprocessor
+from ..operators.vectorize import vectorize
 from ..plans.layout import raw_layout
 from ..plans.spec import EventSpec, ObjectGroup, Treatment
-from ..session import fresh_folder
+from ..session import fresh_folder, stored
+from ..sources.events import with_label
+from ..sources.sinks import read_vectors, write_vectors
 from ..streaming.incremental import (
     incremental_apply, incremental_vectorize, running_class_counts, stream_files,
 )
+from .features import RAW
+from .files import SPLIT, used
 from .registry import ORACLES, query
-from .tables import WORD_SPEC, table, wide, word_events
+from .tables import CLASSES, ORDER_SPEC, WORD_SPEC, order_events, table, wide, word_events
 
 HIDDEN = 16
 N_IN = 64
@@ -37,6 +44,62 @@ def incremental_vectorize_query(spark, sf_dir):
     return wide(spark.read.parquet(out), WORD_SPEC.width, ["doc_id"])
 
 
+def class_shards(spark, sf_dir):
+    """Order events written as event shards, one folder per class."""
+    base = fresh_folder(spark, "shards")
+    events = stored(order_events(spark, sf_dir), "events")
+    for folder in CLASSES.class_folders:
+        events.where(F.col("class_folder") == folder).drop("class_folder", "file").write.parquet(
+            f"{base}/{folder}"
+        )
+    return base
+
+
+@query("catalog_totals", "SELECT o_orderpriority AS class_folder, count(*) AS n_rows FROM orders GROUP BY 1")
+def catalog_totals(spark, sf_dir):
+    """Totals of a catalogue made from the shards' own footers."""
+    return class_totals(build_catalog(spark, class_shards(spark, sf_dir), CLASSES))
+
+
+@query(
+    "capped_scan",
+    """SELECT o_orderpriority AS class_name, least(count(*), 1000) AS n_rows FROM orders GROUP BY 1""",
+)
+def capped_scan_query(spark, sf_dir):
+    """A per-class cap on the shards: only the needed files are opened."""
+    base = class_shards(spark, sf_dir)
+    rows = capped_scan(spark, base, CLASSES, build_catalog(spark, base, CLASSES), 1000)
+    return rows.groupBy("class_name").agg(F.countDistinct("o_orderkey").alias("n_rows"))
+
+
+@query(
+    "vector_table",
+    f"""WITH {SPLIT}, {RAW} SELECT split, class_folder, o_orderkey,
+        {", ".join(f"x_{i:02d}" for i in range(ORDER_SPEC.width))}
+        FROM raw JOIN manifest USING (class_folder, file) WHERE split = 'train'""",
+)
+def vector_table(spark, sf_dir):
+    """Write vectors by split and class, then read one split back."""
+    vectors = vectorize(
+        with_label(order_events(spark, sf_dir), CLASSES), ORDER_SPEC,
+        ["o_orderkey", "class_folder", "file", "label"],
+    )
+    placed = vectors.join(used(spark, sf_dir).drop("n_rows"), ["class_folder", "file"])
+    path = fresh_folder(spark, "vectors")
+    write_vectors(
+        placed.select(
+            "file", F.col("o_orderkey").alias("row"), "x", F.col("label").alias("y"),
+            "split", "class_folder",
+        ),
+        path,
+    )
+    back = read_vectors(spark, path, "train", CLASSES.class_folders)
+    return wide(
+        back.withColumnRenamed("row", "o_orderkey"), ORDER_SPEC.width,
+        ["split", "class_folder", "o_orderkey"],
+    )
+
+
 EMBEDDING_SPEC = EventSpec((ObjectGroup("parts", ("value",), N_IN),))
 
 

@@ -61,6 +61,16 @@ def test_catalog_reports_every_file(spark, shards):
         C.build_catalog(spark, shards, ClassList(("Gone",), {"Gone": "gone"}))
 
 
+def test_names_with_blanks_and_signs(spark, tmp_path):
+    folder = "4-NOT +5% é"
+    write_shard(str(tmp_path / folder / "a b+1.parquet"), 3)
+    classes = ClassList(("x",), {"x": folder})
+    row = C.build_catalog(spark, str(tmp_path), classes).first()
+    assert (row["class_folder"], row["file"], row["n_rows"]) == (folder, "a b+1.parquet", 3)
+    rows = E.scan_files(spark, str(tmp_path), [(folder, "a b+1.parquet")], classes, SPEC).collect()
+    assert {(r["class_folder"], r["file"]) for r in rows} == {(folder, "a b+1.parquet")} and len(rows) == 3
+
+
 def test_scan_reads_only_what_is_listed(spark, shards):
     df = E.scan(spark, f"{shards}/sig", schema=E.spec_schema(SPEC))
     assert df.columns == SPEC.columns and df.count() == 60
