@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import float_bucket
 
-CUTS = 1024
+CUTS = 4096
 MAX_BROADCAST_ROWS = 500_000  # names and numbers, about 100 MB
 
 
