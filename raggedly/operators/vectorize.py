@@ -97,4 +97,5 @@ def nest_objects(
         .select(key, *[F.col(f"_objects.{n}").alias(n) for n in names])
     )
     counts = facts.groupBy(F.col(key).alias("_counted")).agg(F.count("*").alias("n_objects"))
-    return best.join(counts, F.col(key) == F.col("_counted")).drop("_counted")
+    # Both are partitioned by the key already; a broadcast would only collect them.
+    return best.join(counts.hint("merge"), F.col(key) == F.col("_counted")).drop("_counted")

@@ -72,7 +72,10 @@ def order_events(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
             "Sim_PrimaryVertex_Z"
         ),
     )
-    return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    # Both sides grow with the data, so neither is to be broadcast.
+    return orders.join(
+        items.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left"
+    ).drop("l_orderkey")
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
