@@ -287,15 +287,13 @@ def run(
 
 def unmasked_moments(vectors: DataFrame) -> DataFrame:
     """Mean and deviation of every vector position, zeros included."""
-    from ..functions.normalizers import EPSILON
-
     return (
         vectors.select(F.posexplode_outer("x").alias("position", "value"))
         .groupBy("position")
         .agg(
             F.avg("value").alias("mean"),
             # A single row has no spread: its squared deviation is zero.
-            F.sqrt(F.coalesce(F.var_samp("value"), F.lit(0.0)) + EPSILON).alias("std"),
+            F.sqrt(F.coalesce(F.var_samp("value"), F.lit(0.0)) + N.EPSILON).alias("std"),
         )
     )
 

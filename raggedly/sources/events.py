@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,7 +141,5 @@ def listing(spark: SparkSession, paths: str | Sequence[str], recursive: bool = F
 
 def first_files(files: DataFrame, n: int, by: str = "class_folder") -> DataFrame:
     """The first n files of each folder by name, from a file table."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(by).orderBy("file")
     return files.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalizers as N
+from ..functions.packing import first_of_list
 from ..functions.transforms import log1p_signed, one_hot, trig_phi, unknown_categories
 from ..operators.catalog import file_table
 from ..operators.prefix import bounded, order_statistics
@@ -340,7 +341,7 @@ def block_stats(spark, sf_dir):
 def sample_block_stats(spark, sf_dir):
     """Statistics from the first files of each class's train split, as a fit does it."""
     vectors = stored_vectors(spark, sf_dir)
-    files = file_table(table_rows(vectors))
+    files = file_table(vectors)
     placed = vectors.join(
         greedy_split(files, TARGETS, SEED).select("class_folder", "file", "split"),
         ["class_folder", "file"],
@@ -348,10 +349,6 @@ def sample_block_stats(spark, sf_dir):
     return _stats_rows(Preprocessor(SECTIONS, TREATMENT).fit_stats(fit_sample(placed, CLASSES.class_folders)))
 
 
-def table_rows(vectors):
-    return vectors.select("class_folder", "file")
-
-
 def _normalized_sql() -> str:
     parts = []
     place = {p: (b, k) for b, (k, ps) in BLOCKS.items() for p in ps}
@@ -421,8 +418,6 @@ def histogram_query(spark, sf_dir):
 )
 def leading_histogram(spark, sf_dir):
     """Histogram of the first object of each list."""
-    from ..functions.packing import first_of_list
-
     events = word_events(table(spark, sf_dir, "documents"))
     values = long_features(
         events,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog as C
 from ..operators import feed, splits
 from ..session import stored
+from ..sources.events import first_files as first_n_files
 from ..sources.sinks import pending
 from .registry import query
 from .tables import CLASSES, order_rows, table
@@ -275,6 +276,4 @@ def file_shuffle(spark, sf_dir):
         WHERE r <= 5""",
 )
 def first_files(spark, sf_dir):
-    from ..sources.events import first_files
-
-    return first_files(order_files(spark, sf_dir), 5)
+    return first_n_files(order_files(spark, sf_dir), 5)
