@@ -133,13 +133,15 @@ class Preprocessor:
                     N.standard_std(v).alias("std"),
                     F.min(v).alias("min"),
                     F.max(v).alias("max"),
+                    F.count("*").alias("n_values"),
                 ),
                 "block",
                 "left",
             )
         else:
             stats = stats.selectExpr(
-                "*", *[f"cast(null as double) {c}" for c in ("mean", "std", "min", "max")]
+                "*", "cast(null as long) n_values",
+                *[f"cast(null as double) {c}" for c in ("mean", "std", "min", "max")],
             )
         if "robust" in used:
             stats = stats.join(
@@ -160,8 +162,11 @@ class Preprocessor:
         return stats.select(
             F.col("name").alias("block"),
             "kind",
-            only("standard", F.col("mean")).alias("mean"),
-            only("standard", F.col("std")).alias("std"),
+            # A block of nothing but padding has no row of its own.
+            only("standard", F.coalesce("mean", F.lit(0.0))).alias("mean"),
+            only(
+                "standard", F.when(F.col("n_values").isNull(), 1.0).otherwise(F.col("std"))
+            ).alias("std"),
             only("robust", N.robust_median(F.col("q50"))).alias("median"),
             only("robust", N.robust_iqr(F.col("q25"), F.col("q75"))).alias("iqr"),
             only("minmax", F.col("min")).alias("min"),
