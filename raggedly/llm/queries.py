@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codes import read_documents, write_codes
 from .exact import exact_duplicates
 from .lines import drop_repeated_lines
 from .mixing import mix, word_count
+from .packing import pack_documents
 from .secrets import scan_secrets, span_text
+from .tables import fresh_folder
+from .topk import top_products
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +59,7 @@ WITH d AS (
 ), later AS (
   SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1
 ), gone AS (
-  SELECT doc_id, list_distinct(flatten(list([i, i + 1, i + 2]))) AS at
+  SELECT doc_id, list_distinct(flatten(list([i, i + 1, i + 2]))) AS hit
   FROM later GROUP BY doc_id
 ), cut AS (
   SELECT d.doc_id, lines, coalesce(gone.hit, []) AS away FROM d LEFT JOIN gone USING (doc_id)
@@ -71,6 +76,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, word_count(docs["text"])).drop("source")
 
 
+def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "token-codes")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    write_codes(table(spark, sf_dir, "documents"), path, tokenizer, end=2)
+    return read_documents(spark, path)
+
+
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer, end=0)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -87,10 +104,35 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM b
 """
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_line_dedup": op2_line_dedup,
     "op5_mixing": op5_mixing,
+    "op6_token_codes": op6_token_codes,
+    "op7_best_fit": op7_best_fit,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_topk": op10_topk,
+}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op9_exact_dedup": OP9_SQL,
+    "op10_topk": OP10_SQL,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL}
