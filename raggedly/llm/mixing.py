@@ -12,7 +12,7 @@ from .tables import NO_ID, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 #: Rows of one piece of a source's random order, on average.
-PIECE_ROWS = 4096
+PIECE_ROWS = 1024
 
 
 def word_count(text: Column) -> Column:

@@ -12,8 +12,10 @@ from .codes import read_documents, write_codes
 from .exact import exact_duplicates
 from .lines import drop_repeated_lines
 from .mixing import mix, word_count
+from .near import near_duplicates
 from .packing import pack_documents
 from .secrets import scan_secrets, span_text
+from .substrings import drop_repeated_passages
 from .tables import fresh_folder
 from .topk import top_products
 
@@ -71,6 +73,31 @@ FROM cut
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d)
+), later AS (
+  SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n_kept
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d)
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix(docs, word_count(docs["text"])).drop("source")
@@ -88,6 +115,10 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer, end=0)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -125,14 +156,17 @@ QUALIFY row_number() OVER w <= 5
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_line_dedup": op2_line_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_token_codes": op6_token_codes,
     "op7_best_fit": op7_best_fit,
+    "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_topk": op10_topk,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op10_topk": OP10_SQL,
 }
