@@ -1,15 +1,95 @@
-"""A corpus pipeline of the operators."""
+"""A training corpus from documents: graded, without repeated lines and near copies, mixed
+to source weights, and packed into sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept. All but
+the last return the columns of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from raggedly.llm.lines import drop_repeated_lines
+from raggedly.llm.mixing import mix, word_count
+from raggedly.llm.near import near_duplicates
+from raggedly.llm.packing import pack_documents
+from raggedly.llm.quality import grade_documents
+from raggedly.llm.queries import quality_model, table
+from raggedly.llm.tables import SPACE, stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose grade is likely the highest; low quality and toxic ones go."""
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    return grade_documents(docs, model, keep=whole).where("kept").select("carried.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later occurrences of three-line windows.
+
+    A document of which nothing but white space is left goes, as a copy of earlier ones.
+    """
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    cut = drop_repeated_lines(docs, keep=whole)
+    gone = (F.col("n_removed") > 0) & F.col("kept").rlike(f"^{SPACE}*$")
+    changed = F.col("n_removed") > 0
+    return cut.where(~gone).select(
+        *[_replaced(c, F.col("carried")[c], F.col("kept"), changed) for c in docs.columns]
+    )
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; at a source's cut, the first words of one."""
+    taken = mix(docs, word_count(docs["text"])).where("taken > 0").select(
+        F.col("doc_id").alias("_of"),
+        F.concat(
+            F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")),
+            F.filter(F.array(F.col("taken") % F.col("size")), lambda n: n > 0),
+        ).alias("_parts"),
+    )
+    words = F.split(F.regexp_replace("text", f"^{SPACE}+", ""), f"{SPACE}+")
+    cut = F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")
+    return (
+        docs.join(taken, docs["doc_id"].eqNullSafe(taken["_of"]))
+        .withColumn("_part", F.explode("_parts"))
+        .select(*[_replaced(c, docs[c], cut, F.col("_part") > 0) for c in docs.columns])
+    )
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in which sequence."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end=0)
+
+
+def _replaced(name: str, value, text, where):
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}.get(name)
+    return (value if new is None else F.when(where, new).otherwise(value)).alias(name)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing to target weights", mixing),
+    ("best-fit packing", packing),
+]
 
-STAGES: list = []
+#: SQL has neither the classifier nor the tokenizer; tests compare with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after another, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

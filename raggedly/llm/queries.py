@@ -14,6 +14,7 @@ from .lines import drop_repeated_lines
 from .mixing import mix, word_count
 from .near import near_duplicates
 from .packing import pack_documents
+from .quality import Model, grade_documents, train
 from .secrets import scan_secrets, span_text
 from .substrings import drop_repeated_passages
 from .tables import fresh_folder
@@ -98,6 +99,22 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> Model:
+    """Grade 0: low quality, 1: toxic, 2: neither."""
+    known = F.col("quality").isNotNull() & F.col("toxic").isNotNull()
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    return train(docs, labels, F.when(known, grade), n_grades=3)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its grade; probabilities to 4 places, as sums differ in the last."""
+    docs = table(spark, sf_dir, "documents")
+    graded = grade_documents(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return graded.select(
+        "doc_id", F.round("expected_grade", 4).alias("expected_grade"), F.round("tail", 4).alias("tail"), "kept"
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix(docs, word_count(docs["text"])).drop("source")
@@ -157,6 +174,7 @@ QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_token_codes": op6_token_codes,
     "op7_best_fit": op7_best_fit,
