@@ -79,16 +79,6 @@ def capped_scan(
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def shuffled_files(files: DataFrame, seed: int = 42) -> DataFrame:
-    """File order for a pass over the data."""
-    return files.orderBy(shuffle_key(seed, F.col("class_folder"), F.col("file")))
-
-
-def shuffled(df: DataFrame, row_id: Sequence[Column], seed: int = 42) -> DataFrame:
-    """Rows in one global, reproducible random order (a range-partitioned sort)."""
-    return df.orderBy(shuffle_key(seed, *row_id))
-
-
 def shuffle_positions(df: DataFrame, row_id: Sequence[Column], seed: int = 42) -> DataFrame:
     """Add each row's one-based ``position`` in the shuffle."""
     keyed = df.withColumn("_key", shuffle_key(seed, *row_id))

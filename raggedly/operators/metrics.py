@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import float_bucket
 from ..functions.scoring import argmax, cross_entropy, softmax
+from ..session import stored
 from .prefix import running
 
 
@@ -45,7 +46,11 @@ def confusion(scored_rows: DataFrame) -> DataFrame:
 
 def class_f1(scored_rows: DataFrame) -> DataFrame:
     """F1 per class that occurs as a label or as a prediction."""
-    cells = confusion(scored_rows)
+    return f1_of(confusion(scored_rows))
+
+
+def f1_of(cells: DataFrame) -> DataFrame:
+    """``class_f1`` from the cells of a confusion matrix."""
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     sides = cells.select(
         hit.alias("hit"),
@@ -75,8 +80,13 @@ def auroc(scored_rows: DataFrame, empty: float | None = None) -> DataFrame:
 
     A class without positives or without negatives gives ``empty``.
     """
+    return auroc_of(score_counts(scored_rows), empty)
+
+
+def auroc_of(counts: DataFrame, empty: float | None = None) -> DataFrame:
+    """``auroc`` from ``score_counts``."""
     below = running(
-        score_counts(scored_rows), ["class"], ["score"], float_bucket(F.col("score")),
+        counts, ["class"], ["score"], float_bucket(F.col("score")),
         sums={"upto": F.col("neg")},
     )
     pairs = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / F.lit(2.0)))
@@ -95,8 +105,13 @@ def roc(scored_rows: DataFrame) -> DataFrame:
 
     A class without positives (negatives) has a null TPR (FPR).
     """
+    return roc_of(score_counts(scored_rows))
+
+
+def roc_of(counts: DataFrame) -> DataFrame:
+    """``roc`` from ``score_counts``."""
     curve = running(
-        score_counts(scored_rows), ["class"], [F.col("score").desc()],
+        counts, ["class"], [F.col("score").desc()],
         float_bucket(-F.col("score")),
         sums={"tp": F.col("pos"), "fp": F.col("neg")}, totals=True,
     )
@@ -162,21 +177,36 @@ class Evaluator:
         self.scored = scored(predictions)
 
     def summary(self, target_fpr: float = 0.01) -> DataFrame:
-        """(name, value) of every scalar metric."""
-        per_class = named(auroc(self.scored), self.class_names).select(
+        """(name, value) of every scalar metric, from two passes over the predictions.
+
+        One pass counts classes and scores, one counts labels and predictions with their
+        losses; both results are stored, and everything else is made from them.
+        """
+        counts = stored(score_counts(self.scored), "score-counts")
+        rows = self.predictions.where(F.col("logits").isNotNull()).select(
+            F.col("label").cast("int").alias("label"),
+            argmax(F.col("logits")).alias("prediction"),
+            cross_entropy(F.col("logits"), F.col("label")).alias("loss"),
+        )
+        cells = stored(
+            rows.groupBy("label", "prediction").agg(
+                F.count("*").alias("n"), F.sum("loss").alias("loss"), F.count("loss").alias("n_loss")
+            ),
+            "cells",
+        )
+        areas = stored(auroc_of(counts), "areas")
+        hits = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
+        value = {
+            "loss": cells.agg((F.sum("loss") / F.sum("n_loss")).alias("value")),
+            "acc": cells.agg((hits / F.sum("n")).alias("value")),
+            "f1": f1_of(cells).agg(F.avg("f1").alias("value")),
+            "mean_auc": areas.agg(F.avg("auroc").alias("value")),
+            "tpr_macro": tpr_at_fpr(roc_of(counts), target_fpr).agg(F.avg("tpr").alias("value")),
+        }
+        out = named(areas, self.class_names).select(
             F.concat(F.lit("class_"), "class_name", F.lit("_auc")).alias("name"),
             F.col("auroc").alias("value"),
         )
-        scalars = [
-            mean_loss(self.predictions).select(F.lit("loss").alias("name"), F.col("loss").alias("value")),
-            accuracy(self.scored).select(F.lit("acc").alias("name"), F.col("accuracy").alias("value")),
-            macro_f1(self.scored).select(F.lit("f1").alias("name"), F.col("macro_f1").alias("value")),
-            mean_auroc(self.scored).select(F.lit("mean_auc").alias("name"), F.col("mean_auroc").alias("value")),
-            macro_tpr_at_fpr(roc(self.scored), target_fpr).select(
-                F.lit("tpr_macro").alias("name"), F.col("macro_tpr").alias("value")
-            ),
-        ]
-        out = per_class
-        for row in scalars:
-            out = out.unionByName(row)
+        for name, row in value.items():
+            out = out.unionByName(row.select(F.lit(name).alias("name"), "value"))
         return out

@@ -15,16 +15,20 @@ MAX_WEIGHT_BYTES = 256 << 20
 
 
 def mlp_score(
-    vectors: DataFrame, layers: Sequence[tuple[np.ndarray, np.ndarray]], column: str = "x"
+    vectors: DataFrame,
+    layers: Sequence[tuple[np.ndarray, np.ndarray]],
+    column: str = "x",
+    max_bytes: int = MAX_WEIGHT_BYTES,
 ) -> DataFrame:
     """Logits of a feed-forward network with ReLU between its layers.
 
     ``layers`` holds (weight[out, in], bias[out]). Whole Arrow batches go through
-    NumPy; the weights are broadcast once per executor, after a size check.
+    NumPy; the weights are broadcast once per executor, after a check of their size
+    against ``max_bytes``.
     """
     size = sum(w.nbytes + b.nbytes for w, b in layers)
-    if size > MAX_WEIGHT_BYTES:
-        raise ValueError(f"weights take {size} bytes, more than {MAX_WEIGHT_BYTES}")
+    if size > max_bytes:
+        raise ValueError(f"weights take {size} bytes, more than {max_bytes}")
     shared = vectors.sparkSession.sparkContext.broadcast(
         [(np.ascontiguousarray(w.T), b) for w, b in layers]
     )

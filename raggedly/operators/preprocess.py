@@ -13,6 +13,7 @@ from ..functions.names import family_of
 from ..functions.transforms import TRANSFORMS, expand_vector
 from ..plans.layout import Section, check_width, expanded_layout, expanded_slots, width
 from ..plans.spec import Treatment
+from ..session import stored
 from ..sources.events import first_files
 from ..sources.sinks import missing_outputs, pending, read_vectors, write_vectors, written_files
 from .prefix import bounded, order_statistics
@@ -144,9 +145,13 @@ class Preprocessor:
                 *[f"cast(null as double) {c}" for c in ("mean", "std", "min", "max")],
             )
         if "robust" in used:
+            # The quantiles look at the values three times, at the vectors once.
+            values = stored(
+                self.block_values(vectors, ["robust"]).where(F.col("value") != 0), "block-values"
+            )
             stats = stats.join(
                 order_statistics(
-                    self.block_values(vectors, ["robust"]).where(F.col("value") != 0),
+                    values,
                     ["block"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, lower=["q50"],
                     groups=len(self.blocks),
                 ),
@@ -232,11 +237,15 @@ class PreprocessModel:
         spark.createDataFrame(rows, STATS_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
 
 
-def fit_sample(vectors: DataFrame, class_folders: Sequence[str], n_files: int = 5) -> DataFrame:
-    """Rows of the first ``n_files`` train files of each class, by name."""
+def fit_sample(
+    vectors: DataFrame, class_folders: Sequence[str], n_files: int | None = None
+) -> DataFrame:
+    """The train split; with ``n_files``, only the first so many files of each class by name."""
     train = vectors.where(
         (F.col("split") == "train") & F.col("class_folder").isin(list(class_folders))
     )
+    if n_files is None:
+        return train
     files = first_files(train.select("class_folder", "file").distinct(), n_files)
     # At most n_files rows per declared class.
     return train.join(
@@ -267,7 +276,7 @@ def run(
     class_folders: Sequence[str],
     mode: str = "fit_and_apply",
     enabled: bool = True,
-    n_files: int = 5,
+    n_files: int | None = None,
     splits: Sequence[str] = ("train", "val", "test"),
 ) -> PreprocessModel | None:
     """Fit, apply or both. Completion is judged by the outputs, not by the statistics file."""
@@ -306,15 +315,23 @@ def unmasked_moments(vectors: DataFrame) -> DataFrame:
 def standardize_positions(vectors: DataFrame, moments: DataFrame, n_positions: int) -> DataFrame:
     """Plain ``(x - mean) / std`` per position, zeros included.
 
-    ``moments`` has one row per vector position, so it is read to the driver.
+    ``moments`` has one row per vector position, so it is read to the driver. A vector of
+    another width ends the job.
     """
     rows = {r["position"]: r for r in moments.collect()}
+    wrong = F.raise_error(F.lit(f"vector width differs from {n_positions}"))
+    missing = sorted(set(range(n_positions)) - set(rows))
+    if missing and rows:
+        raise ValueError(f"no moments for positions {missing[:5]}")
+    if not rows:  # no vector, so nothing to standardize
+        return vectors.withColumn("x", F.when(F.size("x") == n_positions, F.col("x")).otherwise(wrong))
     return vectors.withColumn(
         "x",
-        F.array(
+        F.when(F.size("x") != n_positions, wrong).otherwise(
+            F.array(
             *[
                 N.standardize(F.get("x", F.lit(i)), F.lit(rows[i]["mean"]), F.lit(rows[i]["std"]))
                 for i in range(n_positions)
             ]
-        ),
+        )),
     )

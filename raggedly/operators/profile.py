@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .prefix import bounded
 
 
@@ -37,6 +38,9 @@ def histogram(
     ranges = values.groupBy(*[F.col(k).alias(a) for k, a in zip(by, keys)]).agg(
         F.min("value").alias("_min"), F.max("value").alias("_max")
     )
+    if groups is None:  # one row per histogram: stored and counted, to choose the join
+        ranges = stored(ranges, "ranges")
+        groups = ranges.count()
     flat = F.col("_min") == F.col("_max")
     ranges = ranges.select(
         *keys,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import shuffle_bucket, shuffle_key
+from ..session import stored
 from ..sources.sinks import table_or_none
 from .prefix import bounded, running
 
@@ -34,7 +35,8 @@ def greedy_split(
     running total passes the mark), so no class is ever walked by one task.
     ``n_classes`` is the number of declared classes, if known.
     """
-    ordered = _ordered_files(files, seed)
+    # One row per file; each target looks at it again.
+    ordered = stored(_ordered_files(files, seed), "ordered-files")
     marked = ordered
     opened, start = F.lit(True), F.lit(0)
     ends: list[str] = []
@@ -127,8 +129,8 @@ def read_or_create_manifest(
     n_classes: int | None = None,
 ) -> DataFrame:
     """The stored manifest if there is one, else a new split, stored first."""
-    stored = table_or_none(spark, path)
-    if stored is not None:
-        return stored
+    found = table_or_none(spark, path)
+    if found is not None:
+        return found
     greedy_split(files, targets, seed, n_classes).write.parquet(path)
     return spark.read.parquet(path)

@@ -16,7 +16,10 @@ def write_vectors(df: DataFrame, path: str, mode: str = "append") -> None:
 
     Spark's commit protocol publishes files only when the job has succeeded.
     """
-    df.write.mode(mode).partitionBy("split", "class_folder").parquet(path)
+    # Each folder gets its rows from a few tasks, a large folder from more.
+    df.hint("rebalance", "split", "class_folder").write.mode(mode).partitionBy(
+        "split", "class_folder"
+    ).parquet(path)
 
 
 def read_vectors(

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from ..functions.scoring import argmax, cross_entropy, softmax
 from ..operators import metrics as M
 from ..operators import runs as R
+from ..session import fresh_folder
+from ..sources.sinks import write_predictions
 from .registry import query
-from .tables import N_CLASSES, history, predictions, table
+from .tables import N_CLASSES, N_COMPONENTS, history, predictions, table
 
-LOGITS = """
-z AS (SELECT vec_id, label, i - 1 AS class, embedding[i]::DOUBLE AS z
-      FROM embeddings, range(1, 11) r(i)),
+SUMS = ", ".join(
+    " + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(c, N_COMPONENTS, N_CLASSES))
+    for c in range(N_CLASSES)
+)
+LOGITS = f"""
+z AS (SELECT vec_id, label, unnest(range({N_CLASSES})) AS class, unnest([{SUMS}]) AS z FROM embeddings),
 p AS (SELECT *, exp(z - max(z) OVER w) / sum(exp(z - m)) OVER w AS prob
       FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM z) WINDOW w AS (PARTITION BY vec_id)),
 best AS (SELECT vec_id, any_value(label) AS label,
@@ -156,6 +161,52 @@ def metric_summary(spark, sf_dir):
     return out.withColumn("value", F.round("value", 6))
 
 
+@query(
+    "single_metric",
+    f"WITH {CURVE}, {F1}, {METRICS} SELECT name, round(value, 6) AS value FROM metrics WHERE name = 'mean_auc'",
+)
+def single_metric(spark, sf_dir):
+    summary = M.Evaluator(predictions(spark, sf_dir), CLASS_NAMES).summary()
+    value = M.metric(summary, "mean_auc")
+    return spark.range(1).select(F.lit("mean_auc").alias("name"), F.round(F.lit(value), 6).alias("value"))
+
+
+@query(
+    "predictions_export",
+    f"""WITH {LOGITS} SELECT label::BIGINT AS label, 'class' || label AS class_name,
+        prediction::INTEGER AS prediction, count(*) AS n, round(sum(loss), 5) AS loss
+        FROM best WHERE vec_id % 7 <> 0 GROUP BY ALL""",
+)
+def predictions_export(spark, sf_dir):
+    """Export and read back predictions of which a seventh has no logits."""
+    some = predictions(spark, sf_dir).withColumn(
+        "logits", F.when(F.col("vec_id") % 7 != 0, F.col("logits"))
+    )
+    path = fresh_folder(spark, "predictions")
+    write_predictions(some, path, CLASS_NAMES)
+    back = spark.read.parquet(path).select(
+        "label", F.get("class_names", F.col("label").cast("int")).alias("class_name"),
+        argmax(F.col("logits")).alias("prediction"),
+        cross_entropy(F.col("logits"), F.col("label")).alias("loss"),
+    )
+    return back.groupBy("label", "class_name", "prediction").agg(
+        F.count("*").alias("n"), F.round(F.sum("loss"), 5).alias("loss")
+    )
+
+
+@query(
+    "accuracy_with_gaps",
+    f"""WITH {LOGITS} SELECT round(avg((label = prediction)::INTEGER), 6) AS accuracy, count(*) AS n
+        FROM best WHERE vec_id % 7 <> 0""",
+)
+def accuracy_with_gaps(spark, sf_dir):
+    """Rows without logits take no part."""
+    some = predictions(spark, sf_dir).withColumn(
+        "logits", F.when(F.col("vec_id") % 7 != 0, F.col("logits"))
+    )
+    return M.accuracy(M.scored(some)).withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query(
     "merged_metrics",
     """WITH a AS (SELECT event_type AS name, max(value) AS value FROM events
@@ -180,31 +231,39 @@ def merged_metrics(spark, sf_dir):
     """SELECT user_id % 10 AS lr,
               max(value) FILTER (WHERE event_type = 'error') AS error,
               max(value) FILTER (WHERE event_type = 'click') AS click,
-              max(value) FILTER (WHERE event_type = 'view') AS "view"
+              max(value) FILTER (WHERE event_type = 'view') AS "view",
+              max(value) FILTER (WHERE event_type = 'purchase') AS purchase,
+              max(value) FILTER (WHERE event_type = 'signup') AS signup
        FROM events GROUP BY 1""",
 )
 def pivot_max(spark, sf_dir):
     runs = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 10).alias("lr"), F.col("event_type").alias("wd"), "value"
     )
-    return R.pivot_max(runs, "lr", "wd", "value", ["error", "click", "view"])
+    return R.pivot_max(runs, "lr", "wd", "value", ["error", "click", "view", "purchase", "signup"])
 
 
 @query(
     "group_best",
-    "SELECT event_type AS run_name, max(value) AS val_acc FROM events GROUP BY 1 ORDER BY 2 DESC",
+    """SELECT *, row_number() OVER (ORDER BY val_acc DESC, run_name) AS rank
+       FROM (SELECT event_type AS run_name, max(value) AS val_acc FROM events GROUP BY 1)""",
 )
 def group_best(spark, sf_dir):
     return R.group_best(history(spark, sf_dir), "run_name", "val_acc")
 
 
+def hours(ts):
+    """Buckets that follow the time order without a look at the data."""
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / 3_600_000_000)
+
+
 @query(
     "epoch_index",
     """SELECT event_type AS run_name, ts, event_id, value AS val_acc,
               row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS epoch FROM events""",
 )
 def epoch_index(spark, sf_dir):
-    return R.epoch_index(history(spark, sf_dir), "run_name", ["ts", "event_id"])
+    return R.epoch_index(history(spark, sf_dir), "run_name", ["ts", "event_id"], hours(F.col("ts")))
 
 
 @query(
@@ -214,7 +273,8 @@ def epoch_index(spark, sf_dir):
                                ROWS UNBOUNDED PRECEDING) AS best FROM events""",
 )
 def running_best(spark, sf_dir):
-    return R.running_best(history(spark, sf_dir), "run_name", ["ts", "event_id"], "val_acc")
+    runs = history(spark, sf_dir)
+    return R.running_best(runs, "run_name", ["ts", "event_id"], "val_acc", hours(F.col("ts")))
 
 
 @query(
@@ -251,9 +311,12 @@ def trials(spark, sf_dir):
     )
 
 
-@query("trials_by_value", f"SELECT * FROM ({TRIALS}) ORDER BY value DESC")
+@query(
+    "trials_by_value",
+    f"SELECT *, row_number() OVER (ORDER BY value DESC, number, layers) AS rank FROM ({TRIALS})",
+)
 def trials_by_value(spark, sf_dir):
-    return R.trials_by_value(trials(spark, sf_dir))
+    return R.trials_by_value(trials(spark, sf_dir), ["number", "layers"])
 
 
 @query(

@@ -154,20 +154,17 @@ def fit_minmax(spark, sf_dir):
 
 def applied(spark, sf_dir, stats, formula):
     """Join statistics (one row per declared feature) to the long values and apply them."""
-    values = item_values(spark, sf_dir).where(F.col("feature").isin("Sim_Item_Mass", "Sim_Item_Eta"))
+    values = item_values(spark, sf_dir)
     y = formula(F.col("value"))
     stats = bounded(stats, len(item_features()))
     return values.join(stats, "feature").select("feature", "value", F.round(y, DIGITS).alias("y"))
 
 
-APPLIED = "WHERE feature IN ('Sim_Item_Mass', 'Sim_Item_Eta')"
-
-
 @query(
     "apply_standard",
     f"""WITH {FEATURES}, {STANDARD} SELECT feature, value,
         round(CASE WHEN value <> 0 THEN (value - mean) / std ELSE 0 END, 6) AS y
-        FROM feats JOIN standard USING (feature) {APPLIED}""",
+        FROM feats JOIN standard USING (feature)""",
 )
 def apply_standard(spark, sf_dir):
     return applied(
@@ -180,7 +177,7 @@ def apply_standard(spark, sf_dir):
     "apply_robust",
     f"""WITH {FEATURES}, {ROBUST} SELECT feature, value,
         round(CASE WHEN value <> 0 THEN (value - median) / iqr ELSE 0 END, 6) AS y
-        FROM feats JOIN robust USING (feature) {APPLIED}""",
+        FROM feats JOIN robust USING (feature)""",
 )
 def apply_robust(spark, sf_dir):
     return applied(
@@ -193,7 +190,7 @@ def apply_robust(spark, sf_dir):
     "apply_minmax",
     f"""WITH {FEATURES}, {MINMAX} SELECT feature, value,
         round((value - low) / (high - low + 1e-6), 6) AS y
-        FROM feats JOIN minmax USING (feature) {APPLIED}""",
+        FROM feats JOIN minmax USING (feature)""",
 )
 def apply_minmax(spark, sf_dir):
     return applied(
@@ -275,7 +272,7 @@ BLOCKS = {
 }
 
 
-def _stats_sql(source: str) -> str:
+def stats_sql(source: str) -> str:
     values = " UNION ALL ".join(
         f"SELECT '{b}' AS block, e_{p:02d} AS v FROM {source}"
         for b, (_, places) in BLOCKS.items() for p in places
@@ -324,7 +321,7 @@ def expanded_vector(spark, sf_dir):
     return wide(plan.expand(order_vectors(spark, sf_dir)), len(plan.slots), ["o_orderkey"], DIGITS)
 
 
-@query("block_stats", f"WITH {EXPANDED}, {_stats_sql('expanded')} {STATS_OUT}")
+@query("block_stats", f"WITH {EXPANDED}, {stats_sql('expanded')} {STATS_OUT}")
 def block_stats(spark, sf_dir):
     return _stats_rows(Preprocessor(SECTIONS, TREATMENT).fit_stats(stored_vectors(spark, sf_dir)))
 
@@ -336,20 +333,19 @@ def block_stats(spark, sf_dir):
             SELECT *, row_number() OVER (PARTITION BY class_folder ORDER BY file) AS r
             FROM manifest WHERE split = 'train') WHERE r <= 5),
         picked AS (SELECT e.* FROM expanded e JOIN sample_files USING (class_folder, file)),
-        {_stats_sql('picked')} {STATS_OUT}""",
+        {stats_sql('picked')} {STATS_OUT}""",
 )
 def sample_block_stats(spark, sf_dir):
     """Statistics from the first files of each class's train split, as a fit does it."""
     vectors = stored_vectors(spark, sf_dir)
-    files = file_table(vectors)
-    placed = vectors.join(
-        greedy_split(files, TARGETS, SEED).select("class_folder", "file", "split"),
-        ["class_folder", "file"],
-    )
-    return _stats_rows(Preprocessor(SECTIONS, TREATMENT).fit_stats(fit_sample(placed, CLASSES.class_folders)))
+    files = stored(file_table(vectors), "files")
+    manifest = stored(greedy_split(files, TARGETS, SEED, len(CLASSES.names)), "manifest")
+    placed = vectors.join(manifest.select("class_folder", "file", "split"), ["class_folder", "file"])
+    picked = stored(fit_sample(placed, CLASSES.class_folders, n_files=5), "sample")
+    return _stats_rows(Preprocessor(SECTIONS, TREATMENT).fit_stats(picked))
 
 
-def _normalized_sql() -> str:
+def normalized_sql() -> str:
     parts = []
     place = {p: (b, k) for b, (k, ps) in BLOCKS.items() for p in ps}
     for i in range(len(EXPANDED_SLOTS)):
@@ -370,7 +366,7 @@ def _normalized_sql() -> str:
     return f"SELECT o_orderkey, {', '.join(parts)} FROM expanded {joins}"
 
 
-@query("preprocessed_vector", f"WITH {EXPANDED}, {_stats_sql('expanded')} {_normalized_sql()}")
+@query("preprocessed_vector", f"WITH {EXPANDED}, {stats_sql('expanded')} {normalized_sql()}")
 def preprocessed_vector(spark, sf_dir):
     """Pack, transform, fit and normalize: raw events to model input."""
     vectors = stored_vectors(spark, sf_dir)
@@ -446,11 +442,11 @@ def distinct_query(spark, sf_dir):
 )
 def distinct_union(spark, sf_dir):
     """Distinct values over several sources."""
-    found = [
-        distinct_values(table(spark, sf_dir, t).select(F.split("text", " ").alias("word")), "word")
+    words, more = (
+        table(spark, sf_dir, t).select(F.split("text", " ").alias("word"))
         for t in ("documents", "conversations")
-    ]
-    return found[0].unionByName(found[1]).distinct()
+    )
+    return distinct_values(words.unionByName(more), "word")
 
 
 @query(

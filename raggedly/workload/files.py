@@ -52,11 +52,13 @@ grid AS (SELECT class_folder, split FROM (VALUES {CLASS_VALUES}) a(class_folder)
 
 
 def order_files(spark, sf_dir):
-    return C.file_table(order_rows(spark, sf_dir))
+    """One row per file, counted once and stored, as a catalogue is."""
+    return stored(C.file_table(order_rows(spark, sf_dir)), "files")
 
 
 def manifest(spark, sf_dir):
-    return splits.greedy_split(order_files(spark, sf_dir), TARGETS, SEED, len(CLASSES.names))
+    files = order_files(spark, sf_dir)
+    return stored(splits.greedy_split(files, TARGETS, SEED, len(CLASSES.names)), "manifest")
 
 
 def used(spark, sf_dir):
@@ -176,9 +178,9 @@ TODO = """todo AS (SELECT class_folder, split, file, n_rows FROM manifest
 
 def todo(spark, sf_dir):
     """The manifest is stored first, as for a real run: numbering looks at it several times."""
-    work = stored(manifest(spark, sf_dir), "manifest").where(F.col("split") != "unused")
+    work = manifest(spark, sf_dir).where(F.col("split") != "unused")
     done = work.where(F.col("class_folder") == "1-URGENT").select("class_folder", "split", "file")
-    return pending(work, done)
+    return stored(pending(work, done), "todo")
 
 
 @query("pending_files", f"WITH {SPLIT}, {TODO} SELECT * FROM todo")
@@ -226,7 +228,8 @@ def worker_ranges(spark, sf_dir):
         WHERE r <= {CAP}""",
 )
 def class_cap(spark, sf_dir):
-    return feed.class_cap(order_rows(spark, sf_dir), "class_folder", [F.col("o_orderkey")], CAP, SEED,
+    rows = stored(order_rows(spark, sf_dir), "order-rows")
+    return feed.class_cap(rows, "class_folder", [F.col("o_orderkey")], CAP, SEED,
                           len(CLASSES.names))
 
 

@@ -8,6 +8,8 @@ log as the history of training runs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..plans.spec import ClassList, EventSpec, ObjectGroup
 CLASSES = ClassList(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
 FILE_ROWS = 256  # order keys per stand-in file
 N_CLASSES = 10
+N_COMPONENTS = 64
 K = 3
 
 ITEM_COLUMNS = ("Sim_Item_PT", "Sim_Item_Eta", "Sim_Item_Phi", "Sim_Item_Mass", "Sim_Item_Charge")
@@ -98,10 +101,17 @@ def word_events(documents: DataFrame) -> DataFrame:
     )
 
 
+def logits() -> Column:
+    """The logit of a class is the sum of every ``N_CLASSES``-th component from its own on."""
+    sums = []
+    for c in range(N_CLASSES):
+        parts = [F.get("embedding", F.lit(i)).cast("double") for i in range(c, N_COMPONENTS, N_CLASSES)]
+        sums.append(reduce(lambda a, b: a + b, parts))
+    return F.array(*sums)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.slice("embedding", 1, N_CLASSES).alias("logits")
-    )
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", logits().alias("logits"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..plans.spec import EventSpec, ObjectGroup
 from ..sources.events import with_label
 from .registry import query
 from .tables import (
-    CLASSES, ITEM_COLUMNS, K, ORDER_SPEC, WORD_SPEC, order_events, order_rows, table, wide,
+    CLASSES, K, ORDER_SPEC, WORD_SPEC, order_events, order_rows, table, wide,
     word_events,
 )
 
@@ -58,20 +58,30 @@ words AS (
 """
 
 
-@query("topk_pack", per_order(slot_list(ITEM_SLOTS)))
+WORD_COLUMNS = ("Doc_Word_PT", "Doc_Word_D0")
+
+
+def per_document(k: int) -> str:
+    slots = [f"coalesce(max({f}) FILTER (WHERE rk = {r}), 0)" for r in range(1, k + 1) for f in ("pt", "d0")]
+    return f"""WITH {WORDS} SELECT doc_id, {slot_list(slots)}
+        FROM documents JOIN words USING (doc_id) GROUP BY doc_id"""
+
+
+def packed_words(spark, sf_dir, k):
+    """Documents hold all their words as lists; the pack chooses among them in the row."""
+    spec = EventSpec((ObjectGroup("words", WORD_COLUMNS, k),))
+    events = word_events(table(spark, sf_dir, "documents"))
+    return wide(vectorize(events, spec, ["doc_id"]), spec.width, ["doc_id"])
+
+
+@query("topk_pack", per_document(K))
 def topk_pack(spark, sf_dir):
-    spec = EventSpec((ObjectGroup("items", ITEM_COLUMNS, K),))
-    return wide(
-        vectorize(order_events(spark, sf_dir), spec, ["o_orderkey"]), spec.width, ["o_orderkey"]
-    )
+    return packed_words(spark, sf_dir, K)
 
 
-@query("leading_pack", per_order(slot_list(LEAD_SLOTS)))
+@query("leading_pack", per_document(1))
 def leading_pack(spark, sf_dir):
-    spec = EventSpec((ObjectGroup("lead", ITEM_COLUMNS[:2], 1),))
-    return wide(
-        vectorize(order_events(spark, sf_dir, 1), spec, ["o_orderkey"]), 2, ["o_orderkey"]
-    )
+    return packed_words(spark, sf_dir, 1)
 
 
 @query("scalar_pack", f"SELECT o_orderkey, {slot_list([MET_SLOT, VERTEX_SLOT])} FROM orders GROUP BY 1")
@@ -199,40 +209,32 @@ def label_join(spark, sf_dir):
     return with_label(order_rows(spark, sf_dir), CLASSES).select("o_orderkey", "class_name", "label")
 
 
-NAMES = """
-names AS (
-  SELECT 'Sim' || l_linestatus || '_'
-         || CASE l_returnflag WHEN 'A' THEN 'Electron' WHEN 'N' THEN 'JetAK4' ELSE 'JetPuppiAK8' END
-         || '_' || CASE l_linenumber WHEN 1 THEN 'PT' WHEN 2 THEN 'Eta' WHEN 3 THEN 'Phi'
-                   WHEN 4 THEN 'BTag' WHEN 5 THEN 'Charge' WHEN 6 THEN 'D0_Error' ELSE 'NCharged' END
-         AS name
-  FROM lineitem)
+# A name for each family rule and one that no rule knows, with the family it must get.
+NAMED = (
+    ("Sim_Jet_PT", "pt"), ("Sim_Jet_Eta", "eta"), ("Sim_Jet_Phi", "phi"), ("Sim_Jet_Mass", "mass"),
+    ("Sim_Part_PID", "pid"), ("Sim_Electron_Charge", "charge"), ("Sim_JetPuppiAK4_BTag", "puppibtag"),
+    ("Sim_JetPuppiAK8_BTagPhys", "puppibtag"), ("Sim_JetAK4_BTag", "btag"),
+    ("Sim_JetAK8_BTagPhys", "btag"), ("Sim_Part_PuppiW", "puppiw"), ("Sim_Event_MET", "met"),
+    ("Sim_MET_Phi", "phi"), ("Sim_PrimaryVertex_SumPT2", "vertexpt2"),
+    ("Sim_PrimaryVertex_Z", "vertexcoord"), ("Sim_Muon_IsolationVar", "isolation"),
+    ("Sim_Muon_IsolationVarRhoCorr", "isolation"), ("Sim_Photon_EhadOverEem", "EhadOverEem"),
+    ("Sim_Muon_D0", "displacement"), ("Sim_Muon_DZ", "displacement"), ("Sim_Jet_NCharged", "ncharged"),
+    ("Sim_Jet_NNeutrals", "nneutrals"), ("Sim_Muon_D0_Error", "other"),
+)
+NAME_VALUES = ", ".join(f"({i}, '{n}', '{f}')" for i, (n, f) in enumerate(NAMED))
+NAMES = f"""
+named AS (SELECT * FROM (VALUES {NAME_VALUES}) v(i, name, family)),
+names AS (SELECT name, family FROM lineitem JOIN named ON i = l_partkey % {len(NAMED)})
 """
 
 
 def feature_names(spark, sf_dir):
     """A feature name per line item, so that naming functions see every row."""
-    flag, number = F.col("l_returnflag"), F.col("l_linenumber")
-    group = F.when(flag == "A", "Electron").when(flag == "N", "JetAK4").otherwise("JetPuppiAK8")
-    feature = F.when(number == 1, "PT").when(number == 2, "Eta").when(number == 3, "Phi")
-    feature = feature.when(number == 4, "BTag").when(number == 5, "Charge")
-    feature = feature.when(number == 6, "D0_Error").otherwise("NCharged")
-    return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("_", F.concat(F.lit("Sim"), "l_linestatus"), group, feature).alias("name")
-    )
+    name = F.get(F.lit([n for n, _ in NAMED]), (F.col("l_partkey") % len(NAMED)).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(name.alias("name"))
 
 
-@query(
-    "feature_family",
-    f"""WITH {NAMES} SELECT name,
-         CASE WHEN name LIKE '%\\_PT' ESCAPE '\\' THEN 'pt' WHEN name LIKE '%\\_Eta' ESCAPE '\\' THEN 'eta'
-              WHEN name LIKE '%\\_Phi' ESCAPE '\\' THEN 'phi'
-              WHEN name LIKE '%\\_Charge' ESCAPE '\\' THEN 'charge'
-              WHEN regexp_matches(name, '_JetPuppiAK[0-9]+_BTag$') THEN 'puppibtag'
-              WHEN regexp_matches(name, '_JetAK[0-9]+_BTag$') THEN 'btag'
-              WHEN name LIKE '%\\_NCharged' ESCAPE '\\' THEN 'ncharged' ELSE 'other' END AS family,
-         count(*) AS n FROM names GROUP BY ALL""",
-)
+@query("feature_family", f"WITH {NAMES} SELECT name, family, count(*) AS n FROM names GROUP BY ALL")
 def feature_family(spark, sf_dir):
     names = feature_names(spark, sf_dir)
     return names.select("name", family(F.col("name")).alias("family")).groupBy(
