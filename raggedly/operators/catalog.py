@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.names import base_name, folder_name, plain_path
 from ..plans.spec import ClassList
+from ..session import stored
 from ..sources.events import listing, scan
+from ..sources.footers import footers
 from .prefix import bounded
 
 SPLITS = ("train", "val", "test")
-MAX_EMPTY_BYTES = 16 << 20  # a Parquet file without rows is little more than its footer
 
 
 def rows_per_file(df: DataFrame) -> DataFrame:
@@ -46,7 +47,8 @@ def build_catalog(spark: SparkSession, base_dir: str, classes: ClassList) -> Dat
     """(class_folder, file, n_rows, status) over all class folders that exist.
 
     Unreadable files are kept out of the counts but not lost: every listed file has
-    a row, with status ``ok``, ``empty`` or ``unreadable``.
+    a row, with status ``ok``, ``empty`` or ``unreadable`` and its error. The footer
+    decides between the last two, in tasks and for files of any size.
     """
     paths = existing_folders(spark, base_dir, classes)
     if not paths:
@@ -57,37 +59,22 @@ def build_catalog(spark: SparkSession, base_dir: str, classes: ClassList) -> Dat
         base_name(F.col("path")).alias("file"),
         "n_rows",
     )
-    known = listing(spark, paths).join(counts, ["class_folder", "file"], "left")
-    # Files without rows are either empty or damaged. They are exceptions, so their
-    # names go through the driver: only they are opened, and only if small.
-    quiet = [
-        r["path"]
-        for r in known.where(F.col("n_rows").isNull() & (F.col("length") <= MAX_EMPTY_BYTES))
-        .select("path")
-        .collect()
-    ]
-    status = F.when(F.col("n_rows").isNotNull(), "ok")
-    if quiet:
-        known = known.join(intact_files(spark, quiet), "path", "left")
-        status = status.when(F.col("_intact"), "empty")
-    return known.select(
+    known = stored(
+        listing(spark, paths).join(counts, ["class_folder", "file"], "left").drop("length"), "listing"
+    )
+    # Files that gave no rows are empty if their footer says so, else damaged.
+    quiet = footers(known.where(F.col("n_rows").isNull())).withColumnRenamed("path", "_path")
+    return known.join(quiet, F.col("path") == F.col("_path"), "left").select(
         "class_folder",
         "file",
         F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        status.otherwise("unreadable").alias("status"),
-    )
-
-
-def intact_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Which of a few small files begin and end as a Parquet file does."""
-    mark = F.lit(b"PAR1")  # fixed value of the file format
-    return (
-        spark.read.format("binaryFile")
-        .load(list(paths))
-        .where(
-            (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
-        )
-        .select("path", F.lit(True).alias("_intact"))
+        F.when(F.col("n_rows").isNotNull(), "ok")
+        .when(F.col("footer_rows") == 0, "empty")
+        .otherwise("unreadable")
+        .alias("status"),
+        F.when(F.col("footer_rows") > 0, "the footer counts rows, but none were found")
+        .otherwise(F.col("error"))
+        .alias("error"),
     )
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
 from ..functions.names import base_name, folder_name, plain_path
 from ..plans.spec import ClassList, EventSpec
+from .footers import footers
 
 PARQUET_GLOB = "*.parquet"
 
@@ -76,9 +78,14 @@ def scan_classes(
     spec: EventSpec | None = None,
     skip_corrupt: bool = False,
 ) -> DataFrame:
-    """All events of the listed class folders with class, file, row and label."""
+    """All events of the listed class folders with class, file, row and label.
+
+    With a spec the schema is declared: no file is opened to infer it, and columns beyond
+    it are never read.
+    """
     paths = [f"{base_dir}/{folder}" for folder in classes.class_folders]
-    return _placed(scan(spark, paths, skip_corrupt=skip_corrupt), classes, spec)
+    schema = spec_schema(spec) if spec else None
+    return _placed(scan(spark, paths, schema=schema, skip_corrupt=skip_corrupt), classes, spec)
 
 
 def scan_files(
@@ -89,7 +96,8 @@ def scan_files(
     spec: EventSpec | None = None,
 ) -> DataFrame:
     """Events of the named (class_folder, file) pairs; no other file is opened."""
-    return _placed(scan(spark, [f"{base_dir}/{c}/{f}" for c, f in files]), classes, spec)
+    schema = spec_schema(spec) if spec else None
+    return _placed(scan(spark, [f"{base_dir}/{c}/{f}" for c, f in files], schema=schema), classes, spec)
 
 
 def scan_manifest(
@@ -98,19 +106,28 @@ def scan_manifest(
     manifest: DataFrame,
     classes: ClassList,
     spec: EventSpec | None = None,
+    report: str | None = None,
 ) -> DataFrame:
     """Events of the manifest's files only, with their split.
 
     Files are chosen before the read, one scan per split, so no event is joined or
     shuffled. The names pass through the driver, as a scan's file index does anyway.
+    With ``report``, files whose footer cannot be read are left out as a whole, and are
+    written there with their error; without it such a file ends the job.
     """
-    names = (
-        manifest.where(
-            (F.col("split") != "unused") & F.col("class_folder").isin(classes.class_folders)
+    chosen = manifest.where(
+        (F.col("split") != "unused") & F.col("class_folder").isin(classes.class_folders)
+    ).select("split", "class_folder", "file")
+    if report is not None:
+        placed = chosen.withColumn("_path", F.concat_ws("/", F.lit(base_dir), "class_folder", "file"))
+        checked = stored(
+            placed.join(footers(placed, "_path"), F.col("_path") == F.col("path")).drop("_path"),
+            "checked-files",
         )
-        .select("split", "class_folder", "file")
-        .collect()
-    )
+        bad = checked.where(F.col("error").isNotNull())
+        bad.select("split", "class_folder", "file", "error").write.mode("overwrite").json(report)
+        chosen = checked.where(F.col("error").isNull())
+    names = chosen.select("split", "class_folder", "file").collect()
     by_split: dict[str, list[tuple[str, str]]] = {}
     for r in names:
         by_split.setdefault(r["split"], []).append((r["class_folder"], r["file"]))

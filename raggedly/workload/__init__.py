@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import vectors, files, features, evaluation, jobs  # noqa: F401
+from . import vectors, files, features, evaluation, jobs, artifacts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -42,6 +42,10 @@ def shards(tmp_path):
     write_shard(str(base / "bkg" / "b0.parquet"), 15, 1000)
     write_shard(str(base / "bkg" / "b1.parquet"), 0)
     (base / "bkg" / "broken.parquet").write_bytes(b"not parquet at all")
+    write_shard(str(base / "bkg" / "footer.parquet"), 5, 2000)
+    whole = (base / "bkg" / "footer.parquet").read_bytes()
+    size = int.from_bytes(whole[-8:-4], "little")
+    (base / "bkg" / "footer.parquet").write_bytes(whole[: -8 - size] + b"\xff" * size + whole[-8:])
     (base / "bkg" / "notes.txt").write_text("skip me")
     return str(base)
 
@@ -56,11 +60,27 @@ def test_catalog_reports_every_file(spark, shards):
         ("bkg", "b0.parquet"): (15, "ok"),
         ("bkg", "b1.parquet"): (0, "empty"),
         ("bkg", "broken.parquet"): (0, "unreadable"),
+        ("bkg", "footer.parquet"): (0, "unreadable"),
     }
     with pytest.raises(FileNotFoundError):
         C.build_catalog(spark, shards, ClassList(("Gone",), {"Gone": "gone"}))
 
 
+def test_a_scan_reports_bad_shards_and_goes_on(spark, shards, tmp_path):
+    manifest = spark.createDataFrame(
+        [("bkg", "train", f) for f in ("b0.parquet", "b1.parquet", "footer.parquet", "broken.parquet")]
+        + [("sig", "val", "s1.parquet")],
+        "class_folder string, split string, file string",
+    )
+    report = str(tmp_path / "report")
+    rows = E.scan_manifest(spark, shards, manifest, CLASSES, SPEC, report)
+    assert rows.groupBy("split").count().orderBy("split").collect() == [("train", 15), ("val", 20)]
+    bad = spark.read.json(report).collect()
+    assert {r["file"] for r in bad} == {"footer.parquet", "broken.parquet"} and all(r["error"] for r in bad)
+    with pytest.raises(Exception):
+        E.scan_manifest(spark, shards, manifest, CLASSES, SPEC).count()
+
+
 def test_names_with_blanks_and_signs(spark, tmp_path):
     folder = "4-NOT +5% é"
     write_shard(str(tmp_path / folder / "a b+1.parquet"), 3)
