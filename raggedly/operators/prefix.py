@@ -34,15 +34,16 @@ def with_sampled_bucket(df: DataFrame, key: Column, cuts: int = CUTS) -> DataFra
         .agg(F.sort_array(F.collect_set("_key")).alias("points"))
         .scalar()
     )
-    # Twice the wanted number of cuts leaves room for the spread of the hash.
-    steps = [2**i for i in reversed(range((2 * cuts - 1).bit_length()))]
+    # The search is as deep as there are points, however many the hash has picked.
+    depth = F.ceil(F.log2(F.greatest(F.size("_points"), F.lit(1)) + F.lit(1.0))).cast("int")
+    steps = F.transform(F.sequence(depth, F.lit(0)), lambda i: F.pow(F.lit(2.0), i).cast("int"))
     # The optimizer folds the two projections into one, so no row carries the points.
     return (
         df.withColumn("_points", points)
         .withColumn(
             "_bucket",
             F.aggregate(
-                F.lit(steps),
+                steps,
                 F.lit(0),
                 lambda at, step: F.when(
                     F.try_element_at(F.col("_points"), at + step) <= key, at + step

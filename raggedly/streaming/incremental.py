@@ -59,13 +59,16 @@ def incremental_apply(
 
 
 def running_class_counts(
-    events: DataFrame, by: str, table: str, checkpoint: str
+    events: DataFrame, by: str, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Keep rows per class up to date in an in-memory table, one row per class."""
+    """Keep rows per class up to date in a table at ``path``, one row per class."""
     counts = events.groupBy(by).agg(F.count("*").alias("n_rows"))
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
     query = (
-        counts.writeStream.format("memory")
-        .queryName(table)
+        counts.writeStream.foreachBatch(replace)
         .outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -239,10 +239,9 @@ def incremental_apply_query(spark, sf_dir):
 
 @query("running_class_counts", "SELECT lang, count(*) AS n_rows FROM documents GROUP BY 1")
 def running_class_counts_query(spark, sf_dir):
-    checkpoint = fresh_folder(spark, "checkpoint")
-    name = "running_class_counts_" + checkpoint[-32:]
-    running_class_counts(document_stream(spark, sf_dir), "lang", name, checkpoint)
-    return spark.table(name)
+    path, checkpoint = fresh_folder(spark, "counts"), fresh_folder(spark, "checkpoint")
+    running_class_counts(document_stream(spark, sf_dir), "lang", path, checkpoint)
+    return spark.read.parquet(path)
 
 
 def rule_weights(n_in: int, n_out: int, salt: int):

@@ -171,8 +171,9 @@ def test_streams_take_each_file_once(spark, shards, tmp_path):
 def test_running_counts_stream(spark, shards, tmp_path):
     def run(name):
         stream = I.stream_files(spark, f"{shards}/sig", E.spec_schema(SPEC))
-        I.running_class_counts(stream.withColumn("c", F.lit("sig")), "c", name, str(tmp_path / "cp"))
-        return spark.table(name).collect()[0]["n_rows"]
+        path = str(tmp_path / name)
+        I.running_class_counts(stream.withColumn("c", F.lit("sig")), "c", path, str(tmp_path / "cp"))
+        return spark.read.parquet(path).collect()[0]["n_rows"]
 
     assert run("counts_one") == 60
     write_shard(f"{shards}/sig/s3.parquet", 7)
