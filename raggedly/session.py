@@ -58,8 +58,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+_made: dict[str, list[str]] = {}
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/raggedly/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/raggedly/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_folders(spark: SparkSession) -> None:
+    """Remove the intermediate results of this session, once its results have been taken."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stored(df, name: str):

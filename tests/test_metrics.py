@@ -139,3 +139,30 @@ def test_runs(spark):
     a = spark.createDataFrame([("acc", 1.0), ("loss", 2.0)], "name string, value double")
     b = spark.createDataFrame([("acc", 3.0)], "name string, value double")
     assert {r["name"]: r["value"] for r in R.merged_metrics(a, b).collect()} == {"acc": 3.0, "loss": 2.0}
+
+
+def test_pivot_rejects_an_undeclared_value(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0)], "i int, c string, v double")
+    row = R.pivot_max(df, "i", "c", "v", ["a", "b"]).first()
+    assert (row["a"], row["b"]) == (2.0, 3.0)
+    with pytest.raises(Exception, match="not declared: b"):
+        R.pivot_max(df, "i", "c", "v", ["a"]).collect()
+
+
+def test_equal_trials_have_one_order(spark):
+    rows = [(3, 0.5), (1, 0.5), (2, 0.9), (4, 0.9)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "number int, value double")
+        assert R.best_trial(df, ["number"]).first()["number"] == 4
+        ranks = {r["number"]: r["rank"] for r in R.trials_by_value(df, ["number"]).collect()}
+        assert ranks == {2: 1, 4: 2, 1: 3, 3: 4}
+
+
+def test_summary_reads_predictions_twice(spark, tmp_path):
+    rows = [(i % 3, [float(i % 5), float(i % 7), 1.0]) for i in range(60)] + [(1, None)]
+    path = str(tmp_path / "p")
+    spark.createDataFrame(rows, "label int, logits array<double>").write.parquet(path)
+    summary = M.Evaluator(spark.read.parquet(path), ["a", "b", "c"]).summary()
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert path not in plan and "logits" not in plan  # everything comes from the stored counts
+    assert {r["name"] for r in summary.collect()} >= {"loss", "acc", "f1", "mean_auc", "tpr_macro", "class_a_auc"}

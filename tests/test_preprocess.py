@@ -195,3 +195,23 @@ def test_wide_layout_stays_compiled(spark):
     out = model.transform(df)
     assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
     assert {len(r["x"]) for r in out.collect()} == {316}
+
+
+def test_positions_need_the_declared_width(spark):
+    from raggedly.operators.preprocess import standardize_positions, unmasked_moments
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([2.0, 4.0, 6.0],)], "x array<double>")
+    moments = unmasked_moments(df)
+    assert len(standardize_positions(df, moments, 3).first()["x"]) == 3
+    with pytest.raises(Exception, match="width differs"):
+        standardize_positions(df, moments, 2).collect()
+    with pytest.raises(ValueError, match="no moments"):
+        standardize_positions(df, moments, 4)
+
+
+def test_a_fit_takes_the_whole_train_split_by_default(spark):
+    from raggedly.operators.preprocess import fit_sample
+
+    rows = [("train" if i % 3 else "val", "c", f"f{i:02d}") for i in range(30)]
+    df = spark.createDataFrame(rows, "split string, class_folder string, file string")
+    assert fit_sample(df, ["c"]).count() == 20 and fit_sample(df, ["c"], 5).count() == 5

@@ -97,3 +97,13 @@ def test_summary_and_coverage(spark):
     assert {r["split"]: r["enough"] for r in cover.collect()} == {"train": True, "val": False}
     assert C.has_enough(cover).first()["enough"] is False
     assert C.has_enough(cover.where("split = 'train'")).first()["enough"] is True
+
+
+def test_greedy_split_counts_the_files_once(spark, tmp_path):
+    path = str(tmp_path / "files")
+    rows = [(f"c{i % 3}", f"f{i}", 10 + i % 7) for i in range(90)]
+    spark.createDataFrame(rows, "class_folder string, file string, n_rows long").write.parquet(path)
+    out = S.greedy_split(spark.read.parquet(path), (100, 50, 20), 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 5 and "md5" not in plan  # the stored order, not the files
+    assert out.count() == 90
