@@ -48,9 +48,12 @@ def greedy_split(
             .groupBy(F.col("class_folder").alias("_class"))
             .agg(F.min(F.struct("_place", "upto")).alias(f"_end{i}"))
         )
-        marked = marked.join(
-            bounded(end, n_classes), F.col("class_folder") == F.col("_class"), "left"
-        ).drop("_class")
+        marked = stored(
+            marked.join(
+                bounded(end, n_classes), F.col("class_folder") == F.col("_class"), "left"
+            ).drop("_class"),
+            "marked-files",
+        )
         ends.append(f"_end{i}")
         opened = F.col(f"_end{i}").isNotNull() & (F.col("_place") > F.col(f"_end{i}._place"))
         start = F.col(f"_end{i}.upto")
