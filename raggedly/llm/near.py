@@ -195,8 +195,9 @@ def confirmed_links(rows: DataFrame, families_: DataFrame, k: int, percent: int)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     mine = F.pmod(F.xxhash64("_id"), F.col("_blocks"))
+    # Families grow with the corpus, so the texts meet them by a merge at every size.
     return (
-        rows.join(placed, F.col("_id") == F.col("_of"))
+        rows.join(placed.hint("merge"), F.col("_id") == F.col("_of"))
         .select("_id", "component", "_blocks", "_text")
         .mapInArrow(sets_of, "_id long, component long, _blocks long, _set array<long>")
         .withColumn("_mine", mine)

@@ -17,6 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     no task's burden. Each round is written to the shared folder; the driver sees a count
     and a checksum. Links may repeat, have either direction, or join an id to itself.
     """
+    links = stored(links.select("u", "v"), "given-links")  # costly to find, and read twice
     own = links.where(F.col("u") == F.col("v")).select("u").distinct()
     edges = stored(
         links.where(F.col("u") != F.col("v"))
