@@ -137,6 +137,8 @@ def families(heads: DataFrame) -> DataFrame:
             "bucket-members",
         )
         pairs = members.select(F.col("_id").alias("u"), F.col("m").alias("v")).distinct()
+        if links is not None and members.isEmpty():
+            return components(links)
         if k == STAR_ROUNDS:
             return components(links.union(pairs))
         judged = stored(
