@@ -155,7 +155,8 @@ def write_codes(
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments with ``start``: the ids of all documents before the segment."""
     stored = spark.read.schema(SEGMENTS).parquet(path)
-    # One row per part of the file.
+    # One row per part of the file, so it can be broadcast: parts are the partitions of one
+    # shuffle, some ten bytes each. Else the segments themselves would be shuffled.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
         stored.groupBy(F.col("part").alias("_part"))
