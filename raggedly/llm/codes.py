@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import corpus, given_id, steps
-from .tokens import encoder
+from .tokens import SLICE_BYTES, encoder
 
 CHUNK = 8
 BLOCK = 512
@@ -118,7 +118,7 @@ def write_codes(
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
         encode_texts = encoder(tokenizer, cut).encode
-        for batch in steps(batches):
+        for batch in steps(batches, most=SLICE_BYTES):
             ids, counts = encode_texts(batch["_text"], end)
             levels = [
                 {"chunks": x.chunks.tobytes(), "bits": x.bits.tobytes(), "ranks": x.ranks.tobytes()}
@@ -164,7 +164,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     )
     return (
-        stored.join(parts, F.col("part") == F.col("_part"))
+        stored.join(F.broadcast(parts), F.col("part") == F.col("_part"))
         .withColumn("start", F.col("_base") + F.col("place"))
         .drop("_part", "_base")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.prefix import running
 from .tables import corpus, given_id, steps, stored
-from .tokens import encoder
+from .tokens import SLICE_BYTES, encoder
 
 CAPACITY = 2048
 PIECES = "_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,7 +37,7 @@ def cut_pieces(
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(tokenizer, cut).encode
-        for batch in steps(batches):
+        for batch in steps(batches, most=SLICE_BYTES):
             ids, counts = encode_texts(batch["_text"], end)
             n = -(-counts // capacity)
             doc = np.repeat(np.arange(len(counts)), n)

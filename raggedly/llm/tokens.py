@@ -7,6 +7,7 @@ pieces, one after another, are the ids of the text.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,9 @@ import pyarrow.compute as pc
 from .tables import split_words, starts_of
 
 #: Pieces whose ids a worker remembers. A bound of memory; the ids don't depend on it.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
+#: Text of one slice; the larger, the fewer pieces are looked up again.
+SLICE_BYTES = 8 << 20
 #: A space before more white space: there a byte-level text isn't cut, so it is encoded whole.
 UNSAFE = r" [\s\x0b\x{85}\p{Z}]|\x00"
 
@@ -42,24 +45,25 @@ class Encoder:
             pieces, counts = self._spaced(texts)
         coded = pieces.dictionary_encode()
         table, lengths = self._table(coded.dictionary.to_pylist())
-        at = coded.indices.to_numpy(zero_copy_only=False)
+        # The end of a text is one more piece, with one id of its own.
+        stops = np.cumsum(counts + 1)
+        at = np.full(int(stops[-1]) if len(stops) else 0, len(lengths), np.int32)
+        inner = np.ones(len(at), bool)
+        inner[stops - 1] = False
+        at[inner] = coded.indices.to_numpy(zero_copy_only=False)
+        table, lengths = np.append(table, np.uint32(end)), np.append(lengths, 1)
         sizes = lengths[at]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        stops = np.cumsum(counts)
-        per_text = bounds[stops] - bounds[stops - counts]
-        total = int(bounds[-1])
-        ids = table[
-            np.repeat(starts_of(lengths)[at] - bounds[:-1], sizes) + np.arange(total)
-        ]
-        out = np.full(total + len(per_text), end, np.uint32)
-        place = np.ones(len(out), bool)
-        place[np.cumsum(per_text + 1) - 1] = False
-        out[place] = ids
-        return out, per_text + 1
+        # The table and a slice of texts are small, so places need 32 bits.
+        places = np.repeat((starts_of(lengths)[at] - bounds[:-1]).astype(np.int32), sizes)
+        places += np.arange(bounds[-1], dtype=np.int32)
+        return table[places], np.diff(bounds[stops], prepend=0)
 
     def _spaced(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         unsafe = pc.match_substring_regex(texts, UNSAFE)
         marked = pc.replace_substring(texts, " ", "\x00 ")
+        # Letters or digits end before a sign in any case; so words meet again without it.
+        marked = pc.replace_substring_regex(marked, r"([\p{L}\p{N}])([.,])", "\\1\x00\\2")
         lists = pc.split_pattern(pc.if_else(unsafe, pa.scalar("", texts.type), marked), "\x00")
         pieces = lists.flatten()
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -77,7 +81,7 @@ class Encoder:
             [pieces[i] for i in new], add_special_tokens=False
         )
         for i, e in zip(new, encoded):
-            found[i] = ids = np.array(e.ids, np.uint32).tobytes()
+            found[i] = ids = array("I", e.ids).tobytes()
             if len(known) < REMEMBERED and len(pieces[i]) < 64:
                 known[pieces[i]] = ids
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
