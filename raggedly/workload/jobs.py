@@ -129,7 +129,7 @@ def preprocess_twice(spark, sf_dir):
     plan = Preprocessor(raw_layout(ORDER_SPEC), Treatment())
     run(spark, plan, vectors, out, stats, CLASSES.class_folders)
     again = run(spark, plan, vectors, out, stats, CLASSES.class_folders, mode="apply_only")
-    run(spark, plan, vectors, out, stats, CLASSES.class_folders, enabled=False)
+    run(spark, plan, vectors, out, stats, CLASSES.class_folders, enabled=False, splits=("train",))
     return plan, out, again
 
 
