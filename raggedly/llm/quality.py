@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import corpus, given_id, hashed, mix, split_words, starts_of, steps
+from .tables import corpus, given_id, hashed, mix, split_words, starts_of, steps, stored
 
 #: Labelled rows that the model is fitted on at most, picked by a hash of the id.
 SAMPLE_ROWS = 8_000
@@ -163,10 +163,10 @@ def fit(rows: Features, grades: np.ndarray, n_grades: int, seed: int = 3) -> Mod
 
 def _screened(rows: Features, grades: np.ndarray, n_grades: int) -> Features:
     """Only buckets that tell neighbouring grades, or all below from all above, apart."""
-    owner = np.repeat(np.arange(len(grades)), rows.counts)
-    pairs = np.unique(owner * BUCKETS + rows.buckets)
-    bucket, grade = pairs % BUCKETS, grades[pairs // BUCKETS]
-    seen = np.stack([np.bincount(bucket[grade == j], minlength=BUCKETS) for j in range(n_grades)])
+    seen = np.zeros((n_grades, BUCKETS), np.int32)  # documents that have a bucket
+    ends = np.cumsum(rows.counts)
+    for i, grade in enumerate(grades.tolist()):
+        seen[grade, np.unique(rows.buckets[ends[i] - rows.counts[i] : ends[i]])] += 1
     size = np.bincount(grades, minlength=n_grades)
     useful = np.zeros(BUCKETS, bool)
     for j in range(n_grades - 1):
@@ -178,7 +178,8 @@ def _screened(rows: Features, grades: np.ndarray, n_grades: int) -> Features:
                 z = (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m))
                 useful |= (np.abs(z) >= LEAST_Z) & (a + b >= LEAST_ROWS)
     kept = useful[rows.buckets]
-    return Features(rows.buckets[kept], np.bincount(owner[kept], minlength=len(grades)))
+    sums = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])
+    return Features(rows.buckets[kept], sums[ends] - sums[ends - rows.counts])
 
 
 def _ordered(free: np.ndarray) -> np.ndarray:
@@ -213,8 +214,8 @@ def train(
     """Fit on at most ``sample_rows`` labelled documents, the first by a hash of their id.
 
     Several labels of an id count as the lowest. Labels without a grade, an id or a
-    document are left out. Features are made in tasks; the driver fits on the bounded
-    sample of them.
+    document are left out. Features are made in tasks, and one task fits on the bounded
+    sample of them; the driver gets the weights that are not zero.
     """
     chosen = (
         labels.select(labels[id_col].cast("long").alias("_of"), grade.cast("int").alias("_grade"))
@@ -240,11 +241,36 @@ def train(
                 [batch["_id"], batch["_grade"], pa.array(binary, pa.binary())], names=["_id", "_grade", "_f"]
             )
 
-    sample = rows.mapInArrow(featured, "_id long, _grade int, _f binary").toArrow().sort_by("_id")
-    parts = [np.frombuffer(x, "<i4") for x in sample["_f"].to_pylist()]
-    buckets = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    counts = np.array([len(x) for x in parts], np.int64)
-    return fit(Features(buckets, counts), sample["_grade"].to_numpy().astype(np.int64), n_grades)
+    def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, grades = [], []
+        for batch in batches:  # in the order of ids: the same sample gives the same model
+            parts += [np.frombuffer(x, "<i4") for x in batch["_f"].to_pylist()]
+            grades += batch["_grade"].to_pylist()
+        counts = np.array([len(x) for x in parts], np.int64)
+        buckets = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        del parts
+        model = fit(Features(buckets, counts), np.array(grades, np.int64), n_grades)
+        names = np.flatnonzero(model.weights)
+        thresholds = np.arange(len(model.thresholds))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([names, -1 - thresholds])),
+                pa.array(np.concatenate([model.weights[names].astype(float), model.thresholds])),
+            ],
+            names=["place", "value"],
+        )
+
+    sample = stored(rows.mapInArrow(featured, "_id long, _grade int, _f binary"), "sample-features")
+    found = sample.repartition(1).sortWithinPartitions("_id", "_f").mapInArrow(
+        fitted, "place long, value double"
+    ).toArrow()
+    if not found.num_rows:  # no labelled document, so no task ran
+        none = np.zeros(0, np.int64)
+        return fit(Features(none, none), none, n_grades)
+    place, value = (found[c].to_numpy() for c in ("place", "value"))
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[place[place >= 0]] = value[place >= 0]
+    return Model(weights, value[place < 0][np.argsort(-place[place < 0])])
 
 
 def grade_documents(
