@@ -284,7 +284,8 @@ def grade_documents(
     """One row per input row: ``doc_id, expected_grade, tail, kept, carried``.
 
     ``tail`` is the probability of the highest grade; ``kept`` says that it is at least
-    ``least_tail``. ``expected_grade`` is the sum of the tails of all grades. The model is
+    ``least_tail``, or that the model has no weight at all (too few labels) and so cannot
+    tell documents apart. ``expected_grade`` is the sum of the tails of all grades. The model is
     one number for each of ``BUCKETS`` buckets, whatever the data. Null text counts as
     empty, which has a shape and so a grade. Rows that repeat an id are graded each. No rows
     give no rows. ``carried`` hands ``keep`` through.
@@ -305,6 +306,6 @@ def grade_documents(
         given_id().alias("doc_id"),
         "expected_grade",
         "tail",
-        (F.col("tail") >= least_tail).alias("kept"),
+        (F.lit(not model.weights.any()) | (F.col("tail") >= least_tail)).alias("kept"),
         "carried",
     )

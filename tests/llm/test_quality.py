@@ -82,4 +82,4 @@ def test_without_labels_every_grade_is_as_likely(make, spark):
     none = spark.createDataFrame([], "doc_id long, grade int")
     model = Q.train(make([(1, "a b")]), none, F.col("grade"), 3)
     row = Q.grade_documents(make([(1, "a b")]), model).first()
-    assert row.expected_grade == pytest.approx(1.0)
+    assert row.expected_grade == pytest.approx(1.0) and row.kept
