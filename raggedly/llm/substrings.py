@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lines import covered
-from .tables import corpus, given_id, hashed, mix, split_words, starts_of, steps
+from .tables import corpus, given_id, hashed, mix, split_words, starts_of, steps, stored
 
 WINDOW = 20
 ROUNDS = 4
@@ -140,6 +140,15 @@ def _lists(where: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+def _ties(where: np.ndarray, texts: np.ndarray, n: int) -> pa.Array:
+    """As ``_lists``, for numbers of texts; null where there are none."""
+    sizes = np.bincount(where, minlength=n)
+    lists = pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(texts.astype(np.int64))
+    )
+    return pc.if_else(pa.array(sizes > 0), lists, pa.scalar(None, lists.type))
+
+
 def _parsed(batch: pa.RecordBatch, rounds: int):
     words, counts = split_words(batch["_text"])
     names = hashed(words)
@@ -152,29 +161,33 @@ def _parsed(batch: pa.RecordBatch, rounds: int):
 
 
 # What a task asks and knows: a name (or window) to look up in the whole corpus with the
-# place to answer to, or what it has found out itself about one document, under a key of
-# its own so that no task gathers these.
-ASKED = "_key long, _also long, _id long, _at int, _known array<int>"
+# place to answer to, or what it has found out itself about one text, under a key of its
+# own so that no task gathers these. An id need not name one text, so the place to answer
+# to is the number of the text; windows have the id beside it for their order, and the
+# other texts of the task that have the same window at the same place of the same id.
+ASKED = "_key long, _also long, _row long, _at int, _known array<int>"
+ASKED_IN_ORDER = ASKED + ", _id long, _ties array<long>"
 
 
-def _asked(key, also, ids, at, known_ids, known: pa.Array) -> pa.RecordBatch:
-    n, m = len(key), len(known_ids)
+def _asked(key, also, rows, at, known_rows, known: pa.Array, **more: pa.Array) -> pa.RecordBatch:
+    n, m = len(key), len(known_rows)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([key.view(np.int64), mix(known_ids.view(np.uint64)).view(np.int64)])),
+            pa.array(np.concatenate([key.view(np.int64), mix(known_rows.view(np.uint64)).view(np.int64)])),
             pa.array(np.concatenate([also.view(np.int64), np.arange(m)])),
-            pa.array(np.concatenate([ids, known_ids])),
+            pa.array(np.concatenate([rows, known_rows])),
             pa.array(np.concatenate([at, np.zeros(m, np.int64)]).astype(np.int32)),
             pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), known]),
+            *[pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in more.values()],
         ],
-        names=["_key", "_also", "_id", "_at", "_known"],
+        names=["_key", "_also", "_row", "_at", "_known", *more],
     )
 
 
 def _name_symbols(window: int, rounds: int) -> Callable:
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            ids = batch["_id"].to_numpy()
+            rows = batch["_row"].to_numpy()
             _, counts, s, row, number = _parsed(batch, rounds)
             useful = np.flatnonzero(s.high - s.low <= window)
             order, head = _first_of_equals(s.name[useful])
@@ -187,9 +200,9 @@ def _name_symbols(window: int, rounds: int) -> Callable:
             yield _asked(
                 s.name[asks] >> np.uint64(NAME_SHIFT),
                 np.zeros(len(asks), np.int64),
-                ids[row[asks]],
+                rows[row[asks]],
                 number[asks],
-                ids[some],
+                rows[some],
                 _lists(where, number[twice], len(some)),
             )
 
@@ -199,8 +212,7 @@ def _name_symbols(window: int, rounds: int) -> Callable:
 def _name_windows(window: int, rounds: int) -> Callable:
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            batch = batch.take(pa.array(np.argsort(batch["_id"].to_numpy(), kind="stable")))
-            ids = batch["_id"].to_numpy()
+            ids, rows = batch["_id"].to_numpy(), batch["_row"].to_numpy()
             words, counts, s, row, number = _parsed(batch, rounds)
             alone = np.ones(len(row), bool)
             found, in_row = _flat(batch["_found"])
@@ -211,16 +223,33 @@ def _name_windows(window: int, rounds: int) -> Callable:
             a, b = window_hashes(words, at, window)
             begins = starts_of(counts)
             row = np.repeat(np.arange(len(counts)), counts)[at]
-            place, owner = at - begins[row], ids[row]
-            # The order is by id and place, and stable: the head is the earliest.
+            place = at - begins[row]
+            # In the order of id and place, which is stable: the head is the earliest.
+            by = np.lexsort((rows[row], place, ids[row]))
+            a, b, row, place = a[by], b[by], row[by], place[by]
+            owner, text = ids[row], rows[row]
             order, head = _first_of_equals(a, b)
             chosen = order[head] if len(order) else order
             later = (owner[order] != owner[chosen]) | (place[order] != place[chosen])
             again = np.sort(order[later])
+            again = again[np.argsort(row[again], kind="stable")]
             some, where = np.unique(row[again], return_inverse=True)
-            asks = np.sort(order[np.unique(head)])
+            asks = np.unique(head)
+            # Other texts with the window at the very place of the head get the same answer.
+            tied = np.flatnonzero(~later & (text[order] != text[chosen]))
+            ties = _ties(np.searchsorted(asks, head[tied]), text[order[tied]], len(asks))
+            asks = order[asks]
+            sent = np.argsort(row[asks], kind="stable")  # rows of a document stay together
+            asks = asks[sent]
             yield _asked(
-                a[asks], b[asks], owner[asks], place[asks], ids[some], _lists(where, place[again], len(some))
+                a[asks],
+                b[asks],
+                text[asks],
+                place[asks],
+                rows[some],
+                _lists(where, place[again], len(some)),
+                _id=pa.array(owner[asks]),
+                _ties=ties.take(pa.array(sent)),
             )
 
     return name
@@ -235,13 +264,17 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def _by_document(answers: DataFrame, hit: Column, name: str, also: str) -> DataFrame:
-    """What is known of each document: its own findings, and the answers to its questions."""
+def _by_text(answers: DataFrame, hit: Column, name: str, also: str, ties: bool = False) -> DataFrame:
+    """What is known of each text: a task's own findings, and the answers to its questions."""
     known = F.coalesce("_known", F.when(hit, F.array("_at")))
+    found = answers.withColumn("_k", known).where(F.col("_k").isNotNull())
+    if ties:
+        texts = F.when(F.col("_ties").isNull(), F.array("_row")).otherwise(
+            F.concat(F.array("_row"), "_ties")
+        )
+        found = found.select(F.explode(texts).alias("_row"), "_k")
     return (
-        answers.select(F.col("_id").alias(also), known.alias("_k"))
-        .where(F.col("_k").isNotNull())
-        .groupBy(also)
+        found.groupBy(F.col("_row").alias(also))
         .agg(F.array_distinct(F.flatten(F.collect_list("_k"))).alias(name))
     )
 
@@ -270,29 +303,42 @@ def drop_repeated_passages(
 
     So a passage that a third of all documents share sends one row per slice of a task. No
     window is sampled or left out. Null text counts as empty. A null id counts as the
-    largest. Rows that repeat an id start at the same places, so neither is the earlier
-    one; what is found for an id holds for all its rows. No rows give no rows.
+    largest. Rows that repeat an id (or have none) start at the same places, so of windows
+    at one place neither is the earlier one; what is found for one of them holds for those
+    with the same text only. No rows give no rows.
     """
-    rows = corpus(docs, id_col, text_col)
-    originals = rows.groupBy(F.md5("_text").alias("_md5"), F.length("_text").alias("_long")).agg(
-        F.min("_id").alias("_own")
-    ).select("_own").distinct()
-    own = rows.join(originals, F.col("_id") == F.col("_own"), "left_semi")
-
-    asked = own.mapInArrow(_name_symbols(window, rounds), ASKED)
+    rows = corpus(docs, id_col, text_col).withColumns(
+        # Without a null the three joins below move the texts alike, and so only once.
+        {"_md5": F.coalesce(F.unhex(F.md5("_text")), F.lit(b"")), "_long": F.length("_text")}
+    )
+    # Numbers of the texts hold from here on.
+    originals = stored(
+        rows.groupBy(F.col("_md5").alias("_same"), F.col("_long").alias("_size"))
+        .agg(F.min("_id").alias("_own"))
+        .withColumn("_row", F.monotonically_increasing_id()),
+        "originals",
+    )
+    # With the id as a key, the copies of a text do not meet in one task.
+    is_own = (
+        (F.col("_md5") == F.col("_same"))
+        & (F.col("_long") == F.col("_size"))
+        & (F.col("_id") == F.col("_own"))
+    )
+    # What is found joins the numbers first, so texts move by one set of keys throughout.
+    asked = rows.join(originals, is_own).select("_row", "_text").mapInArrow(_name_symbols(window, rounds), ASKED)
     same = Window.partitionBy("_key", "_also")
     answers = asked.withColumn("_n", F.count("*").over(same))
-    found = _by_document(answers, F.col("_n") > 1, "_found", "_of")
+    found = _by_text(answers, F.col("_n") > 1, "_found", "_of")
 
-    open_ = own.join(found, F.col("_id") == F.col("_of"), "left").select("_id", "_text", "_found")
-    asked = open_.mapInArrow(_name_windows(window, rounds), ASKED)
-    # Rows of one place (of repeated rows) have one rank, so none is later than another.
+    known = originals.join(found, F.col("_row") == F.col("_of"), "left")
+    open_ = rows.join(known, is_own).select("_id", "_row", "_text", "_found")
+    asked = open_.mapInArrow(_name_windows(window, rounds), ASKED_IN_ORDER)
+    # Windows of one place (of a repeated id) have one rank, so none is later than another.
     answers = asked.withColumn("_rank", F.rank().over(same.orderBy("_id", "_at")))
-    later = _by_document(answers, F.col("_rank") > 1, "_later", "_to")
+    later = _by_text(answers, F.col("_rank") > 1, "_later", "_to", ties=True)
 
     cut = (
-        rows.join(originals, F.col("_id") == F.col("_own"), "left")
-        .join(later, F.col("_id") == F.col("_to"), "left")
+        rows.join(originals.join(later, F.col("_row") == F.col("_to"), "left"), is_own, "left")
         .select("_id", "_text", F.col("_own").isNull().alias("_copy"), "_later")
         .mapInArrow(
             _cutter(window, with_text),

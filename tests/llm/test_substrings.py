@@ -81,5 +81,22 @@ def test_null_id_is_the_largest(make):
     assert {r.doc_id: r.n_removed for r in out} == {None: 25, 1: 0}
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_repeated_and_null_ids_of_different_texts(make, seed):
+    r = random.Random(seed)
+    head = [f"h{i}" for i in range(25)]
+    rows = [(1 if i < 3 else i, t) for i, (_, t) in enumerate(texts(seed))]
+    rows = [(None if i % 3 == 0 and d != 1 else d // 4 * 4, t) for i, (d, t) in enumerate(rows)]
+    for d in (None, None, 3, 2, 2, None, 7):  # the same start, and different lengths
+        rows.append((d, " ".join(head + [f"v{r.random()}" for _ in range(r.randrange(90))])))
+    rows += [(None, rows[9][1]), (None, rows[9][1]), (None, "short"), (None, None)]
+    r.shuffle(rows)
+    # Of two texts of one id, only the one that repeats a window loses it.
+    rows += [(10**9, "z " * 40), (10**9, " ".join(f"u{i}" for i in range(22)))]
+    big = 1 << 62
+    got = sorted((big if x[0] is None else x[0], *x[1:]) for x in map(tuple, drop_repeated_passages(make(rows)).collect()))
+    assert got == brute(rows)
+
+
 def test_empty(make):
     assert drop_repeated_passages(make([])).collect() == []
