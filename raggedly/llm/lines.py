@@ -15,9 +15,10 @@ WINDOW = 3
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``_of, _at``: the windows of an id that also start earlier in the corpus.
+    """``_of, _same_text, _at``: the windows of a text that also start earlier in the corpus.
 
-    ``rows`` has ``_id, _text``. The first start of each hash is a minimum, so a window
+    ``rows`` has ``_id, _text, _md5`` (of the text). An id need not name one text, so both
+    say whose windows they are; the id alone is the order. The first start of each hash is a minimum, so a window
     that a third of all documents share sends one row per task. A window is the MD5 of
     its lines, which no line can run over. ``_at`` is an array of starts.
     """
@@ -27,9 +28,9 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         lambda i: F.unhex(F.md5(F.array_join(F.slice("_lines", i, window), "\n"))),
     )
     windows = stored(
-        rows.select("_id", lines.alias("_lines"))
+        rows.select("_id", "_md5", lines.alias("_lines"))
         .where(F.size("_lines") >= window)
-        .select("_id", F.posexplode(hashes).alias("_at", "_hash")),
+        .select("_id", "_md5", F.posexplode(hashes).alias("_at", "_hash")),
         "line-windows",
     )
     firsts = (
@@ -42,7 +43,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     return (
         windows.join(firsts, F.col("_hash") == F.col("_same"))
         .where(later)
-        .groupBy(F.col("_id").alias("_of"))
+        .groupBy(F.col("_id").alias("_of"), F.col("_md5").alias("_same_text"))
         .agg(F.collect_set("_at").alias("_at"))
     )
 
@@ -63,15 +64,16 @@ def drop_repeated_lines(
     line feeds. Texts of fewer lines than a window have none and stay.
 
     Null text counts as empty: one empty line, and ``kept`` is empty. A null id counts as
-    the largest. Rows that repeat an id start at the same places, so neither is the
-    earlier one, and what is found for an id goes from all its rows. No rows give no rows.
-    ``carried`` hands ``keep`` through.
+    the largest. Rows that repeat an id (or have none) start at the same places, so of
+    windows at one place neither is the earlier one; what is found for one of them goes from
+    those with the same text only. No rows give no rows. ``carried`` hands ``keep`` through.
     """
     carried = F.lit(None).cast("string") if keep is None else keep
-    rows = corpus(docs, id_col, text_col, carried=carried)
-    found = repeated_windows(rows.select("_id", "_text"), window)
+    rows = corpus(docs, id_col, text_col, carried=carried).withColumn("_md5", F.unhex(F.md5("_text")))
+    found = repeated_windows(rows.select("_id", "_text", "_md5"), window)
+    its_own = (F.col("_id") == F.col("_of")) & (F.col("_md5") == F.col("_same_text"))
     return (
-        rows.join(found, F.col("_id") == F.col("_of"), "left")
+        rows.join(found, its_own, "left")
         .select("_id", "_text", "carried", "_at")
         .mapInArrow(
             _cutter(window),

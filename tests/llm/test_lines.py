@@ -29,6 +29,18 @@ def test_against_brute_force(make):
     assert got == brute(rows)
 
 
+def test_repeated_and_null_ids_of_different_texts(make):
+    top = "p\nq\nr\ns\n"
+    rows = [(1, "a\nb\nc"), (7, top + "t\nu\nv"), (7, "x\ny\nz"), (7, "1\n2\n3\n4\n" + top + "5")]
+    big = [top + f"{i}\n" * (i % 7 + 1) + "a\nb\nc" for i in range(20)]
+    big += ["1\n2\n3\n4", "e\nf\ng\nh\ni", "a\nb\nc\nk", "k", None, big[0]]
+    full = rows + [(10**9, t) for t in big]
+    none = [(d if d < 10**9 else None, t) for d, t in full]
+    got = [(10**9 if r[0] is None else r[0], *r[1:4]) for r in map(tuple, drop_repeated_lines(make(none)).collect())]
+    assert sorted(got) == brute(full)
+    assert sorted(tuple(r)[:4] for r in drop_repeated_lines(make(full)).collect()) == brute(full)
+
+
 def test_empty(make):
     assert drop_repeated_lines(make([])).collect() == []
 
