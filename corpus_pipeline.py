@@ -17,7 +17,7 @@ from raggedly.llm.near import near_duplicates
 from raggedly.llm.packing import pack_documents
 from raggedly.llm.quality import grade_documents
 from raggedly.llm.queries import quality_model, table
-from raggedly.llm.tables import SPACE, stored
+from raggedly.llm.tables import NO_ID, SPACE, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Rows are told apart by a number of their own: rows that share an id (or have none) go
+    only when their texts are linked. A null id is the largest; among rows of one id a hash
+    of the whole row decides, so the same rows always leave the same ones.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(rows, "_row").select(F.col("doc_id").alias("_of"), "component_id")
+    order = F.struct(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(*docs.columns), "_row"
+    )
+    kept = (
+        rows.select("_row", order.alias("_order"))
+        .join(groups, F.col("_row") == F.col("_of"))
+        .groupBy("component_id")
+        .agg(F.min("_order")["_row"].alias("_kept"))
+    )
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

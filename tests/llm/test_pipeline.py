@@ -75,3 +75,28 @@ def test_run(spark, sf_dir):
     assert [name for name, _ in P.STAGES] == [
         "quality classifier", "line dedup", "MinHash near-dedup", "mixing to target weights", "best-fit packing"
     ]
+
+
+def _documents(spark, rows):
+    rows = [(d, t, "en", s, len(t)) for d, t, s in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_dedup_keeps_rows_that_are_like_nothing(spark, sf_dir):
+    r = random.Random(8)
+    alone = [(None if i % 2 else 5, " ".join(f"w{r.randrange(10**6)}" for _ in range(40)), f"s{i % 2}") for i in range(30)]
+    first = " ".join(f"g{i}" for i in range(60))
+    group = [(None, first, "s0"), (9, first + " x", "s0"), (7, first + " y", "s1"), (None, first, "s0")]
+    none = " ".join(f"n{i}" for i in range(60))
+    nulls = [(None, none + f" {i}", f"s{i % 3}") for i in range(6)]
+    same = [(5, "one two three four five six", "s0"), (5, "one two three four five six", "s1")]
+    rows = alone + group + nulls + same
+    runs = []
+    for _ in range(2):
+        r.shuffle(rows)
+        out = P.near_dedup(spark, _documents(spark, rows).repartition(3), sf_dir).collect()
+        runs.append(sorted((x.doc_id or 0, x.text, x.source) for x in out))
+    assert runs[0] == runs[1]
+    got = [(d or None, t, s) for d, t, s in runs[0]]
+    assert all(x in got for x in alone) and (7, first + " y", "s1") in got
+    assert len(got) == len(alone) + 3
