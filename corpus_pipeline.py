@@ -64,19 +64,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; at a source's cut, the first words of one."""
-    taken = mix(docs, word_count(docs["text"])).where("taken > 0").select(
-        F.col("doc_id").alias("_of"),
-        F.concat(
-            F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")),
-            F.filter(F.array(F.col("taken") % F.col("size")), lambda n: n > 0),
-        ).alias("_parts"),
+    # Rows without an id get a hash in its place there, so that they do not all have one key.
+    rows = docs.withColumn("_mix_id", F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(*docs.columns)))
+    whole = F.struct(*[rows[c] for c in docs.columns]).alias("carried")
+    taken = mix(rows, word_count(rows["text"]), id_col="_mix_id", carry=[whole]).where("taken > 0")
+    parts = F.concat(
+        F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")),
+        F.filter(F.array(F.col("taken") % F.col("size")), lambda n: n > 0),
     )
-    words = F.split(F.regexp_replace("text", f"^{SPACE}+", ""), f"{SPACE}+")
+    words = F.split(F.regexp_replace("carried.text", f"^{SPACE}+", ""), f"{SPACE}+")
     cut = F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")
-    return (
-        docs.join(taken, docs["doc_id"].eqNullSafe(taken["_of"]))
-        .withColumn("_part", F.explode("_parts"))
-        .select(*[_replaced(c, docs[c], cut, F.col("_part") > 0) for c in docs.columns])
+    return taken.select("carried", F.explode(parts).alias("_part")).select(
+        *[_replaced(c, F.col("carried")[c], cut, F.col("_part") > 0) for c in docs.columns]
     )
 
 

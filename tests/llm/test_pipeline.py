@@ -100,3 +100,22 @@ def test_near_dedup_keeps_rows_that_are_like_nothing(spark, sf_dir):
     got = [(d or None, t, s) for d, t, s in runs[0]]
     assert all(x in got for x in alone) and (7, first + " y", "s1") in got
     assert len(got) == len(alone) + 3
+
+
+def test_mixing_with_repeated_and_null_ids(spark, sf_dir):
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(5, 40)))
+    rows = [([None, 3, i][i % 3], text(), f"s{i % 2}") for i in range(60)]
+    out = P.mixing(spark, _documents(spark, rows), sf_dir).collect()
+    words = sum(len(t.split()) for _, t, _ in rows)
+    assert words - 2 <= sum(len(x.text.split()) for x in out) <= words
+    assert all(x.n_chars == len(x.text) for x in out)
+    given = {t: (d, s) for d, t, s in rows}
+    whole = {}
+    for x in out:
+        if x.text in given:
+            assert given[x.text] == (x.doc_id, x.source)
+            whole[x.text] = whole.get(x.text, 0) + 1
+        else:
+            assert any(t.startswith(x.text) and k == (x.doc_id, x.source) for t, k in given.items())
+    assert max(whole.values()) <= 3
