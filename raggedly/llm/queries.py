@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codes import read_documents, write_codes
+from .divergence import source_divergence
 from .exact import exact_duplicates
 from .lines import drop_repeated_lines
 from .mixing import mix, word_count
@@ -170,6 +171,59 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 5
 """
 
+
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), w AS (
+  SELECT lang, source, r, term, count(*) AS n FROM (
+    SELECT lang, source, r,
+      unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+  ) GROUP BY ALL
+), terms AS (
+  SELECT lang, term, sum(n)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(*) >= 3
+), counts AS (
+  SELECT lang, source, term, sum(w.n)::HUGEINT AS n
+  FROM w SEMI JOIN terms USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT lang, source, coalesce(total, 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) USING (lang, source)
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM terms GROUP BY lang
+), weights AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + l.v) AS p
+  FROM groups g JOIN langs l USING (lang) JOIN terms t USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (t.n + 1)) // (l.total + l.v) AS q
+  FROM terms t JOIN langs l USING (lang)
+), pair_sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM weights a JOIN weights b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), out AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q
+  FROM weights JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  (row_number() OVER w)::INT AS rank
+FROM out
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER w <= 200
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_line_dedup": op2_line_dedup,
@@ -181,10 +235,12 @@ QUERIES: dict[str, Query] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_topk": op10_topk,
+    "op11_divergence": op11_divergence,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op10_topk": OP10_SQL,
+    "op11_divergence": OP11_SQL,
 }

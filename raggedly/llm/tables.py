@@ -45,6 +45,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Copies of each row of a small side in a spread join.
+SPREAD = 8
+
+
+def spread_join(
+    big: DataFrame, small: DataFrame, keys: list[str], by: Column, how: str = "inner"
+) -> DataFrame:
+    """Join on ``keys`` where a key may hold most of ``big``: its rows go to ``SPREAD`` places by
+    the hash ``by``, and each row of ``small`` to all of them. Spark broadcasts ``small``
+    instead where its size is below the session's threshold."""
+    salt = F.pmod(by, F.lit(SPREAD)).cast("int")
+    copies = small.select(
+        *[small[k].alias(f"_of_{k}") for k in keys],
+        *[small[c] for c in small.columns if c not in keys],
+        F.explode(F.array(*[F.lit(i) for i in range(SPREAD)])).alias("_copy"),
+    )
+    on = F.col("_salt") == F.col("_copy")
+    for k in keys:
+        on &= F.col(k) == F.col(f"_of_{k}")
+    out = big.withColumn("_salt", salt).join(copies, on, how)
+    return out.drop("_salt", "_copy", *[f"_of_{k}" for k in keys])
+
+
 def steps(
     batches: Iterable[pa.RecordBatch], text: str = "_text", most: int = STEP_BYTES
 ) -> Iterator[pa.RecordBatch]:
