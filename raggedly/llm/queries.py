@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens
 from .codes import read_documents, write_codes
 from .divergence import source_divergence
 from .exact import exact_duplicates
@@ -224,6 +225,15 @@ WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
 QUALIFY part = 'pair' OR row_number() OVER w <= 200
 """
 
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_line_dedup": op2_line_dedup,
@@ -236,6 +246,7 @@ QUERIES: dict[str, Query] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_topk": op10_topk,
     "op11_divergence": op11_divergence,
+    "op12_alignment": op12_alignment,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
