@@ -12,6 +12,7 @@ from .alignment import align_tokens
 from .codes import read_documents, write_codes
 from .divergence import source_divergence
 from .exact import exact_duplicates
+from .html import extract_main_text
 from .lines import drop_repeated_lines
 from .mixing import mix, word_count
 from .near import near_duplicates
@@ -234,6 +235,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_line_dedup": op2_line_dedup,
@@ -247,6 +252,7 @@ QUERIES: dict[str, Query] = {
     "op10_topk": op10_topk,
     "op11_divergence": op11_divergence,
     "op12_alignment": op12_alignment,
+    "op13_html": op13_html,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
