@@ -6,6 +6,7 @@ import html as references
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from heapq import nlargest
 
 import pyarrow as pa
 import xxhash
@@ -16,6 +17,8 @@ from .tables import spread_join, stored
 
 #: A host's template needs so many pages that differ, and a token so large a share of them.
 LEAST_PAGES, SUPPORT = 5, 0.5
+#: Pages of a host differ when so many of their longest runs of text do.
+LONGEST = 3
 #: Tokens of a class; the share of its pages in which they stand in one order at one place.
 LEAST_TOKENS, ORDERED = 2, 0.9
 #: Constant text inside an article goes when it is on so large a share of a host's pages.
@@ -69,11 +72,11 @@ NOT_ITSELF = frozenset("has with no without is".split())
 REGIONS = {"main": 1, "article": 2}
 
 MARK = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
     r"|<[/!?][^>]*+(?:>|\Z)|<[A-Za-z][^>]*+\Z",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?")
 
 
 def extract_main_text(
@@ -83,11 +86,11 @@ def extract_main_text(
 
     The tokens of a page are its tags, each with the path and classes of its elements, and the
     runs of text between them. On the pages of a host, tokens that occur equally often on each
-    page are equivalent. A page counts once for each longest run of text, so that copies of one
-    article do not make it a template. A class of tokens on half of the pages is valid when its
-    tokens stand in the same order, at the same place of another class, on nearly all pages that
-    have them; valid classes nested into each other are the template. Its constant text goes;
-    the rest of a page is in slots between its tokens. Slots that are mostly links go, and so
+    page are equivalent. Pages with the same ``LONGEST`` longest runs of text count once, so that
+    copies of one article do not make it a template. A class of tokens on half of the pages is
+    valid when its tokens stand in the same order, at the same place of another class, on nearly
+    all pages that have them; valid classes nested into each other are the template. Its constant
+    text goes; the rest of a page is in slots between its tokens. Slots that are mostly links go, and so
     does what stands in elements that are no article by their name, role or class (menus,
     headers, footers, sidebars, notices, adverts, forms, scripts, comments). Where a page has an
     article (or else a main element) its slots are the result; links and, unless nearly all
@@ -272,13 +275,14 @@ def _hash(key: str) -> int:
 def _described(name: str, attributes: str, up: Element) -> tuple[str, bool]:
     """Classes, id and role without digits, and whether the content is no main text."""
     words, outside = [], up.outside or name in OUTSIDE or name == "header" and not up.region
-    for key, value, hidden in ATTRIBUTE.findall(attributes) if attributes else ():
-        if hidden:
-            outside = True
+    for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
+        key = key.lower()
+        outside |= key == "hidden"
+        if key not in ("class", "id", "role"):
             continue
         parts = re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", value).lower())
-        words.append(f"{key.lower()}={' '.join(parts)}")
-        if key.lower() == "role":
+        words.append(f"{key}={' '.join(parts)}")
+        if key == "role":
             outside |= not OUTSIDE_ROLES.isdisjoint(parts)
         elif name not in ("html", "body", "main", "article") or "comment" in parts:
             outside |= any(
@@ -297,14 +301,15 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = ([], [], [], [])
         for host, page in zip(batch["_host"].to_pylist(), batch["_html"].to_pylist()):
-            counts, longest = Counter(), ""
+            counts, runs = Counter(), set()
             for token, text, element, _ in tokens_of(page):
                 if token:
                     counts[token] += 1
-                if text and not element.outside and len(text) > len(longest):
-                    longest = text
+                if text and not element.outside:
+                    runs.add(text)
             counts[0] = 1
-            variant = _hash(longest)
+            longest = nlargest(LONGEST, runs, key=lambda text: (len(text), text))
+            variant = _hash("\0".join(longest))
             for token, n in counts.items():
                 for column, value in zip(columns, (host, token, variant, n)):
                     column.append(value)
