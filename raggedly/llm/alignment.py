@@ -5,22 +5,28 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import corpus, given_id, spread_join, starts_of, steps, stored
 from .tokens import UNSAFE
 
-#: Pieces whose alignment a worker remembers. A bound of memory; results don't depend on it.
-REMEMBERED = 200_000
-#: Text aligned at once.
-SLICE_BYTES = 8 << 20
+#: Text aligned at once; each distinct piece of it is encoded once.
+SLICE_BYTES = 4 << 20
+#: A word of characters that no two libraries see differently, and how many make a text.
+PLAIN, BUNCH = r"^ [!-~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}]+$", 256
+# Fixed value: the rule by which byte-level tokenizers cut texts.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Links of a group above which its ids are counted first.
+LARGE_GROUP = 1 << 12
 #: Irregular pairs with which a worker goes on before it hands them to the shuffle.
 HELD_PAIRS = 1 << 20
 #: Counts of irregular pairs (16 bytes each) are broadcast up to so many, else joined.
@@ -154,9 +160,22 @@ class Vocabulary:
         # Both cut before a space and no white space: A by its rule, B as no piece of its goes
         # on with a space after other characters.
         with open(path_a, encoding="utf-8") as file:
-            rule = json.load(file).get("pre_tokenizer") or {}
-        by_rule = rule.get("type") == "ByteLevel" and rule.get("use_regex", True)
+            rules = json.load(file)
+        cut = rules.get("pre_tokenizer") or {}
+        by_rule = cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
         self.cuts = by_rule and all("▁" not in p.lstrip("▁") for p in pieces)
+        self.fast = self._fast(rules) if by_rule else None
+
+    def _fast(self, rules: dict) -> tiktoken.Encoding | None:
+        """The same tokenizer by ranks, where ids go by the order of merges."""
+        merges = [m if isinstance(m, list) else m.split(" ") for m in rules["model"]["merges"]]
+        vocabulary = rules["model"]["vocab"]
+        ids = [vocabulary["".join(m)] for m in merges]
+        single = {x for x in self.bytes_a if len(x) == 1}
+        if rules.get("normalizer") or len(single) < 256 or ids != sorted(set(ids)):
+            return None
+        ranks = {self.bytes_a[i]: i for i in vocabulary.values()}
+        return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -171,10 +190,10 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.words = Vocabulary(path_a, path_b)
-        self.sizes_a = [len(x) for x in self.words.bytes_a]
-        self.sizes_b = [len(x) for x in self.words.bytes_b]
+        self.sizes_a = np.array([len(x) for x in self.words.bytes_a], np.int64)
+        self.sizes_b = np.array([len(x) for x in self.words.bytes_b], np.int64)
         self.width = len(self.sizes_b)
-        self.known: dict[str, tuple] = {}
+        self.size = len(self.sizes_a) * self.width
 
     def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All pieces of some texts, each with its leading space, and their numbers."""
@@ -195,59 +214,150 @@ class Aligner:
         inner[starts] = False  # what is before the first mark: nothing
         return pieces.filter(pa.array(inner)), counts - 1
 
-    def aligned(self, pieces: list[str]) -> list[tuple | None]:
-        """``n_a, n_b, n_groups, n_links``, keys, times, groups as text; None where bytes differ."""
-        known = self.known
-        missing = object()
-        found = [known.get(p, missing) for p in pieces]
-        new = [i for i, x in enumerate(found) if x is missing]
-        texts = [pieces[i] for i in new]
-        ids_a = self.words.a.encode_batch_fast(texts, add_special_tokens=False)
-        ids_b = self.words.b.encode([t[1:] for t in texts], num_threads=1)
-        for i, text, a, b in zip(new, texts, ids_a, ids_b):
-            found[i] = x = self._groups(text, a.ids, b)
-            if len(known) < REMEMBERED and len(text) < 64:
-                known[text] = x
-        return found
-
-    def _groups(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        words, raw = self.words, text.encode()
-        if b"".join([words.bytes_a[x] for x in a]) != raw:
-            return None
-        if b"".join([words.bytes_b[x] for x in b]) != raw:
-            return None
-        sizes_a, sizes_b, width = self.sizes_a, self.sizes_b, self.width
-        links, spelled, n_links, i, j = Counter(), [], 0, 0, 0
-        while i < len(a):
-            from_a, from_b = i, j
-            ahead = sizes_a[a[i]] - sizes_b[b[j]]
-            i, j = i + 1, j + 1
-            while ahead:
-                if ahead < 0:
-                    ahead += sizes_a[a[i]]
-                    i += 1
-                else:
-                    ahead -= sizes_b[b[j]]
-                    j += 1
-            if i - from_a == 1 == j - from_b:
-                links[a[from_a] * width + b[from_b]] += 1
-                spelled.append(b"%d|%d" % (a[from_a], b[from_b]))
-                n_links += 1
-                continue
-            of_a, of_b = a[from_a:i], b[from_b:j]
-            many = Counter(of_b)
-            for x, n in Counter(of_a).items():
-                for y, m in many.items():
-                    links[x * width + y] += n * m
-            spelled.append(b"%s|%s" % (_listed(of_a), _listed(of_b)))
-            n_links += len(of_a) * len(of_b)
-        keys = np.fromiter(links.keys(), np.int64, len(links)).tobytes()
-        times = np.fromiter(links.values(), np.int64, len(links)).tobytes()
-        return len(a), len(b), len(spelled), n_links, keys, times, b";".join(spelled)
-
-
-def _listed(ids: list[int]) -> bytes:
-    return ",".join(map(str, ids)).encode()
+    def encoded(self, texts: list[str]) -> tuple[tuple, tuple]:
+        """Ids of all texts in one array, and their numbers, of A and of B.
+
+        Plain words are encoded many at a time, one after another as in a text.
+        """
+        plain = np.zeros(len(texts), bool)
+        if self.words.fast and self.words.cuts:
+            plain = pc.match_substring_regex(pa.array(texts, pa.string()), PLAIN)
+            plain = plain.to_numpy(zero_copy_only=False)
+        together, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        words = [texts[i] for i in together.tolist()]
+        rest = [texts[i] for i in alone.tolist()]
+        sizes = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        bunches = ["".join(words[i : i + BUNCH]) for i in range(0, len(words), BUNCH)]
+        quick = (
+            [self.words.fast.encode_ordinary(x) for x in bunches] if words else [],
+            self.words.b.encode([x[1:] for x in bunches], num_threads=1),
+        )
+        slow = (
+            [e.ids for e in self.words.a.encode_batch_fast(rest, add_special_tokens=False)],
+            self.words.b.encode([t[1:] for t in rest], num_threads=1),
+        )
+        out = []
+        for many, single, lengths in zip(quick, slow, (self.sizes_a, self.sizes_b)):
+            flat = _flat(many)
+            ends, want = np.cumsum(lengths[flat]), np.cumsum(sizes)
+            upto = np.searchsorted(ends, want, "right")
+            if len(want) and not (ends[upto - 1] == want).all():
+                raise ValueError("a token runs over the end of a word")
+            counts = np.zeros(len(texts), np.int64)
+            counts[together] = np.diff(upto, prepend=0)
+            counts[alone] = np.fromiter(map(len, single), np.int64, len(single))
+            ids, of_plain = np.empty(counts.sum(), np.int64), np.repeat(plain, counts)
+            ids[of_plain], ids[~of_plain] = flat, _flat(single)
+            out.append((ids, counts))
+        return tuple(out)
+
+    def same_bytes(self, texts: list[str], ids_a, n_a, ids_b, n_b) -> np.ndarray:
+        """Which texts both tokenizers give back."""
+        raw = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        text, good = np.arange(len(raw)), np.ones(len(raw), bool)
+        for ids, n, lengths in ((ids_a, n_a, self.sizes_a), (ids_b, n_b, self.sizes_b)):
+            good &= np.bincount(np.repeat(text, n), weights=lengths[ids], minlength=len(raw)) == sizes
+        want = np.frombuffer(b"".join([x for x, g in zip(raw, good.tolist()) if g]), np.uint8)
+        at = np.repeat(text[good], sizes[good])
+        for ids, n, spelled in (
+            (ids_a, n_a, self.words.bytes_a),
+            (ids_b, n_b, self.words.bytes_b),
+        ):
+            kept = ids[np.repeat(good, n)].tolist()
+            got = np.frombuffer(b"".join([spelled[i] for i in kept]), np.uint8)
+            other = np.flatnonzero(got != want)
+            if len(other):  # with the lengths of before, which ``at`` goes by
+                wrong = np.unique(at[other])
+                stays = ~np.isin(at, wrong)
+                good[wrong], at, want = False, at[stays], want[stays]
+        return good
+
+    def aligned(self, texts: list[str]) -> Alignment:
+        (ids_a, n_a), (ids_b, n_b) = self.encoded(texts)
+        good = self.same_bytes(texts, ids_a, n_a, ids_b, n_b)
+        if not good.all():
+            ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        # Where both sequences of ends meet, groups end; all texts end there.
+        ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+        last_a, last_b = _held_by(ends_a, ends_b), _held_by(ends_b, ends_a)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        n_groups = int(last_a.sum())
+        many_a = np.bincount(group_a, minlength=n_groups)
+        many_b = np.bincount(group_b, minlength=n_groups)
+        start_a, start_b = starts_of(many_a), starts_of(many_b)
+        text = np.repeat(np.arange(len(texts)), n_a)[last_a]  # of each group
+        keys, times, rows = self._links(ids_a, ids_b, many_a, many_b, start_a, start_b)
+
+        def of_text(x: np.ndarray) -> np.ndarray:
+            return np.bincount(text, weights=x, minlength=len(texts)).astype(np.int64)
+
+        # As text, groups one after another: the ids of A, then those of B, and what follows.
+        ids = np.empty(len(ids_a) + len(ids_b), np.int64)
+        after = np.zeros(len(ids), np.int8)
+        place_a = np.arange(len(ids_a)) + start_b[group_a]
+        place_b = np.arange(len(ids_b)) + (start_a + many_a)[group_b]
+        ids[place_a], ids[place_b] = ids_a, ids_b
+        after[place_a[last_a]], after[place_b[last_b]] = 1, 2
+        signs = pa.array([",", "|", ";"]).take(pa.array(after))
+        spelled = pc.binary_join_element_wise(pc.cast(pa.array(ids), pa.string()), signs, "")
+        bounds = np.concatenate([[0], np.cumsum(pc.binary_length(spelled).to_numpy(zero_copy_only=False))])
+        bounds = bounds[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        data = spelled.buffers()[2].to_pybytes() if len(spelled) else b""
+        return Alignment(
+            good,
+            np.column_stack([n_a, n_b, of_text(np.ones(n_groups)), of_text(many_a * many_b)]),
+            of_text(rows),
+            keys,
+            times,
+            [data[x:y] for x, y in pairwise(bounds)],
+        )
+
+    def _links(self, ids_a, ids_b, many_a, many_b, start_a, start_b):
+        """Pairs of all groups, how often each is there, and rows by group. A row is a link,
+        but in groups with very many links a pair of ids that differ."""
+        rows = many_a * many_b
+        large = np.flatnonzero(rows > LARGE_GROUP)
+        found = []
+        for g in large.tolist():
+            a, n = np.unique(ids_a[start_a[g] : start_a[g] + many_a[g]], return_counts=True)
+            b, m = np.unique(ids_b[start_b[g] : start_b[g] + many_b[g]], return_counts=True)
+            found.append(((a[:, None] * self.width + b).ravel(), np.outer(n, m).ravel()))
+            rows[g] = len(found[-1][0])
+        first = starts_of(rows)
+        total = int(rows.sum())
+        group = np.repeat(np.arange(len(rows)), rows)
+        at = np.arange(total) - first[group]
+        a, b = np.divmod(at, many_b[group])
+        # In a large group there are fewer rows than links, so these places exist.
+        keys = ids_a[start_a[group] + np.minimum(a, many_a[group] - 1)] * self.width
+        keys += ids_b[start_b[group] + b]
+        times = np.ones(total, np.int64)
+        for g, (pairs, n) in zip(large.tolist(), found):
+            keys[first[g] : first[g] + len(pairs)], times[first[g] : first[g] + len(pairs)] = pairs, n
+        return keys, times, rows
+
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+
+
+class Alignment(NamedTuple):
+    """Of some texts: ``SUMS`` (zeros where the bytes differ), rows of links, and spellings, in
+    which each group ends with a semicolon."""
+
+    good: np.ndarray
+    numbers: np.ndarray
+    rows: np.ndarray
+    keys: np.ndarray
+    times: np.ndarray
+    spelled: list[bytes]
+
+
+def _held_by(these: np.ndarray, those: np.ndarray) -> np.ndarray:
+    """Which of ``these`` are among ``those``; both ascend and end alike."""
+    return those[np.searchsorted(those, these)] == these if len(these) else np.zeros(0, bool)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -274,49 +384,56 @@ def _rows(ids: pa.Array, aligner: Aligner, pieces: pa.Array, counts: np.ndarray,
     table = aligner.aligned(coded.dictionary.to_pylist())
     at = coded.indices.to_numpy(zero_copy_only=False)
     text = np.repeat(np.arange(n), counts)
-    wrong = np.array([x is None for x in table], bool)
-    if wrong.any():  # a text with such a piece has no tokens
+    if not table.good.all():  # a text with such a piece has no tokens
         lost = np.zeros(n, bool)
-        lost[text[wrong[at]]] = True
+        lost[text[~table.good[at]]] = True
         at, text = at[~lost[text]], text[~lost[text]]
-        table = [x or (0, 0, 0, 0, b"", b"", b"") for x in table]
-    numbers = np.array([x[:4] for x in table], np.int64).reshape(-1, 4)
-    totals = np.zeros((n, 4), np.int64)
-    np.add.at(totals, text, numbers[at])
-    sizes = np.fromiter((len(x[4]) for x in table), np.int64, len(table)) // 8
-    keys = np.frombuffer(b"".join([x[4] for x in table]), np.int64)
-    times = np.frombuffer(b"".join([x[5] for x in table]), np.int64)
-    links = sizes[at]
-    places = np.repeat(starts_of(sizes)[at] - starts_of(links), links) + np.arange(links.sum())
-    pair, number, of = keys[places], times[places], np.repeat(text, links)
-    order = np.lexsort((pair, of)) if len(pair) and int(pair.max()) * n >= 1 << 62 else (
-        np.argsort(of * (int(pair.max(initial=0)) + 1) + pair, kind="stable")
-    )
-    pair, number, of = pair[order], number[order], of[order]
-    new = np.ones(len(pair), bool)
-    new[1:] = (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
-    first = np.flatnonzero(new)
-    number = np.add.reduceat(number, first) if len(first) else number
-    ends = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=n))]).astype(np.int32)
-    spelled, at = [x[6] for x in table], at.tolist()
-    bounds = np.searchsorted(text, np.arange(n + 1)).tolist()
+    bounds = np.searchsorted(text, np.arange(n + 1))
+    totals = [np.diff(np.concatenate([[0], np.cumsum(x[at])])[bounds]) for x in table.numbers.T]
+    links = table.rows[at]
+    places = np.repeat(starts_of(table.rows)[at] - starts_of(links), links)
+    places += np.arange(len(places))
+    of = np.repeat(text, links)
+    pair, number = table.keys[places], table.times[places]
+    del places
+    pair, number, of = _summed(pair, number, of, aligner.size)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
+    at = at.tolist()
     digests = [
-        hashlib.sha256(b";".join([spelled[i] for i in at[a:b]])).hexdigest() if b > a else ""
-        for a, b in zip(bounds, bounds[1:])
+        hashlib.sha256(b"".join([table.spelled[i] for i in at[a:b]])[:-1]).hexdigest() if b > a else ""
+        for a, b in pairwise(bounds.tolist())
     ]
     kind = pa.int32() if key == "int" else pa.int64()
     return pa.RecordBatch.from_arrays(
         [
             ids,
-            *[pa.array(totals[:, i]) for i in range(4)],
+            *[pa.array(x) for x in totals],
             pa.array(digests, pa.string()),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(pair[first]).cast(kind)),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(pair).cast(kind)),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(number)),
         ],
         names=["_id", *SUMS, "groups_sha256", "_keys", "_times"],
     )
 
 
+def _summed(pair: np.ndarray, number: np.ndarray, of: np.ndarray, size: int):
+    """Distinct pairs of each text in order, with the sums of their numbers."""
+    if size * (int(of[-1]) + 1 if len(of) else 1) < 1 << 62:
+        keys = of * size + pair
+        order = None if (number == 1).all() else np.argsort(keys)
+        keys = np.sort(keys) if order is None else keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        of, pair = np.divmod(keys[first], size)
+    else:
+        order = np.lexsort((pair, of))
+        pair, of = pair[order], of[order]
+        first = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+        pair, of = pair[first], of[first]
+    if order is None:
+        return pair, np.diff(np.append(first, len(number))), of
+    return pair, np.add.reduceat(number[order], first) if len(first) else number, of
+
+
 def _count(same: np.ndarray, width: int):
     """In how many rows each pair is linked. Keys of a row are distinct."""
 

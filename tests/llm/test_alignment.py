@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -97,14 +98,55 @@ def result(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+@pytest.mark.parametrize("large", [0, 7, alignment.LARGE_GROUP])
+def test_groups_of_any_size(large, monkeypatch):
+    """Links of whole texts, counted group by group or one by one."""
+    monkeypatch.setattr(alignment, "LARGE_GROUP", large)
+    monkeypatch.setattr(alignment, "BUNCH", 3)
+    aligner = alignment.Aligner(A, B)
+    texts = [" " + t for t in TEXTS if t]
+    got = aligner.aligned(texts)
+    want = brute([(0, t) for t in TEXTS if t])
+    assert sorted(map(tuple, got.numbers.tolist())) == sorted(r[1:5] for r in want)
+    sums = np.add.reduceat(np.append(got.times, 0), np.cumsum(got.rows) - got.rows)
+    assert [int(s) for s, r in zip(sums, got.rows) if r] == [int(n) for n in got.numbers[:, 3] if n]
+
+
 @pytest.mark.parametrize("most", [alignment.MAX_BROADCAST_PAIRS, 0])
 def test_against_whole_texts(make, most):
     rows = [(i, t) for i, t in enumerate(TEXTS * 2)] + [(3, "the cat sat"), (3, "the cat sat"), (None, "a"), (None, None)]
     assert result(align_tokens(make(rows), A, B, max_broadcast=most)) == brute(rows)
 
 
+def test_words_many_at_a_time():
+    """Words of the tables, encoded one after another and alone."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    words = sorted({f" {w}" for t in texts for w in (t or "").split(" ") if w})[::7]
+    aligner = alignment.Aligner(A, B)
+    assert aligner.words.fast
+    together = aligner.encoded(words)
+    aligner.words.fast = None
+    for x, y in zip(together, aligner.encoded(words)):
+        assert all((p == q).all() for p, q in zip(x, y))
+
+
+@pytest.mark.parametrize("size", [100, 1 << 61])
+@pytest.mark.parametrize("most", [1, 5])
+def test_sums_of_pairs(size, most):
+    rng = np.random.default_rng(size % 97 + most)
+    of = np.sort(rng.integers(0, 5, 300))
+    pair, number = rng.integers(0, 40, 300), rng.integers(1, most + 1, 300)
+    want = Counter()
+    for o, p, n in zip(of.tolist(), pair.tolist(), number.tolist()):
+        want[o, p] += n
+    pairs, numbers, texts = alignment._summed(pair, number, of, size)
+    assert list(zip(zip(texts.tolist(), pairs.tolist()), numbers.tolist())) == sorted(want.items())
+    assert [len(x) for x in alignment._summed(*[np.zeros(0, np.int64)] * 3, size)] == [0, 0, 0]
+
+
 def test_held_pairs_go_to_the_shuffle(make, monkeypatch):
-    import numpy as np
     import pyarrow as pa
 
     monkeypatch.setattr(alignment, "HELD_PAIRS", 4)
