@@ -6,23 +6,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.names import base_name, folder_name, plain_path
 from ..plans.spec import ClassList
-from ..session import stored
-from ..sources.events import listing, scan
-from ..sources.footers import footers
+from ..sources.footers import existing_folders, file_states, footer_stats, rows_per_file
 from .prefix import bounded
 
-SPLITS = ("train", "val", "test")
-
+__all__ = ["rows_per_file"]
 
-def rows_per_file(df: DataFrame) -> DataFrame:
-    """Rows of each file of a scan. No column is read, so Parquet footers suffice."""
-    counts = df.groupBy(F.col("_metadata.file_path").alias("uri")).agg(
-        F.count("*").alias("n_rows")
-    )
-    return counts.select(plain_path(F.col("uri")).alias("path"), "n_rows")
+SPLITS = ("train", "val", "test")
 
 
 def file_table(df: DataFrame, folder: str = "class_folder", file: str = "file") -> DataFrame:
@@ -32,50 +24,28 @@ def file_table(df: DataFrame, folder: str = "class_folder", file: str = "file")
     )
 
 
-def existing_folders(spark: SparkSession, base_dir: str, classes: ClassList) -> list[str]:
-    """Class folders that exist, asked of the file system once per declared class."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    kept = []
-    for folder in classes.class_folders:
-        path = jvm.org.apache.hadoop.fs.Path(f"{base_dir}/{folder}")
-        if path.getFileSystem(conf).exists(path):
-            kept.append(f"{base_dir}/{folder}")
-    return kept
-
-
 def build_catalog(spark: SparkSession, base_dir: str, classes: ClassList) -> DataFrame:
     """(class_folder, file, n_rows, status) over all class folders that exist.
 
     Unreadable files are kept out of the counts but not lost: every listed file has
-    a row, with status ``ok``, ``empty`` or ``unreadable`` and its error. The footer
-    decides between the last two, in tasks and for files of any size.
+    a row, with status ``ok``, ``empty`` or ``unreadable`` and its error. Counts and states
+    come from footers, through Spark's own readers.
     """
-    paths = existing_folders(spark, base_dir, classes)
+    paths = existing_folders(spark, base_dir, classes.class_folders)
     if not paths:
         raise FileNotFoundError(f"no class folder under {base_dir}")
-    # An explicit one-column schema: no footer is opened on the driver to infer one.
-    counts = rows_per_file(scan(spark, paths, schema="_absent int", skip_corrupt=True)).select(
-        folder_name(F.col("path")).alias("class_folder"),
-        base_name(F.col("path")).alias("file"),
-        "n_rows",
-    )
-    known = stored(
-        listing(spark, paths).join(counts, ["class_folder", "file"], "left").drop("length"), "listing"
-    )
-    # Files that gave no rows are empty if their footer says so, else damaged.
-    quiet = footers(known.where(F.col("n_rows").isNull())).withColumnRenamed("path", "_path")
-    return known.join(quiet, F.col("path") == F.col("_path"), "left").select(
-        "class_folder",
-        "file",
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        F.when(F.col("n_rows").isNotNull(), "ok")
-        .when(F.col("footer_rows") == 0, "empty")
-        .otherwise("unreadable")
-        .alias("status"),
-        F.when(F.col("footer_rows") > 0, "the footer counts rows, but none were found")
-        .otherwise(F.col("error"))
-        .alias("error"),
-    )
+    return file_states(spark, paths).select("class_folder", "file", "n_rows", "status", "error")
+
+
+def class_stats(
+    spark: SparkSession,
+    base_dir: str,
+    classes: ClassList,
+    schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """``class_folder, n_rows`` per class from footers, and the range of each column of ``schema``."""
+    stats = footer_stats(spark, base_dir, classes.class_folders, schema)
+    return stats.withColumnRenamed("folder", "class_folder")
 
 
 def class_totals(catalog: DataFrame) -> DataFrame:

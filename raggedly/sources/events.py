@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from ..session import stored
 from ..functions.names import base_name, folder_name, plain_path
 from ..plans.spec import ClassList, EventSpec
-from .footers import footers
+from .footers import PARQUET_GLOB, existing_folders, file_states, listing, literal_path
 
-PARQUET_GLOB = "*.parquet"
+__all__ = ["PARQUET_GLOB", "listing"]
 
 
 def spec_schema(spec: EventSpec) -> T.StructType:
@@ -97,7 +97,91 @@ def scan_files(
 ) -> DataFrame:
     """Events of the named (class_folder, file) pairs; no other file is opened."""
     schema = spec_schema(spec) if spec else None
-    return _placed(scan(spark, [f"{base_dir}/{c}/{f}" for c, f in files], schema=schema), classes, spec)
+    return _placed(scan(spark, _paths(base_dir, files), schema=schema), classes, spec)
+
+
+def _paths(base_dir: str, files: Sequence[tuple[str, str]]) -> list[str]:
+    return [f"{base_dir}/{literal_path(c)}/{literal_path(f)}" for c, f in files]
+
+
+def check_files(
+    spark: SparkSession,
+    base_dir: str,
+    files: DataFrame,
+    spec: EventSpec | None = None,
+    schema: T.StructType | None = None,
+) -> DataFrame:
+    """The rows of ``files`` (class_folder, file) with ``n_rows, n_found, error``.
+
+    A shard is good as a whole or not at all. First footers say how many rows it has; then its
+    declared columns are decoded, and a shard that does not give that many is damaged, also
+    when only a few bytes of one column are. Damaged shards are decoded once more, so that
+    a failure of the moment condemns none. ``error`` is null for good shards and for empty ones;
+    a file that is not there is an error, too. A file system that Spark cannot read ends the
+    job, as then nothing is known of any file.
+
+    Decoding reads the declared columns once; without a ``spec`` or ``schema``, all columns.
+    """
+    files = stored(files.select("class_folder", "file").distinct(), "chosen-files")
+    folders = [r["class_folder"] for r in files.select("class_folder").distinct().collect()]
+    there = [literal_path(p) for p in existing_folders(spark, base_dir, folders)]
+    if there:
+        listed = listing(spark, there).select("class_folder", "file", F.lit(True).alias("_there"))
+        files = stored(files.join(listed, ["class_folder", "file"], "left"), "listed-files")
+    else:
+        files = files.withColumn("_there", F.lit(None).cast("boolean"))
+    names = [(r["class_folder"], r["file"]) for r in files.where("_there").collect()]
+    if not names:
+        return files.select(
+            "class_folder", "file", *[F.lit(None).cast("long").alias(n) for n in ("n_rows", "n_found")],
+            F.lit("no such file").alias("error"),
+        )
+    states = stored(
+        file_states(spark, _paths(base_dir, names)).select("class_folder", "file", "n_rows", "status", "error"),
+        "file-states",
+    )
+    readable = [(r["class_folder"], r["file"]) for r in states.where("status = 'ok'").collect()]
+    found = _decoded(spark, base_dir, readable, spec, schema)
+    odd = states.join(found, ["class_folder", "file"], "left").where(
+        "status = 'ok' AND n_rows <> coalesce(n_found, 0)"
+    )
+    again = [(r["class_folder"], r["file"]) for r in odd.select("class_folder", "file").collect()]
+    if again:
+        second = _decoded(spark, base_dir, again, spec, schema or None)
+        found = found.join(second.select("class_folder", "file"), ["class_folder", "file"], "left_anti").unionByName(second)
+    damaged = F.concat_ws(
+        " ", F.lit("the footer counts"), "n_rows", F.lit("rows, but"), F.coalesce("n_found", F.lit(0)), F.lit("can be read")
+    )
+    return (
+        files.join(states, ["class_folder", "file"], "left")
+        .join(found, ["class_folder", "file"], "left")
+        .select(
+            "class_folder",
+            "file",
+            "n_rows",
+            F.coalesce("n_found", F.when(F.col("status").isNotNull(), 0)).cast("long").alias("n_found"),
+            F.when(F.col("_there").isNull(), "no such file")
+            .when(F.col("status") == "unreadable", F.coalesce("error", F.lit("unreadable")))
+            .when(F.col("n_rows") != F.coalesce("n_found", F.lit(0)), damaged)
+            .alias("error"),
+        )
+    )
+
+
+def _decoded(spark, base_dir, files, spec, schema) -> DataFrame:
+    """``class_folder, file, n_found``: rows whose columns can be decoded."""
+    if not files:
+        return spark.createDataFrame([], "class_folder string, file string, n_found long")
+    paths = _paths(base_dir, files)
+    schema = schema or (spec_schema(spec) if spec else scan(spark, paths[:1]).schema)
+    rows = scan(spark, paths, schema=schema, skip_corrupt=True)
+    # Counting the values of a column makes the reader decode it.
+    counted = rows.groupBy(F.col("_metadata.file_path").alias("uri")).agg(
+        F.count("*").alias("n_found"), *[F.count(F.col(f"`{c}`")).alias(f"_v{i}") for i, c in enumerate(rows.columns)]
+    )
+    path = plain_path(F.col("uri"))
+    whole = stored(counted.select(folder_name(path).alias("class_folder"), base_name(path).alias("file"), "*"), "decoded")
+    return whole.select("class_folder", "file", "n_found")
 
 
 def scan_manifest(
@@ -112,27 +196,26 @@ def scan_manifest(
 
     Files are chosen before the read, one scan per split, so no event is joined or
     shuffled. The names pass through the driver, as a scan's file index does anyway.
-    With ``report``, files whose footer cannot be read are left out as a whole, and are
-    written there with their error; without it such a file ends the job.
+    With ``report``, files that are missing or damaged anywhere (``check_files``) are left out
+    as a whole, and are written there with their error; without it they end the job.
     """
     chosen = manifest.where(
         (F.col("split") != "unused") & F.col("class_folder").isin(classes.class_folders)
     ).select("split", "class_folder", "file")
     if report is not None:
-        placed = chosen.withColumn("_path", F.concat_ws("/", F.lit(base_dir), "class_folder", "file"))
-        checked = stored(
-            placed.join(footers(placed, "_path"), F.col("_path") == F.col("path")).drop("_path"),
-            "checked-files",
-        )
+        checked = check_files(spark, base_dir, chosen, spec)
+        checked = stored(chosen.join(checked, ["class_folder", "file"]), "checked-files")
         bad = checked.where(F.col("error").isNotNull())
-        bad.select("split", "class_folder", "file", "error").write.mode("overwrite").json(report)
+        bad.select("split", "class_folder", "file", "n_rows", "n_found", "error").write.mode(
+            "overwrite"
+        ).json(report)
         chosen = checked.where(F.col("error").isNull())
     names = chosen.select("split", "class_folder", "file").collect()
     by_split: dict[str, list[tuple[str, str]]] = {}
     for r in names:
         by_split.setdefault(r["split"], []).append((r["class_folder"], r["file"]))
     if not by_split:
-        raise ValueError("the manifest names no file of these classes")
+        raise ValueError("the manifest names no (good) file of these classes")
     out = None
     for split, files in by_split.items():
         part = scan_files(spark, base_dir, files, classes, spec).withColumn("split", F.lit(split))
@@ -140,22 +223,6 @@ def scan_manifest(
     return out
 
 
-def listing(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
-    """Names and sizes of the Parquet files under ``paths``; no content is read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", PARQUET_GLOB)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load([paths] if isinstance(paths, str) else list(paths))
-        .select(
-            folder_name(F.col("path")).alias("class_folder"),
-            base_name(F.col("path")).alias("file"),
-            "path",
-            "length",
-        )
-    )
-
-
 def first_files(files: DataFrame, n: int, by: str = "class_folder") -> DataFrame:
     """The first n files of each folder by name, from a file table."""
     w = Window.partitionBy(by).orderBy("file")

@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import plottable
-from ..operators.catalog import build_catalog, unknown_classes
+from ..operators.catalog import build_catalog, class_stats, unknown_classes
 from ..operators.preprocess import Preprocessor
 from ..operators.profile import distinct_values
 from ..plans.layout import expanded_names, raw_layout, read_layout, summary, write_layout
 from ..plans.spec import Treatment
 from ..session import fresh_folder, stored
-from ..sources.events import first_files, listing, scan, scan_manifest, with_label
+from ..sources.events import check_files, first_files, listing, scan, scan_manifest, with_label
 from ..sources.sinks import write_distinct
 from .features import EXPANDED, EXPANDED_SLOTS, RAW, SECTIONS, order_vectors
 from .files import FILES, SPLIT, manifest, order_files
 from .jobs import SHARDS, class_shards
 from .registry import query
-from .tables import ORDER_SPEC, table
+from .tables import FILE_ROWS, ORDER_SPEC, table
 from .vectors import NAMED, NAMES, feature_names
 
 BAD_CLASS = "1-URGENT"
@@ -32,13 +32,42 @@ def write_bytes(spark, path, text):
     out.close()
 
 
+def read_bytes(spark, path):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return bytearray(source.readAllBytes())
+    finally:
+        source.close()
+
+
+def damaged_body(spark, rows, path):
+    """A Parquet file with a good footer, whose pages are overwritten in the middle."""
+    folder = fresh_folder(spark, "whole")
+    rows.coalesce(1).write.parquet(folder)
+    data = read_bytes(spark, listing(spark, folder).first()["path"])
+    footer = int.from_bytes(data[-8:-4], "little") + 8
+    pages = len(data) - footer
+    data[pages // 4 : 3 * pages // 4] = b"\xa5" * (3 * pages // 4 - pages // 4)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    out.write(data)
+    out.close()
+
+
 def damaged_shards(spark, sf_dir):
-    """Order shards, and in one class a file without rows and two damaged ones."""
+    """Order shards, and in one class a file without rows and three damaged ones.
+
+    Of one the footer is missing, of one it is nonsense, and of one only pages are damaged:
+    a copy of the first stand-in file.
+    """
     base = class_shards(spark, sf_dir)
     folder = f"{base}/{SHARDS.folder(BAD_CLASS)}"
+    first = stored(scan(spark, folder).where(F.col("o_orderkey") < FILE_ROWS), "first-rows")
     scan(spark, folder).where("false").coalesce(1).write.mode("append").parquet(folder)
     write_bytes(spark, f"{folder}/footer.parquet", "PAR1" + "x" * 400 + "PAR1")
     write_bytes(spark, f"{folder}/cut.parquet", "PAR1" + "x" * 40)
+    damaged_body(spark, first, f"{folder}/body.parquet")
     return base
 
 
@@ -49,8 +78,12 @@ def damaged_shards(spark, sf_dir):
         UNION ALL SELECT '{BAD_CLASS}', 'unreadable', 0, 2""",
 )
 def catalog_status(spark, sf_dir):
-    """Good, empty and damaged shards; only odd files are counted, as Spark chooses how many it writes."""
+    """Good, empty and damaged shards; only odd files are counted, as Spark chooses how many it writes.
+
+    The catalogue goes by footers, so a shard with damaged pages is not among the odd ones.
+    """
     catalog = build_catalog(spark, damaged_shards(spark, sf_dir), SHARDS)
+    catalog = catalog.where("file <> 'body.parquet'")
     return (
         with_label(catalog, SHARDS)
         .groupBy("class_name", "status")
@@ -61,7 +94,7 @@ def catalog_status(spark, sf_dir):
 @query(
     "manifest_scan_with_bad_shard",
     f"""SELECT o_orderpriority AS class_name, count(*) AS n_rows, sum(o_orderkey)::BIGINT AS keys,
-        CASE WHEN o_orderpriority = '{BAD_CLASS}' THEN 2 ELSE 0 END::BIGINT AS n_bad
+        CASE WHEN o_orderpriority = '{BAD_CLASS}' THEN 3 ELSE 0 END::BIGINT AS n_bad
         FROM orders GROUP BY 1""",
 )
 def manifest_scan_with_bad_shard(spark, sf_dir):
@@ -80,6 +113,55 @@ def manifest_scan_with_bad_shard(spark, sf_dir):
     )
 
 
+@query(
+    "shard_check",
+    f"""SELECT o_orderpriority AS class_name, count(*) AS n_rows, count(*) AS n_found, 'good' AS state
+        FROM orders GROUP BY 1
+        UNION ALL SELECT '{BAD_CLASS}', 0, 0, 'good'
+        UNION ALL SELECT '{BAD_CLASS}', NULL, NULL, 'missing'
+        UNION ALL SELECT '{BAD_CLASS}', 0, 0, 'unreadable'
+        UNION ALL SELECT '{BAD_CLASS}', count(*), -1, 'damaged' FROM orders
+          WHERE o_orderpriority = '{BAD_CLASS}' AND o_orderkey < {FILE_ROWS}""",
+)
+def shard_check(spark, sf_dir):
+    """What is found in every shard: footers, then all columns decoded, damaged shards as a whole.
+
+    How many rows come before the damage in a page is not for SQL to say, so it reads -1.
+    """
+    base = damaged_shards(spark, sf_dir)
+    files = listing(spark, [f"{base}/{f}" for f in SHARDS.class_folders]).select("class_folder", "file")
+    gone = spark.createDataFrame([(SHARDS.folder(BAD_CLASS), "gone.parquet")], files.schema)
+    checked = stored(with_label(check_files(spark, base, files.unionByName(gone)), SHARDS), "checked")
+    state = (
+        F.when(F.col("error").isNull(), "good")
+        .when(F.col("error") == "no such file", "missing")
+        .when(F.col("n_rows") == 0, "unreadable")
+        .otherwise("damaged")
+    )
+    # The empty shard is a row of its own, so are the odd ones; good shards are added up.
+    kind = F.when((F.col("n_rows") > 0) & F.col("error").isNull(), "rows").otherwise(F.lit("none"))
+    return (
+        checked.withColumns({"state": state, "_kind": kind})
+        .groupBy("class_name", "state", "_kind")
+        .agg(F.sum("n_rows").alias("n_rows"), F.sum("n_found").alias("n_found"))
+        .select("class_name", "n_rows", F.when(F.col("state") == "damaged", -1).otherwise(F.col("n_found")).alias("n_found"), "state")
+    )
+
+
+@query(
+    "footer_stats",
+    """SELECT o_orderpriority AS class_name, count(*) AS n_rows, min(o_orderkey) AS min_o_orderkey,
+       max(o_orderkey) AS max_o_orderkey, min(Sim_Total_MET) AS min_Sim_Total_MET,
+       max(Sim_Total_MET) AS max_Sim_Total_MET
+       FROM (SELECT *, o_totalprice AS Sim_Total_MET FROM orders) GROUP BY 1""",
+)
+def footer_stats_query(spark, sf_dir):
+    """Rows of each class from the footers of its shards alone, and the ranges of two columns."""
+    schema = "Sim_Total_MET double, o_orderkey long"
+    stats = class_stats(spark, class_shards(spark, sf_dir), SHARDS, schema)
+    return with_label(stats, SHARDS).drop("class_folder", "label")
+
+
 @query("recursive_scan", "SELECT count(*) AS n_rows, sum(o_orderkey)::BIGINT AS keys FROM orders")
 def recursive_scan(spark, sf_dir):
     """All shards below one folder, without naming the folders between."""

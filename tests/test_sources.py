@@ -81,12 +81,116 @@ def test_a_scan_reports_bad_shards_and_goes_on(spark, shards, tmp_path):
         E.scan_manifest(spark, shards, manifest, CLASSES, SPEC).count()
 
 
+def damage_body(path):
+    """Pages overwritten in the middle; the footer stays."""
+    data = bytearray(open(path, "rb").read())
+    pages = len(data) - int.from_bytes(data[-8:-4], "little") - 8
+    data[pages // 4 : 3 * pages // 4] = b"\xa5" * (3 * pages // 4 - pages // 4)
+    with open(path, "wb") as file:
+        file.write(data)
+
+
+def bad_of(report):
+    return {(r["file"], r["n_rows"]): r["error"] for r in report.collect()}
+
+
+def test_a_shard_with_a_damaged_body_goes_as_a_whole(spark, shards, tmp_path):
+    write_shard(f"{shards}/sig/body.parquet", 5000, 10_000)
+    damage_body(f"{shards}/sig/body.parquet")
+    names = ("s0.parquet", "body.parquet", "gone.parquet")
+    manifest = spark.createDataFrame(
+        [("sig", "train", f) for f in names] + [("bkg", "val", "b1.parquet"), ("bkg", "val", "b0.parquet")],
+        "class_folder string, split string, file string",
+    )
+    catalog = {r["file"]: r["status"] for r in C.build_catalog(spark, shards, CLASSES).collect()}
+    assert catalog["body.parquet"] == "ok"  # the footer is
+    report = str(tmp_path / "report")
+    rows = E.scan_manifest(spark, shards, manifest, CLASSES, SPEC, report)
+    assert rows.groupBy("file").count().orderBy("file").collect() == [("b0.parquet", 15), ("s0.parquet", 10)]
+    bad = bad_of(spark.read.json(report))
+    assert set(bad) == {("body.parquet", 5000), ("gone.parquet", None)}
+    assert "5000 rows" in bad["body.parquet", 5000] and bad["gone.parquet", None] == "no such file"
+    with pytest.raises(Exception):
+        E.scan_files(spark, shards, [("sig", "body.parquet")], CLASSES, SPEC).agg(F.sum("met")).collect()
+
+
+def test_only_declared_columns_are_decoded(spark, tmp_path):
+    """Damage in a column that nobody reads leaves a shard good."""
+    path = str(tmp_path / "sig" / "a.parquet")
+    write_shard(path, 3000, extra=True)
+    group = pq.ParquetFile(path).metadata.row_group(0)
+    chunk = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema == "unread")
+    data = bytearray(open(path, "rb").read())
+    first = chunk.dictionary_page_offset or chunk.data_page_offset
+    data[first : first + chunk.total_compressed_size] = b"\x00" * chunk.total_compressed_size
+    with open(path, "wb") as file:
+        file.write(data)
+    files = spark.createDataFrame([("sig", "a.parquet")], "class_folder string, file string")
+    good = E.check_files(spark, str(tmp_path), files, SPEC).first()
+    assert (good["n_rows"], good["n_found"], good["error"]) == (3000, 3000, None)
+    assert E.check_files(spark, str(tmp_path), files).first()["error"]
+
+
+def test_nothing_is_there(spark, shards):
+    files = spark.createDataFrame([("none", "a.parquet"), ("sig", "b.parquet")], "class_folder string, file string")
+    rows = E.check_files(spark, shards, files, SPEC).collect()
+    assert [r["error"] for r in rows] == ["no such file"] * 2
+    with pytest.raises(Exception):  # an unknown file system is no fault of a shard
+        E.check_files(spark, "nosuch://store/x", files, SPEC).collect()
+
+
+def test_a_path_that_only_spark_opens(spark, shards, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.events.link./in", f"file://{shards}")
+    base = "viewfs://events/in"
+    catalog = {(r["class_folder"], r["file"]): (r["n_rows"], r["status"]) for r in C.build_catalog(spark, base, CLASSES).collect()}
+    assert catalog == {(r["class_folder"], r["file"]): (r["n_rows"], r["status"]) for r in C.build_catalog(spark, shards, CLASSES).collect()}
+    manifest = spark.createDataFrame(
+        [("bkg", "train", f) for f in ("b0.parquet", "b1.parquet", "footer.parquet", "broken.parquet")]
+        + [("sig", "val", "s1.parquet")],
+        "class_folder string, split string, file string",
+    )
+    report = str(tmp_path / "report")
+    rows = E.scan_manifest(spark, base, manifest, CLASSES, SPEC, report)
+    assert rows.groupBy("split").count().orderBy("split").collect() == [("train", 15), ("val", 20)]
+    assert {f for f, _ in bad_of(spark.read.json(report))} == {"footer.parquet", "broken.parquet"}
+    stats = C.class_stats(spark, base, ClassList(("Signal",), {"Signal": "sig"}), "met float")
+    assert [tuple(r) for r in stats.collect()] == [("sig", 60, 0.0, 229.0)]
+
+
+def test_stats_come_from_footers(spark, shards):
+    from raggedly.sources import footers
+
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    write_shard(f"{shards}/sig/s9.parquet", 4, 900)
+    rest = ",".join(s for s in before.split(",") if s != "parquet")
+    with footers._settings(spark, sources__useV1SourceList=rest, parquet__aggregatePushdown="true"):
+        plan = footers.pushed_counts(spark, [f"{shards}/sig"])._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    one = ClassList(("Signal", "Gone"), {"Signal": "sig", "Gone": "gone"})
+    assert [tuple(r) for r in C.class_stats(spark, shards, one).collect()] == [("sig", 64)]
+    # A file whose columns stand in another order has its own place for each.
+    pq.write_table(pa.table({"unread": [5.0], "met": pa.array([-3.0], pa.float32())}), f"{shards}/sig/other.parquet")
+    assert [tuple(r) for r in C.class_stats(spark, shards, one, "met float").collect()] == [("sig", 65, -3.0, 903.0)]
+    with pytest.raises(FileNotFoundError):
+        C.class_stats(spark, shards, ClassList(("Gone",), {"Gone": "gone"}), "met float")
+
+
 def test_names_with_blanks_and_signs(spark, tmp_path):
     folder = "4-NOT +5% é"
     write_shard(str(tmp_path / folder / "a b+1.parquet"), 3)
+    write_shard(str(tmp_path / folder / "{x}[1]*.parquet"), 2)
+    write_shard(str(tmp_path / folder / "x1.parquet"), 7)
     classes = ClassList(("x",), {"x": folder})
-    row = C.build_catalog(spark, str(tmp_path), classes).first()
-    assert (row["class_folder"], row["file"], row["n_rows"]) == (folder, "a b+1.parquet", 3)
+    found = C.build_catalog(spark, str(tmp_path), classes).orderBy("n_rows").collect()
+    assert [tuple(r)[:3] for r in found] == [
+        (folder, "{x}[1]*.parquet", 2), (folder, "a b+1.parquet", 3), (folder, "x1.parquet", 7)
+    ]
+    odd = E.scan_files(spark, str(tmp_path), [(folder, "{x}[1]*.parquet")], classes, SPEC)
+    assert odd.count() == 2
+    files = spark.createDataFrame([(folder, r["file"]) for r in found], "class_folder string, file string")
+    assert E.check_files(spark, str(tmp_path), files, SPEC).where("error is null").count() == 3
     rows = E.scan_files(spark, str(tmp_path), [(folder, "a b+1.parquet")], classes, SPEC).collect()
     assert {(r["class_folder"], r["file"]) for r in rows} == {(folder, "a b+1.parquet")} and len(rows) == 3
 
