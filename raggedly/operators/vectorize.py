@@ -99,3 +99,16 @@ def nest_objects(
     counts = facts.groupBy(F.col(key).alias("_counted")).agg(F.count("*").alias("n_objects"))
     # Both are partitioned by the key already; a broadcast would only collect them.
     return best.join(counts.hint("merge"), F.col(key) == F.col("_counted")).drop("_counted")
+
+
+def label_vectors(events: DataFrame, spec: EventSpec, row_col: str = "row") -> DataFrame:
+    """Vectors as the tables of this package hold them: file, row, x, y, split, class_folder."""
+    names = ["file", row_col, "label", "split", "class_folder"]
+    return vectorize(events, spec, names).select(
+        "file",
+        F.col(row_col).cast("long").alias("row"),
+        F.col("x").cast("array<double>").alias("x"),
+        F.col("label").cast("long").alias("y"),
+        "split",
+        "class_folder",
+    )

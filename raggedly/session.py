@@ -67,11 +67,17 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system that Spark itself uses for ``path``, and the path as it takes it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def clear_folders(spark: SparkSession) -> None:
     """Remove the intermediate results of this session, once its results have been taken."""
     for path in _made.pop(spark.sparkContext.applicationId, []):
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        fs, place = hadoop_path(spark, path)
+        fs.delete(place, True)
 
 
 def stored(df, name: str):

@@ -13,7 +13,7 @@ from ..functions.names import base_name, folder_name, plain_path
 from ..plans.spec import ClassList, EventSpec
 from .footers import PARQUET_GLOB, existing_folders, file_states, listing, literal_path
 
-__all__ = ["PARQUET_GLOB", "listing"]
+__all__ = ["listing"]
 
 
 def spec_schema(spec: EventSpec) -> T.StructType:

@@ -28,8 +28,9 @@ def read_vectors(
     split: str | None = None,
     class_folders: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Filters on split and class prune whole folders."""
-    df = spark.read.schema(VECTOR_SCHEMA).parquet(path)
+    """Filters on split and class prune whole folders; folders of batches may lie above them."""
+    columns = [f.split()[0] for f in VECTOR_SCHEMA.split(", ")]
+    df = spark.read.schema(VECTOR_SCHEMA).parquet(path).select(*columns)
     if split is not None:
         df = df.where(F.col("split") == split)
     if class_folders is not None:

@@ -9,14 +9,15 @@ from ..operators.catalog import build_catalog, class_totals
 from ..operators.feed import capped_scan
 from ..operators.mlp import baseline_predictions, mlp_baseline, mlp_score
 from ..operators.metrics import scored
-from ..operators.catalog import file_table
+from ..operators.jobs import apply_pending, vectorize_pending
 from ..operators.preprocess import Preprocessor, run
 from ..operators.splits import read_or_create_manifest
 from ..operators.vectorize import vectorize
 from ..plans.layout import raw_layout
 from ..plans.spec import ClassList, EventSpec, ObjectGroup, Treatment
-from ..session import fresh_folder, stored
+from ..session import fresh_folder, hadoop_path, stored
 from ..sources.events import with_label
+from ..sources.ledger import Ledger, Versions
 from ..sources.sinks import missing_outputs, read_vectors, write_vectors
 from ..streaming.incremental import (
     incremental_apply, incremental_vectorize, running_class_counts, stream_files,
@@ -36,14 +37,26 @@ def document_stream(spark, sf_dir):
     return stream_files(spark, f"{sf_dir}/documents.parquet", schema)
 
 
-@query("incremental_vectorize", ORACLES["jagged_vector"])
+LANGUAGES = ClassList(("de", "en", "es", "fr"))
+WORD_VECTORS = f"""SELECT j.*, 'src' AS split, d.lang AS class_folder, d.source AS file,
+    (list_position([{", ".join(f"'{n}'" for n in LANGUAGES.names)}], d.lang) - 1)::BIGINT AS y
+    FROM ({ORACLES["jagged_vector"]}) j JOIN documents d USING (doc_id)"""
+
+
+def document_events(spark, sf_dir):
+    """Documents as a stream of events: the language is the class, the source the file."""
+    events = word_events(document_stream(spark, sf_dir)).withColumn("split", F.lit("src"))
+    return with_label(events, LANGUAGES)
+
+
+@query("incremental_vectorize", WORD_VECTORS)
 def incremental_vectorize_query(spark, sf_dir):
     """Stream the document files once into a vector table; a second run adds nothing."""
-    out, checkpoint = fresh_folder(spark, "vectors"), fresh_folder(spark, "checkpoint")
+    ledger, checkpoint = Ledger(spark, fresh_folder(spark, "vectors")), fresh_folder(spark, "checkpoint")
     for _ in range(2):
-        events = word_events(document_stream(spark, sf_dir))
-        incremental_vectorize(events, WORD_SPEC, ["doc_id"], out, checkpoint)
-    return wide(spark.read.parquet(out), WORD_SPEC.width, ["doc_id"])
+        incremental_vectorize(document_events(spark, sf_dir), WORD_SPEC, ledger, checkpoint, "doc_id")
+    vectors = read_vectors(spark, f"{ledger.root}/vectors").withColumnRenamed("row", "doc_id")
+    return wide(vectors, WORD_SPEC.width, ["split", "class_folder", "file", "doc_id", "y"])
 
 
 # The declared classes under the folder names that a partitioned write gives them.
@@ -166,31 +179,106 @@ def fit_metadata(spark, sf_dir):
     )
 
 
-@query("vectorize_manifest", f"WITH {SPLIT}, {RAW} {PLACED}")
-def vectorize_manifest(spark, sf_dir):
-    """Shards, catalogue, manifest (made once, then read), scan by manifest, vectors with y."""
+# Stand-in files of this size are real shards in the queries below, with names of their own.
+SHARD_ROWS = 4096
+
+
+def by_shard(sql: str) -> str:
+    return sql.replace("'f' || (o_orderkey // 256)", f"'f' || (o_orderkey // {SHARD_ROWS}) || '.parquet'")
+
+
+def named_shards(spark, sf_dir):
+    """Order events as one Parquet file per stand-in file, under its name in the class folder."""
     base = fresh_folder(spark, "shards")
-    # Orders of one stand-in file and class are one shard.
-    order_events(spark, sf_dir).withColumn("shard", F.col("file")).repartition(
-        "class_folder", "shard"
-    ).write.partitionBy("class_folder", "shard").parquet(base)
-    back = spark.read.parquet(base)
-    files = stored(file_table(back, file="shard"), "files")
+    name = F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / SHARD_ROWS).cast("string"), F.lit(".parquet"))
+    events = order_events(spark, sf_dir).drop("file").withColumn("shard", name)
+    events.repartition("class_folder", "shard").write.partitionBy("class_folder", "shard").parquet(f"{base}/made")
+    fs, made = hadoop_path(spark, f"{base}/made")
+    for folder in fs.listStatus(made):
+        if folder.isDirectory():
+            here = folder.getPath()
+            fs.mkdirs(hadoop_path(spark, f"{base}/{here.getName()}")[1])
+            for shard in fs.listStatus(here):
+                (part,) = fs.listStatus(shard.getPath())
+                file = shard.getPath().getName().removeprefix("shard=")
+                fs.rename(part.getPath(), hadoop_path(spark, f"{base}/{here.getName()}/{file}")[1])
+    return base
+
+
+def shard_manifest(spark, base):
+    """Catalogue and manifest of the shards, under the folder names of a partitioned write."""
+    files = stored(build_catalog(spark, base, SHARDS).where("status = 'ok'"), "files")
+    # The split goes by class and file; SQL knows a class by its plain name.
     path = fresh_folder(spark, "manifest")
     for _ in range(2):
         manifest = read_or_create_manifest(spark, path, files, TARGETS, SEED, len(CLASSES.names))
-    chosen = with_label(back.drop("shard"), CLASSES).join(
-        manifest.where("split <> 'unused'").drop("n_rows"), ["class_folder", "file"]
+    return manifest
+
+
+def manifest_vectors(spark, ledger):
+    plain = F.regexp_replace("class_folder", "^class_folder=", "")
+    return read_back(ledger.vectors().withColumn("class_folder", plain))
+
+
+@query("vectorize_manifest", by_shard(f"WITH {SPLIT}, {RAW} {PLACED}"))
+def vectorize_manifest(spark, sf_dir):
+    """Shards, catalogue, manifest (made once, then read), scan by manifest, vectors with y."""
+    base = named_shards(spark, sf_dir)
+    ledger = Ledger(spark, fresh_folder(spark, "vectors"))
+    vectorize_pending(
+        spark, base, shard_manifest(spark, base), SHARDS, ORDER_SPEC, ledger, fresh_folder(spark, "bad-files"),
+        "o_orderkey", declared=False,
     )
-    out = fresh_folder(spark, "vectors")
-    vectors = vectorize(chosen, ORDER_SPEC, ["o_orderkey", "class_folder", "file", "label", "split"])
-    write_vectors(
-        vectors.select(
-            "file", F.col("o_orderkey").alias("row"), "x", F.col("label").alias("y"), "split", "class_folder"
-        ),
-        out,
+    return manifest_vectors(spark, ledger)
+
+
+@query(
+    "resumed_jobs",
+    by_shard(f"""WITH {SPLIT}, {RAW}, run AS (
+          SELECT split, class_folder, file, n_rows, CASE WHEN split = 'train' THEN 1 ELSE 2 END AS run
+          FROM manifest WHERE split <> 'unused')
+        SELECT 'vectorize' AS job, run, split, class_folder, count(*) AS n_files, sum(n_rows)::BIGINT AS n_rows
+        FROM run GROUP BY ALL
+        UNION ALL SELECT 'apply', run, split, class_folder, count(*), sum(n_rows)::BIGINT FROM run GROUP BY ALL
+        UNION ALL SELECT 'rows', 3, split, class_folder, count(DISTINCT file), count(*)
+        FROM raw JOIN manifest USING (class_folder, file) WHERE split <> 'unused' GROUP BY ALL"""),
+)
+def resumed_jobs(spark, sf_dir):
+    """Jobs run three times: the train split, all splits, all again. Each file is taken once.
+
+    By run and split, what the ledgers of vectors and of preprocessed rows hold, and at last the
+    preprocessed rows themselves.
+    """
+    base = named_shards(spark, sf_dir)
+    manifest = shard_manifest(spark, base)
+    vectors, applied = (Ledger(spark, fresh_folder(spark, n)) for n in ("vectors", "applied"))
+    plan, runs, model = Preprocessor(raw_layout(ORDER_SPEC), Treatment()), {}, None
+    for run_ in (1, 2, 3):
+        part = manifest.where("split = 'train'") if run_ == 1 else manifest
+        vectorize_pending(spark, base, part, SHARDS, ORDER_SPEC, vectors, None, "o_orderkey", declared=False)
+        model = model or plan.fit(vectors.vectors().where("split = 'train'"))
+        apply_pending(model, vectors, applied)
+        for job, ledger in (("vectorize", vectors), ("apply", applied)):
+            for r in ledger.finished().select("batch").distinct().collect():
+                runs.setdefault((job, r["batch"]), run_)
+    plain = F.regexp_replace("class_folder", "^class_folder=", "").alias("class_folder")
+    out = None
+    for (job, batch), run_ in runs.items():
+        ledger = vectors if job == "vectorize" else applied
+        one = (
+            ledger.finished().where(F.col("batch") == batch)
+            .groupBy("split", plain)
+            .agg(F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"))
+            .select(F.lit(job).alias("job"), F.lit(run_).alias("run"), "*")
+        )
+        out = one if out is None else out.unionByName(one)
+    rows = (
+        applied.vectors()
+        .groupBy("split", plain)
+        .agg(F.countDistinct("file").alias("n_files"), F.count("*").alias("n_rows"))
+        .select(F.lit("rows").alias("job"), F.lit(3).alias("run"), "*")
     )
-    return read_back(read_vectors(spark, out))
+    return out.unionByName(rows)
 
 
 @query(
@@ -239,9 +327,10 @@ def incremental_apply_query(spark, sf_dir):
 
 @query("running_class_counts", "SELECT lang, count(*) AS n_rows FROM documents GROUP BY 1")
 def running_class_counts_query(spark, sf_dir):
+    """The last published version of the counts."""
     path, checkpoint = fresh_folder(spark, "counts"), fresh_folder(spark, "checkpoint")
     running_class_counts(document_stream(spark, sf_dir), "lang", path, checkpoint)
-    return spark.read.parquet(path)
+    return Versions(spark, path).current()
 
 
 def rule_weights(n_in: int, n_out: int, salt: int):

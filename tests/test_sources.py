@@ -14,7 +14,6 @@ from raggedly.operators.vectorize import vectorize
 from raggedly.plans.spec import ClassList, EventSpec, ObjectGroup
 from raggedly.sources import events as E
 from raggedly.sources import sinks as K
-from raggedly.streaming import incremental as I
 
 SPEC = EventSpec(
     (ObjectGroup("obj", ("pt", "eta"), 2, count=True), ObjectGroup("met", ("met",), None))
@@ -256,34 +255,6 @@ def test_vector_sink_and_pending(spark, shards, tmp_path):
     assert {(r["split"], r["class_folder"]) for r in gaps} == {("val", "bkg")}
 
 
-def test_streams_take_each_file_once(spark, shards, tmp_path):
-    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
-
-    def run():
-        stream = I.stream_files(spark, f"{shards}/sig", E.spec_schema(SPEC), max_files=1)
-        I.incremental_vectorize(stream, SPEC, ["met"], out, checkpoint)
-        return spark.read.parquet(out).count()
-
-    assert run() == 60
-    assert run() == 60
-    write_shard(f"{shards}/sig/s3.parquet", 7)
-    assert run() == 67
-    batch = vectorize(E.scan(spark, f"{shards}/sig", schema=E.spec_schema(SPEC)), SPEC, ["met"])
-    assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, batch.collect()))
-
-
-def test_running_counts_stream(spark, shards, tmp_path):
-    def run(name):
-        stream = I.stream_files(spark, f"{shards}/sig", E.spec_schema(SPEC))
-        path = str(tmp_path / name)
-        I.running_class_counts(stream.withColumn("c", F.lit("sig")), "c", path, str(tmp_path / "cp"))
-        return spark.read.parquet(path).collect()[0]["n_rows"]
-
-    assert run("counts_one") == 60
-    write_shard(f"{shards}/sig/s3.parquet", 7)
-    assert run("counts_two") == 67
-
-
 def test_distinct_values_and_sinks(spark, shards, tmp_path):
     df = E.scan(spark, f"{shards}/sig")
     found = distinct_values(df, "pt")
