@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordering import shuffle_bucket, shuffle_key
 from ..plans.spec import ClassList, EventSpec
@@ -87,6 +92,114 @@ def shuffle_positions(df: DataFrame, row_id: Sequence[Column], seed: int = 42) -
     ).drop("_key")
 
 
+BUFFER_ROWS = 100_000
+
+
+def buffer_shuffle(
+    spark: SparkSession,
+    base_dir: str,
+    files: DataFrame,
+    classes: ClassList,
+    workers: int,
+    spec: EventSpec | None = None,
+    buffer_rows: int = BUFFER_ROWS,
+    seed: int = 42,
+    files_per_scan: int = 1,
+) -> DataFrame:
+    """Rows of ``files`` (class_folder, file) with ``worker`` and ``position``: shuffled with
+    bounded memory, without sorting or moving any row.
+
+    Files stand in seeded order and are dealt to ``workers`` in ranges. A worker is one task: it
+    reads its files one after another through a buffer. The first rows fill it; each further row
+    takes a slot drawn by a hash of seed, worker and the row's number, and what was there comes
+    out. At last the rest comes out in hashed order. A task that runs again draws the same.
+
+    Each scan gives a worker ``files_per_scan`` files; one keeps the seeded order file by file,
+    for many files several make a smaller plan, and stand in order of size within a scan. File
+    names pass through the driver, as a scan's file index does anyway. Turns off the session's
+    merging of equally partitioned unions, which would make one task of all workers.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    named = files.where(F.col("class_folder").isin(classes.class_folders))
+    order = shuffle_positions(named.select("class_folder", "file"), [F.col("class_folder"), F.col("file")], seed)
+    placed = [(r["class_folder"], r["file"]) for r in sorted(order.collect(), key=lambda r: r["position"])]
+    if not placed:
+        raise ValueError("no file of these classes")
+    share, out = -(-len(placed) // workers), None
+    for worker, start in enumerate(range(0, len(placed), share)):
+        mine, rows = placed[start : start + share], None
+        for i in range(0, len(mine), files_per_scan):
+            part = scan_files(spark, base_dir, mine[i : i + files_per_scan], classes, spec)
+            rows = part if rows is None else rows.unionByName(part)
+        rows = rows.coalesce(1).withColumn("worker", F.lit(worker))
+        out = rows if out is None else out.unionByName(rows)
+    schema = T.StructType([*out.schema.fields, T.StructField("position", T.LongType())])
+    return out.mapInArrow(_through_buffer(buffer_rows, seed), schema)
+
+
+def _draw(seed: int, worker: int, what: str) -> int:
+    return int(hashlib.md5(f"{seed}/{worker}/{what}".encode()).hexdigest()[:8], 16)
+
+
+def _through_buffer(size: int, seed: int):
+    def through(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer = None
+        for batch in batches:
+            workers = batch["worker"].to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(workers)) + 1).tolist(), batch.num_rows]
+            for a, b in pairwise(edges):
+                if b == a:
+                    continue
+                if buffer is None or buffer.worker != workers[a]:
+                    if buffer is not None:
+                        yield from buffer.rest()
+                    buffer = _Buffer(size, seed, int(workers[a]))
+                yield from buffer.take(batch.slice(a, b - a))
+        if buffer is not None:
+            yield from buffer.rest()
+
+    return through
+
+
+class _Buffer:
+    """Slots that say where in the rows held their row is; rows that have left are given up
+    when there are as many of them again."""
+
+    def __init__(self, size: int, seed: int, worker: int):
+        self.size, self.seed, self.worker = size, seed, worker
+        self.held, self.slots, self.seen, self.out = None, np.zeros(0, np.int64), 0, 0
+
+    def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        first = 0 if self.held is None else self.held.num_rows
+        rows = pa.Table.from_batches([batch])
+        self.held = rows if self.held is None else pa.concat_tables([self.held, rows])
+        places = np.arange(first, first + batch.num_rows)
+        filling = min(max(self.size - self.seen, 0), batch.num_rows)
+        self.slots = np.concatenate([self.slots, places[:filling]])
+        leaving = []
+        for t, place in enumerate(places[filling:].tolist(), self.seen + filling):
+            slot = _draw(self.seed, self.worker, str(t)) % self.size
+            leaving.append(self.slots[slot])
+            self.slots[slot] = place
+        self.seen += batch.num_rows
+        if leaving:
+            yield from self._numbered(np.array(leaving))
+        if self.held.num_rows > 2 * self.size + batch.num_rows:
+            self.held = self.held.take(pa.array(self.slots)).combine_chunks()
+            self.slots = np.arange(len(self.slots))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        slots = range(len(self.slots))
+        order = sorted(slots, key=lambda s: (_draw(self.seed, self.worker, f"end/{s}"), s))
+        yield from self._numbered(self.slots[order])
+
+    def _numbered(self, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        numbers = pa.array(np.arange(self.out, self.out + len(places)))
+        self.out += len(places)
+        rows = self.held.take(pa.array(places)).append_column("position", numbers)
+        yield from rows.combine_chunks().to_batches()
+
+
 def batches(
     df: DataFrame, row_id: Sequence[Column], size: int, seed: int = 42, drop_last: bool = False
 ) -> DataFrame:

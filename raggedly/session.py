@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -67,6 +68,23 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """``spark.sql`` settings for a while; ``__`` stands for a dot."""
+    names = {k: "spark.sql." + k.replace("__", ".") for k in values}
+    before = {k: spark.conf.get(names[k], None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(names[k])
+            else:
+                spark.conf.set(names[k], v)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """The file system that Spark itself uses for ``path``, and the path as it takes it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

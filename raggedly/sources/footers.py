@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import parquet as pq
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import base_name, folder_name, plain_path
-from ..session import stored
+from ..session import settings, stored
 
 PARQUET_GLOB = "*.parquet"
 #: A file that gives no rows is opened up to this size; an empty one is a footer and no more.
@@ -122,22 +121,6 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str):
-    names = {k: "spark.sql." + k.replace("__", ".") for k in values}
-    before = {k: spark.conf.get(names[k], None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(names[k], v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(names[k])
-            else:
-                spark.conf.set(names[k], v)
-
-
 def pushed_counts(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
     """``folder, n_rows``: not evaluated yet.
 
@@ -172,7 +155,7 @@ def footer_stats(
         raise FileNotFoundError(f"no class folder under {base_dir}")
     sources = spark.conf.get("spark.sql.sources.useV1SourceList", "")
     rest = ",".join(s for s in sources.split(",") if s and s != "parquet")
-    with _settings(spark, sources__useV1SourceList=rest, parquet__aggregatePushdown="true"):
+    with settings(spark, sources__useV1SourceList=rest, parquet__aggregatePushdown="true"):
         counts = stored(pushed_counts(spark, found), "footer-counts")
     if schema is None:
         return counts

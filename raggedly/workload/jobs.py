@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators.catalog import build_catalog, class_totals
-from ..operators.feed import capped_scan
+from ..operators.feed import buffer_shuffle, capped_scan
 from ..operators.mlp import baseline_predictions, mlp_baseline, mlp_score
 from ..operators.metrics import scored
 from ..operators.jobs import apply_pending, vectorize_pending
@@ -16,14 +16,15 @@ from ..operators.vectorize import vectorize
 from ..plans.layout import raw_layout
 from ..plans.spec import ClassList, EventSpec, ObjectGroup, Treatment
 from ..session import fresh_folder, hadoop_path, stored
-from ..sources.events import with_label
+from ..sources.events import listing, with_label
 from ..sources.ledger import Ledger, Versions
 from ..sources.sinks import missing_outputs, read_vectors, write_vectors
+from ..streaming.cap import append_capped
 from ..streaming.incremental import (
     incremental_apply, incremental_vectorize, running_class_counts, stream_files,
 )
 from .features import BLOCKS, EXPANDED, EXPANDED_SLOTS, RAW, normalized_sql, stats_sql
-from .files import GRID, SEED, SPLIT, TARGETS, used
+from .files import FILES, GRID, ORDERED, SEED, SPLIT, TARGETS, used
 from .registry import ORACLES, query
 from .tables import CLASSES, ORDER_SPEC, WORD_SPEC, order_events, table, wide, word_events
 
@@ -72,6 +73,35 @@ def class_shards(spark, sf_dir):
     return base
 
 
+# Stand-in files of this size are real shards in the queries below, with names of their own.
+SHARD_ROWS = 4096
+
+
+def by_shard(sql: str) -> str:
+    return sql.replace("'f' || (o_orderkey // 256)", f"'f' || (o_orderkey // {SHARD_ROWS}) || '.parquet'")
+
+
+def named_shards(spark, sf_dir, sort=False):
+    """Order events as one Parquet file per stand-in file, under its name in the class folder."""
+    base = fresh_folder(spark, "shards")
+    name = F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / SHARD_ROWS).cast("string"), F.lit(".parquet"))
+    events = order_events(spark, sf_dir).drop("file").withColumn("shard", name)
+    events = events.repartition("class_folder", "shard")
+    if sort:
+        events = events.sortWithinPartitions("class_folder", "shard", "o_orderkey")
+    events.write.partitionBy("class_folder", "shard").parquet(f"{base}/made")
+    fs, made = hadoop_path(spark, f"{base}/made")
+    for folder in fs.listStatus(made):
+        if folder.isDirectory():
+            here = folder.getPath()
+            fs.mkdirs(hadoop_path(spark, f"{base}/{here.getName()}")[1])
+            for shard in fs.listStatus(here):
+                (part,) = fs.listStatus(shard.getPath())
+                file = shard.getPath().getName().removeprefix("shard=")
+                fs.rename(part.getPath(), hadoop_path(spark, f"{base}/{here.getName()}/{file}")[1])
+    return base
+
+
 @query("catalog_totals", "SELECT o_orderpriority AS class_folder, count(*) AS n_rows FROM orders GROUP BY 1")
 def catalog_totals(spark, sf_dir):
     """Totals of a catalogue made from the shards' own footers."""
@@ -81,13 +111,41 @@ def catalog_totals(spark, sf_dir):
 
 @query(
     "capped_scan",
-    """SELECT o_orderpriority AS class_name, least(count(*), 1000) AS n_rows FROM orders GROUP BY 1""",
+    by_shard(f"""WITH {ORDERED}, seen AS (
+          SELECT o_orderkey, class_folder, file, c - n_rows AS before,
+                 row_number() OVER (PARTITION BY class_folder, file ORDER BY o_orderkey) AS r
+          FROM rows_ JOIN ordered USING (class_folder, file))
+        SELECT class_folder AS class_name, file, o_orderkey FROM seen WHERE before + r <= 1000"""),
 )
 def capped_scan_query(spark, sf_dir):
-    """A per-class cap on the shards: only the needed files are opened."""
-    base = class_shards(spark, sf_dir)
+    """A per-class cap on the shards: only the needed files are opened. Which rows they are."""
+    base = named_shards(spark, sf_dir, sort=True)
     rows = capped_scan(spark, base, SHARDS, build_catalog(spark, base, SHARDS), 1000)
-    return rows.groupBy("class_name").agg(F.countDistinct("o_orderkey").alias("n_rows"))
+    return rows.select("class_name", "file", "o_orderkey")
+
+
+STREAM_CAP = 1500
+
+
+@query(
+    "capped_stream",
+    f"""SELECT o_orderkey, class_folder, o_totalprice FROM (
+          SELECT *, o_orderpriority AS class_folder, row_number() OVER (
+            PARTITION BY o_orderpriority ORDER BY o_orderkey % 3, o_orderkey) AS r FROM orders)
+        WHERE r <= {STREAM_CAP}""",
+)
+def capped_stream_query(spark, sf_dir):
+    """A cap per class on a stream of orders that arrive in three parts, with a restart for each."""
+    source, out = fresh_folder(spark, "arrivals"), fresh_folder(spark, "capped")
+    checkpoint = fresh_folder(spark, "checkpoint")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("class_folder"), "o_totalprice"
+    )
+    for part in range(3):
+        orders.where(F.col("o_orderkey") % 3 == part).write.mode("append").parquet(source)
+        stream = stream_files(spark, source, orders.schema)
+        append_capped(stream, "class_folder", STREAM_CAP, ["o_orderkey"], out, checkpoint)
+    return spark.read.schema(orders.schema).parquet(out)
 
 
 LABELS = "list_position([" + ", ".join(f"'{n}'" for n in CLASSES.names) + "], class_folder) - 1"
@@ -179,32 +237,6 @@ def fit_metadata(spark, sf_dir):
     )
 
 
-# Stand-in files of this size are real shards in the queries below, with names of their own.
-SHARD_ROWS = 4096
-
-
-def by_shard(sql: str) -> str:
-    return sql.replace("'f' || (o_orderkey // 256)", f"'f' || (o_orderkey // {SHARD_ROWS}) || '.parquet'")
-
-
-def named_shards(spark, sf_dir):
-    """Order events as one Parquet file per stand-in file, under its name in the class folder."""
-    base = fresh_folder(spark, "shards")
-    name = F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / SHARD_ROWS).cast("string"), F.lit(".parquet"))
-    events = order_events(spark, sf_dir).drop("file").withColumn("shard", name)
-    events.repartition("class_folder", "shard").write.partitionBy("class_folder", "shard").parquet(f"{base}/made")
-    fs, made = hadoop_path(spark, f"{base}/made")
-    for folder in fs.listStatus(made):
-        if folder.isDirectory():
-            here = folder.getPath()
-            fs.mkdirs(hadoop_path(spark, f"{base}/{here.getName()}")[1])
-            for shard in fs.listStatus(here):
-                (part,) = fs.listStatus(shard.getPath())
-                file = shard.getPath().getName().removeprefix("shard=")
-                fs.rename(part.getPath(), hadoop_path(spark, f"{base}/{here.getName()}/{file}")[1])
-    return base
-
-
 def shard_manifest(spark, base):
     """Catalogue and manifest of the shards, under the folder names of a partitioned write."""
     files = stored(build_catalog(spark, base, SHARDS).where("status = 'ok'"), "files")
@@ -281,6 +313,35 @@ def resumed_jobs(spark, sf_dir):
     return out.unionByName(rows)
 
 
+BUFFER, WORKERS = 1000, 6
+
+
+@query(
+    "buffer_shuffle",
+    by_shard(f"""WITH {FILES}, shards AS (
+          SELECT *, row_number() OVER (ORDER BY md5('{SEED}/class_folder=' || class_folder || '/' || file)) - 1 AS place
+          FROM files),
+        dealt AS (SELECT *, place // ceil((SELECT count(*) FROM files) / {WORKERS})::BIGINT AS worker FROM shards),
+        arrived AS (
+          SELECT o_orderkey, worker, row_number() OVER (PARTITION BY worker ORDER BY place, o_orderkey) - 1 AS t
+          FROM rows_ JOIN dealt USING (class_folder, file)),
+        slots AS (
+          SELECT *, CASE WHEN t < {BUFFER} THEN t ELSE
+            ('0x' || md5('{SEED}/' || worker || '/' || t)[:8])::BIGINT % {BUFFER} END AS slot FROM arrived),
+        steps AS (SELECT *, lead(t) OVER (PARTITION BY worker, slot ORDER BY t) AS step FROM slots)
+        SELECT o_orderkey, worker::INTEGER AS worker, row_number() OVER (
+          PARTITION BY worker ORDER BY step NULLS LAST,
+            ('0x' || md5('{SEED}/' || worker || '/end/' || slot)[:8])::BIGINT, slot) - 1 AS "position"
+        FROM steps"""),
+)
+def buffer_shuffle_query(spark, sf_dir):
+    """Orders through a bounded buffer per worker; inside a shard they are in key order."""
+    base = named_shards(spark, sf_dir, sort=True)
+    files = listing(spark, [f"{base}/{f}" for f in SHARDS.class_folders])
+    rows = buffer_shuffle(spark, base, files, SHARDS, WORKERS, buffer_rows=BUFFER, seed=SEED)
+    return rows.select("o_orderkey", "worker", "position")
+
+
 @query(
     "missing_outputs",
     f"""WITH {SPLIT}, {GRID} SELECT split, class_folder FROM grid

@@ -163,7 +163,7 @@ def test_stats_come_from_footers(spark, shards):
     before = spark.conf.get("spark.sql.sources.useV1SourceList")
     write_shard(f"{shards}/sig/s9.parquet", 4, 900)
     rest = ",".join(s for s in before.split(",") if s != "parquet")
-    with footers._settings(spark, sources__useV1SourceList=rest, parquet__aggregatePushdown="true"):
+    with footers.settings(spark, sources__useV1SourceList=rest, parquet__aggregatePushdown="true"):
         plan = footers.pushed_counts(spark, [f"{shards}/sig"])._jdf.queryExecution().toString()
     assert "PushedAggregation: [COUNT(*)]" in plan
     assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
