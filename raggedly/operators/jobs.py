@@ -10,7 +10,7 @@ from ..session import fresh_folder, stored
 from ..sources.events import scan_manifest
 from ..sources.ledger import KEYS, Ledger
 from .prefix import bounded
-from .preprocess import PreprocessModel
+from .preprocess import PreprocessModel, seen_by
 from .vectorize import label_vectors
 
 
@@ -66,18 +66,29 @@ def vectorize_pending(
     return n
 
 
-def apply_pending(model: PreprocessModel, source: Ledger, out: Ledger) -> int:
-    """Preprocess the files that ``source`` has finished and ``out`` has not; their number.
+def apply_pending(model: PreprocessModel, source: Ledger, out: Ledger) -> dict:
+    """Preprocess the files that ``source`` has finished and ``out`` has not.
 
-    Only the batches that hold such files are read.
+    Only the batches that hold such files are read. What is returned is counted by the job that
+    writes: ``n_files``, ``n`` rows, ``n_nan`` rows with a NaN, and the sorted list of ``unknown``
+    categories. A strict plan fails with that whole list, and then nothing is added.
     """
     done = source.finished().select(*KEYS, "batch")
     todo = stored(out.pending(done), "pending")
     n = todo.count()
     if not n:
-        return 0
+        return {"n_files": 0, "n": 0, "n_nan": 0, "unknown": []}
     names = [r["batch"] for r in todo.select("batch").distinct().collect()]
     vectors = source.vectors().where(F.col("batch").isin(names))
     rows = vectors.join(bounded(todo.select(*KEYS, "batch"), n), [*KEYS, "batch"], "left_semi")
-    out.add(batch_name(todo), model.transform(rows.drop("batch")), todo)
-    return n
+    result, look = model.transform_observed(rows.drop("batch"))
+
+    seen = {"n_files": n, "n": 0, "n_nan": 0, "unknown": []}  # as it is without rows
+
+    def check() -> None:
+        seen.update(seen_by(look) or {})
+        if model.plan.strict and seen["unknown"]:
+            raise ValueError(f"values outside the categories: {', '.join(seen['unknown'])}")
+
+    out.add(batch_name(todo), result, todo, check)
+    return seen

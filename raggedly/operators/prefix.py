@@ -162,14 +162,18 @@ def first_n(
     return whole.unionByName(cut)
 
 
+COARSE_PIECES = 256
+
+
 def order_statistics(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     fractions: Mapping[str, float],
     lower: Sequence[str] = (),
-    pieces: Sequence[int] = (256, 1 << 20),
+    pieces: Sequence[int] = (COARSE_PIECES, 1 << 20),
     groups: int | None = None,
+    coarse: DataFrame | None = None,
 ) -> DataFrame:
     """Exact quantiles per group by linear interpolation, or the lower rank for ``lower``.
 
@@ -177,7 +181,8 @@ def order_statistics(
     then made inside these buckets only, and at last the distinct values of the few
     fine buckets are ranked. Each step combines before it shuffles, and none keeps a
     group's values in one place, unlike an exact ``percentile``. ``groups`` is an
-    upper bound of the number of groups, where the caller knows one.
+    upper bound of the number of groups, where the caller knows one. NaN and null values
+    take no part. ``coarse`` is the coarse histogram (``by``, ``_b``, ``_c``) where it is known.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
         *by, F.col(value).cast("double").alias("_v")
@@ -186,14 +191,14 @@ def order_statistics(
     levels = [float_bucket(F.col("_v"), p) for p in pieces] + [F.col("_v")]
 
     group = Window.partitionBy(*by)
+    if coarse is None:
+        coarse = rows.groupBy(*by, levels[0].alias("_b")).agg(F.count("*").alias("_c"))
     hist = (
-        rows.groupBy(*by, levels[0].alias("_b"))
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_n", F.sum("_c").over(group))
+        coarse.withColumn("_n", F.sum("_c").over(group))
         .withColumn("_base", _before(group))
     )
     targets = _holding(hist.withColumn("_t", F.array(*_ranks(fractions, lower))), by)
-    for coarse, fine in zip(levels, levels[1:]):
+    for wide, fine in zip(levels, levels[1:]):
         keys = [*by, "_k"]
         match = reduce(
             lambda a, b: a & b,
@@ -205,7 +210,7 @@ def order_statistics(
         )
         # ``_base`` and ``_t`` are the same for all rows of a coarse bucket.
         hist = (
-            rows.withColumn("_k", coarse)
+            rows.withColumn("_k", wide)
             .join(near, match)
             .groupBy(*keys, fine.alias("_b"))
             .agg(

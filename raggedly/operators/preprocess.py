@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalizers as N
@@ -22,10 +23,20 @@ STATS_SCHEMA = (
     "block string, kind string, mean double, std double, median double, iqr double, "
     "min double, max double, num_examples_fit long, num_features_expanded int"
 )
+FRACTIONS, LOWER = {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["q50"]
 ZERO_TO_ZERO = ("identity", "log1p", "trig")
 MODES = ("fit_only", "fit_and_apply", "apply_only")
 
 
+def seen_by(look: Observation) -> dict | None:
+    """What an observation has seen; None if Spark lost it, as it does where it finds out while
+    it runs that a part of the plan gives no rows, and leaves that part out."""
+    try:
+        return look.get
+    except Py4JJavaError:
+        return None
+
+
 class Preprocessor:
     """Estimator: learns one set of parameters per (group, feature family) block."""
 
@@ -115,7 +126,14 @@ class Preprocessor:
         return rows.select("block", (value if single else F.explode_outer(value)).alias("value"))
 
     def fit_stats(self, vectors: DataFrame) -> DataFrame:
-        """One row per block. Both aggregations combine before they shuffle."""
+        """One row per block. Both aggregations combine before they shuffle.
+
+        NaN and null values take no part in any fit; ``fit`` counts them.
+        """
+        return self._fit_stats(vectors, lambda values, _: values)
+
+    def _fit_stats(self, vectors: DataFrame, seen) -> DataFrame:
+        """``seen(values, name)`` may look on while the values pass."""
         spark = vectors.sparkSession
         declared = spark.createDataFrame(
             [(i, b, self.kinds[b]) for i, b in enumerate(self.blocks)],
@@ -127,7 +145,8 @@ class Preprocessor:
         if moments:
             v = F.col("value")
             stats = stats.join(
-                self.block_values(vectors, moments)
+                seen(self.block_values(vectors, moments), "moments")
+                .where(v.isNotNull() & ~F.isnan(v))
                 .groupBy("block")
                 .agg(
                     N.standard_mean(v).alias("mean"),
@@ -147,19 +166,22 @@ class Preprocessor:
         if "robust" in used:
             # The quantiles look at the values three times, at the vectors once.
             values = stored(
-                self.block_values(vectors, ["robust"]).where(F.col("value") != 0), "block-values"
+                seen(self.block_values(vectors, ["robust"]), "robust").where(F.col("value") != 0),
+                "block-values",
             )
             stats = stats.join(
                 order_statistics(
-                    values,
-                    ["block"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, lower=["q50"],
-                    groups=len(self.blocks),
+                    values, ["block"], "value", FRACTIONS, lower=LOWER, groups=len(self.blocks)
                 ),
                 "block",
                 "left",
             )
         else:
-            stats = stats.selectExpr("*", *[f"cast(null as double) {c}" for c in ("q25", "q50", "q75")])
+            stats = stats.selectExpr("*", *[f"cast(null as double) {c}" for c in FRACTIONS])
+        return self.stats_rows(stats)
+
+    def stats_rows(self, stats: DataFrame) -> DataFrame:
+        """The parameters that each block's kind needs, the others null."""
 
         def only(kind, column):
             return F.when(F.col("kind") == kind, column)
@@ -179,12 +201,49 @@ class Preprocessor:
         )
 
     def fit(self, vectors: DataFrame) -> PreprocessModel:
-        n = vectors.count()
+        """Fitted parameters; vectors and left-out values are counted by the jobs that fit."""
+        looks = {}
+
+        def seen(values: DataFrame, name: str) -> DataFrame:
+            v = F.col("value")
+            looks[name] = Observation()
+            return values.observe(looks[name], F.count_if(v.isNull() | F.isnan(v)).alias("n"))
+
+        fitted = set(self.kinds.values()) - {"none"}
+        counted = Observation()
+        rows = vectors.observe(counted, F.count(F.lit(1)).alias("n")) if fitted else vectors
+        # One row per block of the layout, so this is as small as the declaration.
+        stats = self._fit_stats(rows, seen).collect()
+        n = seen_by(counted) if fitted else None
+        n = vectors.count() if n is None else n["n"]
         if n == 0:
             raise ValueError("no rows to fit the normalization on")
-        # One row per block of the layout, so this is as small as the declaration.
-        rows = self.fit_stats(vectors).collect()
-        return PreprocessModel(self, {r["block"]: r.asDict() for r in rows}, n)
+        left_out = 0
+        for name, look in looks.items():
+            passed = seen_by(look)
+            if passed is None:
+                kinds = ["robust"] if name == "robust" else [k for k in fitted if k != "robust"]
+                v = F.col("value")
+                left_out += self.block_values(vectors, kinds).where(v.isNull() | F.isnan(v)).count()
+            else:
+                left_out += passed["n"]
+        return PreprocessModel(self, {r["block"]: r.asDict() for r in stats}, n, left_out)
+
+    def unknown_values(self) -> Column:
+        """Values of ``x`` outside their family's categories, as ``family=value``, of one row."""
+        found = []
+        for s in self.sections:
+            for place in range(len(s.columns) * s.slots):
+                family = family_of(s.columns[place % len(s.columns)])
+                if self.treatment.transform_of(family) == "onehot":
+                    value = F.get("x", F.lit(s.start + place))
+                    wrong = value.isNotNull() & ~F.coalesce(
+                        value.try_cast("int").isin([int(c) for c in self.treatment.categories[family]]),
+                        F.lit(False),
+                    )
+                    text = F.concat(F.lit(f"{family}="), value.cast("string"))
+                    found.append(F.when(wrong, text))
+        return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
     def load(self, spark: SparkSession, path: str) -> PreprocessModel:
         """Stored statistics; fails if they were fitted for another layout."""
@@ -202,6 +261,7 @@ class PreprocessModel:
     plan: Preprocessor
     stats: Mapping[str, Mapping]
     n_fit: int
+    n_left_out: int = 0
 
     def params(self) -> list[N.Affine]:
         per_block = {
@@ -213,6 +273,22 @@ class PreprocessModel:
         """Transforms and normalization of ``x``: a narrow map with literal parameters."""
         return self.plan.expand(vectors).withColumn("x", N.apply_affine(F.col("x"), self.params()))
 
+    def transform_observed(self, vectors: DataFrame) -> tuple[DataFrame, Observation]:
+        """``transform`` that does not end at the first unknown category, and what the job that
+        writes its result sees in passing: ``n`` rows, ``n_nan`` of them with a NaN, and the sorted
+        list of ``unknown`` categories (``family=value``), all of them."""
+        look = Observation()
+        x = F.col("x")
+        seen = vectors.withColumn("_unknown", self.plan.unknown_values()).observe(
+            look,
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.exists(x, lambda v: F.isnan(v))).alias("n_nan"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("_unknown")))).alias("unknown"),
+        )
+        lenient = Preprocessor(self.plan.sections, self.plan.treatment, strict=False)
+        model = PreprocessModel(lenient, self.stats, self.n_fit, self.n_left_out)
+        return model.transform(seen.drop("_unknown")), look
+
     def as_dict(self) -> dict:
         """The nested form users keep next to their data."""
         return {

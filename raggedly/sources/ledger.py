@@ -50,11 +50,14 @@ class Ledger:
             table = self.spark.createDataFrame([], f"{VECTOR_SCHEMA}, batch string")
         return table.where(F.col("batch").isin(names))
 
-    def add(self, batch: str, vectors: DataFrame, files: DataFrame | None = None) -> bool:
+    def add(
+        self, batch: str, vectors: DataFrame, files: DataFrame | None = None, check=None
+    ) -> bool:
         """Write the rows of a batch, then its files; False if the ledger has it already.
 
         ``files`` are those the batch took on, so that one without rows counts as finished;
-        by default the files that gave rows are.
+        by default the files that gave rows are. ``check()`` is called between the two: if it
+        raises, the batch is not there.
         """
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError(f"'{batch}' is no name of a folder")
@@ -62,6 +65,8 @@ class Ledger:
             return False
         path = f"{self.root}/vectors/batch={batch}"
         write_vectors(vectors, path, mode="overwrite")
+        if check is not None:
+            check()
         counts = (
             self.spark.read.schema(VECTOR_SCHEMA)
             .parquet(path)

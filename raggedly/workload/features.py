@@ -9,13 +9,14 @@ from ..functions.packing import first_of_list
 from ..functions.transforms import log1p_signed, one_hot, trig_phi, unknown_categories
 from ..operators.catalog import file_table
 from ..operators.prefix import bounded, order_statistics
+from ..operators.fitstate import FitState
 from ..operators.preprocess import Preprocessor, fit_sample, standardize_positions, unmasked_moments
 from ..operators.profile import distinct_values, histogram, long_features
 from ..operators.splits import greedy_split
 from ..operators.vectorize import vectorize
 from ..plans.layout import expanded_slots, raw_layout
 from ..plans.spec import Treatment
-from ..session import stored
+from ..session import fresh_folder, stored
 from .files import SEED, SPLIT, TARGETS
 from .registry import query
 from .tables import CLASSES, ORDER_SPEC, charge, item_features, order_events, table, wide, word_events
@@ -326,6 +327,17 @@ def block_stats(spark, sf_dir):
     return _stats_rows(Preprocessor(SECTIONS, TREATMENT).fit_stats(stored_vectors(spark, sf_dir)))
 
 
+@query("merged_block_stats", f"WITH {EXPANDED}, {stats_sql('expanded')} {STATS_OUT}")
+def merged_block_stats(spark, sf_dir):
+    """The fit of two halves of the files, one stored and extended by the other, made exact."""
+    plan, vectors = Preprocessor(SECTIONS, TREATMENT), stored_vectors(spark, sf_dir)
+    half = F.pmod(F.xxhash64("class_folder", "file"), F.lit(2)) == 0
+    path = fresh_folder(spark, "fit-state")
+    FitState.of(plan, vectors.where(half)).save(path)
+    state = FitState.load(spark, plan, path).merged(FitState.of(plan, vectors.where(~half)))
+    return _stats_rows(state.stats(exact_from=vectors))
+
+
 @query(
     "sample_block_stats",
     f"""WITH {SPLIT}, {EXPANDED}, sample_files AS (

@@ -91,10 +91,10 @@ def test_preprocessing_reads_the_batches_it_needs(spark, shards, ledger, tmp_pat
     jobs.vectorize_pending(spark, shards, first, CLASSES, SPEC, ledger)
     prep = Preprocessor(raw_layout(SPEC), Treatment())
     model = prep.fit(ledger.vectors())
-    assert jobs.apply_pending(model, ledger, out) == 2
-    assert jobs.apply_pending(model, ledger, out) == 0
+    assert jobs.apply_pending(model, ledger, out) == {"n_files": 2, "n": 10, "n_nan": 0, "unknown": []}
+    assert jobs.apply_pending(model, ledger, out)["n_files"] == 0
     jobs.vectorize_pending(spark, shards, manifest_of(spark, ("sig", "s1.parquet", "val")), CLASSES, SPEC, ledger)
-    assert jobs.apply_pending(model, ledger, out) == 1
+    assert jobs.apply_pending(model, ledger, out)["n"] == 20
     assert state(out) == {("s0.parquet", "train"): 10, ("b1.parquet", "val"): 0, ("s1.parquet", "val"): 20}
     want = model.transform(ledger.vectors()).select("file", "row", "x")
     assert sorted(map(str, out.vectors().select("file", "row", "x").collect())) == sorted(map(str, want.collect()))
@@ -175,3 +175,29 @@ def test_versions(spark, tmp_path):
     spark.range(50).write.parquet(f"{versions.root}/version={4:020d}")
     assert versions.current().count() == 4
     assert versions.publish(4, spark.range(7)) and versions.current().count() == 7
+
+
+def test_all_unknown_categories_in_one_list(spark, tmp_path):
+    from raggedly.plans.spec import EventSpec, ObjectGroup
+
+    spec = EventSpec((ObjectGroup("obj", ("X_A_Charge", "X_A_PT"), 2),))
+    rows = [([1.0, 7.0], [2.0, 1.0]), ([-3.9, 0.0], [3.0, 1.0]), ([5.5, 1.0], [float("nan"), 1.0]), ([7.2, -1.0], [4.0, 2.0])]
+    data = [(f"f{i}", i, c, p, "train", "sig", 0) for i, (c, p) in enumerate(rows)]
+    events = spark.createDataFrame(
+        data, "file string, row long, X_A_Charge array<double>, X_A_PT array<double>, split string, class_folder string, label long"
+    )
+    source = L.Ledger(spark, str(tmp_path / "in"))
+    source.add("a", label_vectors(events, spec))
+    bad = ["charge=-3.9", "charge=5.5", "charge=7.0", "charge=7.2"]
+    for strict in (True, False):
+        prep = Preprocessor(raw_layout(spec), Treatment(normalizers={}), strict=strict)
+        model = prep.fit(source.vectors())
+        out = L.Ledger(spark, str(tmp_path / f"out{strict}"))
+        if strict:
+            with pytest.raises(ValueError, match=", ".join(bad).replace(".", r"\.")):
+                jobs.apply_pending(model, source, out)
+            assert out.vectors().count() == 0 and out.finished().count() == 0
+        else:
+            seen = jobs.apply_pending(model, source, out)
+            assert (seen["n_files"], seen["n"], seen["n_nan"], seen["unknown"]) == (4, 4, 1, bad)
+            assert out.vectors().count() == 4

@@ -215,3 +215,15 @@ def test_a_fit_takes_the_whole_train_split_by_default(spark):
     rows = [("train" if i % 3 else "val", "c", f"f{i:02d}") for i in range(30)]
     df = spark.createDataFrame(rows, "split string, class_folder string, file string")
     assert fit_sample(df, ["c"]).count() == 20 and fit_sample(df, ["c"], 5).count() == 5
+
+
+@pytest.mark.parametrize("kind", ["standard", "robust", "minmax"])
+def test_nan_takes_no_part_in_any_fit(spark, kind):
+    nan = float("nan")
+    with_nan, _ = fit_values(spark, kind, [0, 1, nan, 2, 4, 10, nan])
+    without, _ = fit_values(spark, kind, [0, 1, 2, 4, 10])
+    a, b = (m.stats["g.other"] for m in (with_nan, without))
+    assert {k: v for k, v in a.items() if isinstance(v, str)} == {k: v for k, v in b.items() if isinstance(v, str)}
+    assert [a[k] for k in N.PARAMETERS[kind]] == pytest.approx([b[k] for k in N.PARAMETERS[kind]])
+    assert (with_nan.n_left_out, without.n_left_out) == (2, 0)
+    assert (with_nan.n_fit, without.n_fit) == (7, 5)
