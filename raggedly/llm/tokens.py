@@ -22,27 +22,34 @@ SLICE_BYTES = 8 << 20
 #: A space before more white space: there a byte-level text isn't cut, so it is encoded whole.
 UNSAFE = r" [\s\x0b\x{85}\p{Z}]|\x00"
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, bool], Encoder] = {}
 
 
 class Encoder:
     """``cut``: ``space`` (before a space and a character that is not white space; byte-level
-    pieces keep the space) or ``words`` (at ASCII white space, which the tokenizer drops)."""
+    pieces keep the space) or ``words`` (at ASCII white space, which the tokenizer drops).
 
-    def __init__(self, path: str, cut: str):
+    A special token's string in a text is that token, as the library has it by default; with
+    ``plain`` it is ordinary text. Texts with such a string are encoded whole."""
+
+    def __init__(self, path: str, cut: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        self.tokenizer.encode_special_tokens = plain
         self.cut, self.known = cut, {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, each text's followed by ``end``, and their numbers."""
+        whole = np.zeros(len(texts), bool)
+        for content in self.special:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         if self.cut == "words":
-            pieces, counts = split_words(texts)
+            pieces, counts = self._words(texts, whole)
         else:
-            pieces, counts = self._spaced(texts)
+            pieces, counts = self._spaced(texts, whole)
         coded = pieces.dictionary_encode()
         table, lengths = self._table(coded.dictionary.to_pylist())
         # The end of a text is one more piece, with one id of its own.
@@ -59,8 +66,19 @@ class Encoder:
         places += np.arange(bounds[-1], dtype=np.int32)
         return table[places], np.diff(bounds[stops], prepend=0)
 
-    def _spaced(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        unsafe = pc.match_substring_regex(texts, UNSAFE)
+    def _words(self, texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        if not whole.any():
+            return split_words(texts)
+        rest = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
+        pieces, counts = split_words(rest)
+        places = np.insert(
+            np.arange(len(pieces)), starts_of(counts)[whole], len(pieces) + np.arange(whole.sum())
+        )
+        counts[whole] = 1
+        return pa.concat_arrays([pieces, texts.filter(pa.array(whole))]).take(pa.array(places)), counts
+
+    def _spaced(self, texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        unsafe = pc.or_(pc.match_substring_regex(texts, UNSAFE), pa.array(whole))
         marked = pc.replace_substring(texts, " ", "\x00 ")
         # Letters or digits end before a sign in any case; so words meet again without it.
         marked = pc.replace_substring_regex(marked, r"([\p{L}\p{N}])([.,])", "\\1\x00\\2")
@@ -88,8 +106,9 @@ class Encoder:
         return np.frombuffer(b"".join(found), np.uint32), lengths
 
 
-def encoder(path: str, cut: str) -> Encoder:
+def encoder(path: str, cut: str, plain: bool = False) -> Encoder:
     """One encoder for each worker process."""
-    if (path, cut) not in _encoders:
-        _encoders[path, cut] = Encoder(path, cut)
-    return _encoders[path, cut]
+    key = path, cut, plain
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

@@ -16,22 +16,25 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     "", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n\nb c", "a\n b\t c", "It's they'll 's 'x ",
     "x\x00y z", "nb sp ace  x", "x 　y", "é é ́x ΑΣ ΣΑ İ ǅ ﬁ", "<|endoftext|> a <|endoftext|>",
+    "a<|endoftext|>", "x<|startoftext|>y  <|ENDOFTEXT|> <|endoftext|>z w", " <|startoftext|> ", "<|endoftext",
     "A1b2 C33 4d --==-- ... !!", "The the THE\n\tthe\x0bthe\x0cthe\rthe\x1cthe\x85the", "long word " * 4000, "y" * 9000, "日本 語 テキスト",
 ]
 
 
-def reference(path, end):
+def reference(path, end, plain=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if plain:
+        t.encode_special_tokens = True
     return [[*e.ids, end] for e in t.encode_batch(TEXTS, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("plain", [False, True])
 @pytest.mark.parametrize("path, cut", [(BYTES, "space"), (WORDS, "words")])
-def test_pieces_give_the_ids_of_whole_texts(path, cut):
-    enc = Encoder(path, cut)
+def test_pieces_give_the_ids_of_whole_texts(path, cut, plain):
+    enc = Encoder(path, cut, plain)
     for _ in range(2):  # the second time from memory
         ids, counts = enc.encode(pa.array(TEXTS), 2)
-        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == reference(path, 2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == reference(path, 2, plain)
     ids, counts = enc.encode(pa.array([], pa.string()), 2)
     assert len(ids) == len(counts) == 0
 
