@@ -76,6 +76,7 @@ MARK = re.compile(
     r"|<[/!?][^>]*+(?:>|\Z)|<[A-Za-z][^>]*+\Z",
     re.S,
 )
+TELLING = re.compile(r"class|id|role|hidden", re.I)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?")
 
 
@@ -253,21 +254,35 @@ def tokens_of(page: str) -> Iterator[tuple[int, str | None, Element | None, bool
                 if n and stack[n].name in targets:
                     yield from closed(n)
         up = stack[-1]
-        words, outside = _described(name, found[3], up)
-        path = _hash(f"{up.path} <{name} {words}")
-        yield path, None, None, name in BLOCKS
+        attributes = found[3] if TELLING.search(found[3]) else ""
+        element = _known.get((up.path, name, attributes))
+        if element is None:
+            words, outside = _described(name, attributes, up)
+            element = Element(
+                name,
+                _hash(f"{up.path} <{name} {words}"),
+                outside,
+                max(up.region, _region(name, words)),
+                up.link or name == "a",
+            )
+            if len(_known) < REMEMBERED:
+                _known[up.path, name, attributes] = element
+        yield element.path, None, None, name in BLOCKS
         if name in VOID:
             continue
         open_names[name] += 1
-        stack.append(
-            Element(name, path, outside, max(up.region, _region(name, words)), up.link or name == "a")
-        )
+        stack.append(element)
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = stop.start() if stop else end
     yield from closed(1)
 
 
+#: Elements by the path above, name and telling attributes; a bound of memory.
+REMEMBERED = 50_000
+_known: dict[tuple[int, str, str], Element] = {}
+
+
 def _hash(key: str) -> int:
     return xxhash.xxh3_64_intdigest(key.encode("utf-8", "replace")) >> 1 | 1  # no sign, never 0
 
@@ -277,7 +292,9 @@ def _described(name: str, attributes: str, up: Element) -> tuple[str, bool]:
     words, outside = [], up.outside or name in OUTSIDE or name == "header" and not up.region
     for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
         key = key.lower()
-        outside |= key == "hidden"
+        if key == "hidden":
+            words.append(key)
+            outside = True
         if key not in ("class", "id", "role"):
             continue
         parts = re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", value).lower())

@@ -148,6 +148,7 @@ def test_nulls_empty_and_repeated_rows(pages):
     ("<article>a <form>f</form><button>b</button><a href=x>link</a></article>", "a link"),
     ("<DIV CLASS=Cookie-Notice>n</DIV><P HIDDEN>h</P><P>T</P>", "T"),
     ("<p title='hidden'>a</p><p data-x=hidden aria-hidden=false>b</p><p class=is-hidden>c", "a b c"),
+    ("<div hidden><p>a</p></div><div><p>b</p></div><div hidden><p>c", "b"),
     ("</p></div>a</b>", "a"),
     ("<title>t<p>u", ""),
     ("<article></article>outside", "outside"),
