@@ -67,6 +67,22 @@ def test_held_out_accuracy(make, spark):
     assert (again.weights == model.weights).all() and (again.thresholds == model.thresholds).all()
 
 
+@pytest.mark.parametrize("n", [0, 200, 900])
+def test_grades_by_brute_force(make, spark, n):
+    """Every document's grade from the sum of its features' weights, one text at a time."""
+    texts, grades = toy(max(n, 3), seed=4)
+    labels = spark.createDataFrame(list(enumerate(grades[:n])), "doc_id long, grade int")
+    model = Q.train(make(list(enumerate(texts))), labels, F.col("grade"), 3)
+    rows = [*enumerate(texts), (10**6, "unseen words only"), (10**6 + 1, None)]
+    got = {r.doc_id: r for r in Q.grade_documents(make(rows), model).collect()}
+    for i, text in rows:
+        score = sum(model.weights[b] for b in Q.features(pa.array([text or ""])).buckets.tolist())
+        tails = 1 / (1 + np.exp(-(score - model.thresholds)))
+        assert got[i].tail == pytest.approx(tails[-1], rel=1e-4)
+        assert got[i].expected_grade == pytest.approx(tails.sum(), rel=1e-4)
+        assert got[i].kept == (not model.weights.any() or got[i].tail >= Q.LEAST_TAIL)
+
+
 def test_odd_rows(make, spark):
     texts, grades = toy(90)
     labels = spark.createDataFrame(list(enumerate(grades)), "doc_id long, grade int")

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from raggedly.llm.substrings import drop_repeated_passages, open_windows, recompress
+from raggedly.llm.substrings import choices, drop_repeated_passages, open_windows, recompress
 from raggedly.llm.tables import mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,8 +71,33 @@ def test_symbols_are_decided_by_their_span():
 
 def test_open_windows_end_with_their_text():
     s = recompress(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    none = np.zeros(0, np.int64)
-    assert open_windows(s, none, np.array([3, 0, 5]), 3).tolist() == [0, 3, 4, 5]
+    none, counts = np.zeros(0, np.int64), np.array([3, 0, 5])
+    # A window without a chosen name stays open.
+    assert open_windows(choices(s, none, counts, 3), none > 0, counts, 3).tolist() == [0, 3, 4, 5]
+
+
+def test_a_window_chooses_its_longest_symbol():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        counts = rng.integers(0, 40, 4)
+        words = mix(rng.integers(0, rng.choice([2, 6, 500]), counts.sum()).astype(np.uint64))
+        text = np.repeat(np.arange(4), counts)
+        s = recompress(words, text)
+        row = text[s.first]
+        long = np.diff(np.append(s.first, len(words))).tolist()
+        symbol, start = choices(s, row, counts, 9)
+        got = set(zip(start.tolist(), symbol.tolist()))
+        want = set()
+        for at in range(len(words)):
+            if (text[at : at + 9] == text[at]).all() and at + 9 <= len(words):
+                inside = [i for i in range(len(row)) if s.low[i] >= at and s.high[i] <= at + 9]
+                keys = {i: (-long[i], int(s.name[i]) >> 6) for i in inside}
+                want |= {(at, i) for i in inside if keys[i] == min(keys.values())}
+        assert got == want
+        alone = rng.random(len(row)) < 0.5
+        closed = {a for a, i in want if alone[i]}
+        fits = [a for a in range(len(words)) if a + 9 <= len(words) and text[a + 8] == text[a]]
+        assert open_windows((symbol, start), alone, counts, 9).tolist() == [a for a in fits if a not in closed]
 
 
 def test_null_id_is_the_largest(make):
