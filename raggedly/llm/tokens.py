@@ -43,9 +43,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, each text's followed by ``end``, and their numbers."""
-        whole = np.zeros(len(texts), bool)
-        for content in self.special:
-            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        whole = self._with_special(texts)
         if self.cut == "words":
             pieces, counts = self._words(texts, whole)
         else:
@@ -66,6 +64,19 @@ class Encoder:
         places += np.arange(bounds[-1], dtype=np.int32)
         return table[places], np.diff(bounds[stops], prepend=0)
 
+    def _with_special(self, texts: pa.Array) -> np.ndarray:
+        """Texts with the string of a special token; most have not even what all of them share."""
+        none = np.zeros(len(texts), bool)
+        if not self.special:
+            return none
+        rough = pc.match_substring(texts, os.path.commonprefix(self.special))
+        near = texts.filter(rough)
+        found = np.zeros(len(near), bool)
+        for content in self.special:
+            found |= pc.match_substring(near, content).to_numpy(zero_copy_only=False)
+        none[np.flatnonzero(rough.to_numpy(zero_copy_only=False))[found]] = True
+        return none
+
     def _words(self, texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         if not whole.any():
             return split_words(texts)
