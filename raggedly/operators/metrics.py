@@ -134,19 +134,21 @@ def with_start(curve: DataFrame) -> DataFrame:
     return start.unionByName(curve)
 
 
-def tpr_at_fpr(curve: DataFrame, target: float = 0.01) -> DataFrame:
+def tpr_at_fpr(
+    curve: DataFrame, target: float = 0.01, by: Sequence[str] = ("class",)
+) -> DataFrame:
     """TPR at a false-positive rate, linear between the neighbouring ROC points.
 
     ``curve`` may lack the start point: no point at or below the target means (0, 0).
     """
     point = F.struct("fpr", "tpr")
-    ends = curve.groupBy("class").agg(
+    ends = curve.groupBy(*by).agg(
         F.max(F.when(F.col("fpr") <= target, point)).alias("lo"),
         F.min(F.when(F.col("fpr") > target, point)).alias("hi"),
     )
     lo_f, lo_t = F.coalesce("lo.fpr", F.lit(0.0)), F.coalesce("lo.tpr", F.lit(0.0))
     rise = (F.col("hi.tpr") - lo_t) / (F.col("hi.fpr") - lo_f) * (target - lo_f)
-    return ends.select("class", (lo_t + F.coalesce(rise, F.lit(0.0))).alias("tpr"))
+    return ends.select(*by, (lo_t + F.coalesce(rise, F.lit(0.0))).alias("tpr"))
 
 
 def macro_tpr_at_fpr(curve: DataFrame, target: float = 0.01) -> DataFrame:

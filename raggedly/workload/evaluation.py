@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scoring import argmax, cross_entropy, softmax
+from ..operators import grid as G
 from ..operators import metrics as M
 from ..operators import runs as R
 from ..session import fresh_folder
@@ -143,6 +144,71 @@ def macro_tpr_at_fpr(spark, sf_dir):
     return out.withColumn("macro_tpr", F.round("macro_tpr", 6))
 
 
+BATCH = 100
+
+
+def grid_sql(by: str = "") -> str:
+    """Counts at every threshold of the grid, from scores as they are."""
+    n = G.THRESHOLDS - 1
+    return f"""{LOGITS},
+      placed AS (SELECT {by} class, floor(prob::FLOAT::DOUBLE * {n})::INTEGER AS place, label = class AS hit FROM p),
+      grid AS (
+        SELECT {by} class, i, i / {n}::DOUBLE AS threshold,
+               count(*) FILTER (WHERE hit AND place >= i) AS tp, count(*) FILTER (WHERE NOT hit AND place >= i) AS fp,
+               count(*) FILTER (WHERE hit) AS n_pos, count(*) FILTER (WHERE NOT hit) AS n_neg
+        FROM placed, range({n + 1}) r(i) GROUP BY ALL)"""
+
+
+@query(
+    "roc_grid",
+    f"""WITH {grid_sql()} SELECT class::INTEGER AS class, round(threshold, 6) AS threshold, tp, fp,
+        round(fp / nullif(n_neg, 0)::DOUBLE, 6) AS fpr, round(tp / nullif(n_pos, 0)::DOUBLE, 6) AS tpr FROM grid""",
+)
+def roc_grid(spark, sf_dir):
+    """ROC points on a fixed grid, from counts of two halves of the rows that are added up."""
+    rows = predictions(spark, sf_dir)
+    half = F.col("vec_id") % 2 == 0
+    parts = [G.grid_counts(M.scored(rows.where(h))) for h in (half, ~half)]
+    curve = G.grid_roc(G.merged_counts(*parts))
+    return curve.select("class", *[
+        F.round(c, 6).alias(c) if c in ("threshold", "fpr", "tpr") else F.col(c) for c in curve.columns[1:]
+    ])
+
+
+@query(
+    "auroc_grid",
+    f"""WITH {grid_sql()}, steps AS (
+          SELECT *, tp - coalesce(lead(tp) OVER w, 0) AS pos, fp - coalesce(lead(fp) OVER w, 0) AS neg FROM grid
+          WINDOW w AS (PARTITION BY class ORDER BY i))
+        SELECT class::INTEGER AS class,
+          round(sum(pos * (n_neg - fp + neg / 2.0::DOUBLE)) / (any_value(n_pos)::DOUBLE * any_value(n_neg)), 6) AS auroc
+        FROM steps GROUP BY class""",
+)
+def auroc_grid(spark, sf_dir):
+    return G.grid_auroc(G.grid_counts(scored(spark, sf_dir))).withColumn("auroc", F.round("auroc", 6))
+
+
+@query(
+    "batch_tpr_at_fpr",
+    f"""WITH {grid_sql("vec_id // " + str(BATCH) + " AS batch,").replace("SELECT vec_id // 100 AS batch, class, i", "SELECT batch, class, i")},
+        points AS (SELECT batch, class, fp / n_neg::DOUBLE AS fpr, tp / n_pos::DOUBLE AS tpr FROM grid
+                   WHERE n_pos > 0 AND n_neg > 0),
+        ends AS (SELECT batch, class, max((fpr, tpr)) FILTER (WHERE fpr <= 0.01::DOUBLE) AS lo,
+                        min((fpr, tpr)) FILTER (WHERE fpr > 0.01::DOUBLE) AS hi FROM points GROUP BY ALL),
+        at_ends AS (SELECT batch, coalesce(lo[1], 0) AS lf, coalesce(lo[2], 0) AS lt, hi[1] AS hf, hi[2] AS ht FROM ends)
+        SELECT batch, round(avg(lt + coalesce((ht - lt) / (hf - lf) * (0.01::DOUBLE - lf), 0)), 6) AS macro_tpr
+        FROM at_ends GROUP BY batch""",
+)
+def batch_tpr_at_fpr(spark, sf_dir):
+    """The metric of each batch by itself, as a training loop averages it."""
+    rows = predictions(spark, sf_dir).where(F.col("logits").isNotNull())
+    batch = F.floor(F.col("vec_id") / BATCH).alias("batch")
+    out = rows.select(
+        batch, F.col("label").cast("int").alias("label"), softmax(F.col("logits")).cast("array<float>").alias("probs")
+    )
+    return G.batch_tpr_at_fpr(out, "batch").withColumn("macro_tpr", F.round("macro_tpr", 6))
+
+
 METRICS = """metrics AS (
   SELECT 'class_class' || class || '_auc' AS name, auroc AS value FROM auc
   UNION ALL SELECT 'loss', avg(loss) FROM best
