@@ -6,9 +6,10 @@ left symbol joins a right one that follows it. Names are 64-bit hashes of what t
 for, so all tasks give the same name to the same symbol without asking each other.
 
 Beside its words every symbol keeps the span of words that decides it. Where these words
-stand again, the symbol stands again: a window of words that holds the whole span of a
-symbol that is named only once in the corpus cannot be repeated. All other windows are
-verified by 96-bit hashes of their words.
+stand again, the symbol stands again. So a window chooses the longest of the symbols whose
+whole span it holds; if no other window chooses its name it cannot be repeated. All other
+windows are verified by 96-bit hashes of their words; so names are hashes that no round of Spark deals
+out, and equality rests on hashes, not on a comparison of words.
 """
 
 from __future__ import annotations
@@ -99,16 +100,36 @@ def _pairs(name, first, low, high, text, k: int):
     return name[kept], first[kept], new_low[kept], new_high[kept], text[kept]
 
 
-def open_windows(symbols: Symbols, alone: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
-    """Starts of windows that hold no symbol of ``alone`` with all that decides it."""
+def choices(symbols: Symbols, row: np.ndarray, counts: np.ndarray, window: int):
+    """For each window the longest symbol it holds with all that decides it (of equally long
+    ones the least name), as two arrays: symbols and starts.
+
+    Equal windows hold the same such symbols, so they choose the same name: a window whose
+    name is chosen nowhere else is not repeated, and no other name need be known. Long symbols
+    are the rare ones.
+    """
+    begins = starts_of(counts)
+    from_ = np.maximum(symbols.high - window, begins[row])
+    to = np.minimum(symbols.low, (begins + counts)[row] - window)
+    at = np.flatnonzero((from_ <= to) & (symbols.high < NEVER) & (symbols.low > -NEVER))
+    sizes = (to - from_ + 1)[at]
+    symbol = np.repeat(at, sizes)
+    start = np.repeat(from_[at] - starts_of(sizes), sizes) + np.arange(int(sizes.sum()))
+    long = np.diff(np.append(symbols.first, counts.sum()))  # symbols lie side by side
+    short = (63 - np.minimum(long, 63)).astype(np.uint64) << np.uint64(58)
+    key = (short | symbols.name >> np.uint64(6))[symbol]
+    least = np.full(int(counts.sum()), np.iinfo(np.uint64).max)
+    np.minimum.at(least, start, key)
+    chosen = key == least[start]
+    return symbol[chosen], start[chosen]
+
+
+def open_windows(choice, alone: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """Starts of windows that choose no symbol whose name is ``alone``."""
+    symbol, start = choice
     n = int(counts.sum())
-    change = np.zeros(n + 1, np.int32)
-    begin = np.maximum(symbols.high[alone] - window, 0)
-    end = np.minimum(symbols.low[alone] + 1, n)
-    some = (begin < end) & (symbols.high[alone] < NEVER) & (symbols.low[alone] > -NEVER)
-    np.add.at(change, begin[some], 1)
-    np.add.at(change, end[some], -1)
-    free = np.cumsum(change[:-1]) == 0
+    free = np.ones(n, bool)
+    free[start[alone[symbol]]] = False
     ends = np.repeat(np.cumsum(counts), counts)
     return np.flatnonzero(free & (np.arange(n) + window <= ends))
 
@@ -189,7 +210,7 @@ def _name_symbols(window: int, rounds: int) -> Callable:
         for batch in steps(batches):
             rows = batch["_row"].to_numpy()
             _, counts, s, row, number = _parsed(batch, rounds)
-            useful = np.flatnonzero(s.high - s.low <= window)
+            useful = np.unique(choices(s, row, counts, window)[0])
             order, head = _first_of_equals(s.name[useful])
             size = np.bincount(head, minlength=len(order))
             first = np.flatnonzero(size > 0)
@@ -218,8 +239,7 @@ def _name_windows(window: int, rounds: int) -> Callable:
             found, in_row = _flat(batch["_found"])
             per_row = np.bincount(row, minlength=len(counts))
             alone[starts_of(per_row)[in_row] + found] = False
-            alone &= s.high - s.low <= window
-            at = open_windows(s, np.flatnonzero(alone), counts, window)
+            at = open_windows(choices(s, row, counts, window), alone, counts, window)
             a, b = window_hashes(words, at, window)
             begins = starts_of(counts)
             row = np.repeat(np.arange(len(counts)), counts)[at]
@@ -295,9 +315,10 @@ def drop_repeated_passages(
     left. Kept words are joined by one space.
 
     1. A text that is equal to one with a smaller id is repeated as a whole.
-    2. The other texts are recompressed. A task asks once for each name it has, however
-       often, and learns which names are repeated anywhere.
-    3. Windows without a name of their own are hashed; a task asks once for each, for its
+    2. The other texts are recompressed. Of the symbols that a window holds with all that
+       decides them it chooses the longest, as an equal window does. A task asks once for each
+       name that is chosen, however often, and learns which are chosen again anywhere.
+    3. Windows without such a name of their own are hashed; a task asks once for each, for its
        earliest place, and knows by itself that its other places are later.
     4. The covered words of each document are merged and cut.
 

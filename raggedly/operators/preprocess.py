@@ -291,6 +291,7 @@ class PreprocessModel:
 
     def as_dict(self) -> dict:
         """The nested form users keep next to their data."""
+        # Its keys.
         return {
             "block_group_stats": {
                 b: {p: self.stats[b][p] for p in N.PARAMETERS[self.plan.kinds[b]]}

@@ -61,6 +61,7 @@ def raw_layout(spec: EventSpec) -> list[Section]:
 
 def expanded_names(column: str, treatment: Treatment) -> list[str]:
     family = family_of(column)
+    # The endings of the names.
     kind = treatment.transform_of(family)
     if kind == "trig":
         return [f"{column}_sin", f"{column}_cos"]
@@ -97,6 +98,7 @@ def check_width(actual: int, sections: Sequence[Section]) -> None:
         raise ValueError(f"vector has {actual} features, the layout has {width(sections)}")
 
 
+# Fixed values in the next two: the keys of the stored forms.
 def summary(sections: Sequence[Section]) -> dict[str, dict[str, int]]:
     return {
         s.group: {"start": s.start, "end": s.end, "num_columns": len(s.columns)} for s in sections

@@ -9,6 +9,7 @@ def columns(group, *features):
     return [f"{VIEW}_{group}_{f}" for f in features]
 
 
+# Groups, columns and sizes of the worked example, and its widths below.
 EIGHTEEN_CLASSES = EventSpec.from_config(
     {
         "jets": {
