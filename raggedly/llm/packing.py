@@ -37,7 +37,7 @@ def cut_pieces(
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(tokenizer, cut).encode
-        for batch in steps(batches, most=SLICE_BYTES):
+        for batch in steps(batches, most=SLICE_BYTES // 2):
             ids, counts = encode_texts(batch["_text"], end)
             n = -(-counts // capacity)
             doc = np.repeat(np.arange(len(counts)), n)
