@@ -82,6 +82,8 @@ def steps(
             stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    # The worker goes on to other stages, which need the memory that Arrow keeps.
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
