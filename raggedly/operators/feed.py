@@ -93,6 +93,7 @@ def shuffle_positions(df: DataFrame, row_id: Sequence[Column], seed: int = 42) -
 
 
 BUFFER_ROWS = 100_000
+MOST_SCANS = 32  # of one file each, in one plan
 
 
 def buffer_shuffle(
@@ -107,17 +108,23 @@ def buffer_shuffle(
     files_per_scan: int = 1,
 ) -> DataFrame:
     """Rows of ``files`` (class_folder, file) with ``worker`` and ``position``: shuffled with
-    bounded memory, without sorting or moving any row.
+    bounded memory.
 
     Files stand in seeded order and are dealt to ``workers`` in ranges. A worker is one task: it
-    reads its files one after another through a buffer. The first rows fill it; each further row
+    takes its files one after another through a buffer. The first rows fill it; each further row
     takes a slot drawn by a hash of seed, worker and the row's number, and what was there comes
     out. At last the rest comes out in hashed order. A task that runs again draws the same.
 
-    Each scan gives a worker ``files_per_scan`` files; one keeps the seeded order file by file,
-    for many files several make a smaller plan, and stand in order of size within a scan. File
-    names pass through the driver, as a scan's file index does anyway. Turns off the session's
-    merging of equally partitioned unions, which would make one task of all workers.
+    Up to ``MOST_SCANS`` files are read by a scan each, without sorting or moving any row. A plan
+    of a scan for each of thousands of files is never done, and one scan reads files in an order
+    of its own; so more files are read by one scan, and an exchange with an external sort by file
+    and row brings each worker its rows. Rows and positions are the same either way. Without a
+    ``spec`` that scan takes the columns of one of the files.
+
+    With several ``files_per_scan`` there is no exchange for any number of files; they stand in
+    order of size within a scan. File names pass through the driver, as a scan's file index does
+    anyway. Turns off the session's merging of equally partitioned unions, which would make one
+    task of all workers.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     named = files.where(F.col("class_folder").isin(classes.class_folders))
@@ -125,7 +132,18 @@ def buffer_shuffle(
     placed = [(r["class_folder"], r["file"]) for r in sorted(order.collect(), key=lambda r: r["position"])]
     if not placed:
         raise ValueError("no file of these classes")
-    share, out = -(-len(placed) // workers), None
+    share = -(-len(placed) // workers)
+    if files_per_scan == 1 and len(placed) > MOST_SCANS:
+        out = _by_one_scan(spark, base_dir, placed, share, workers, classes, spec)
+    else:
+        out = _by_scans(spark, base_dir, placed, share, files_per_scan, classes, spec)
+    schema = T.StructType([*out.schema.fields, T.StructField("position", T.LongType())])
+    return out.mapInArrow(_through_buffer(buffer_rows, seed), schema)
+
+
+def _by_scans(spark, base_dir, placed, share, files_per_scan, classes, spec) -> DataFrame:
+    """A task per worker that reads its files itself."""
+    out = None
     for worker, start in enumerate(range(0, len(placed), share)):
         mine, rows = placed[start : start + share], None
         for i in range(0, len(mine), files_per_scan):
@@ -133,8 +151,21 @@ def buffer_shuffle(
             rows = part if rows is None else rows.unionByName(part)
         rows = rows.coalesce(1).withColumn("worker", F.lit(worker))
         out = rows if out is None else out.unionByName(rows)
-    schema = T.StructType([*out.schema.fields, T.StructField("position", T.LongType())])
-    return out.mapInArrow(_through_buffer(buffer_rows, seed), schema)
+    return out
+
+
+def _by_one_scan(spark, base_dir, placed, share, workers, classes, spec) -> DataFrame:
+    """A task per worker that gets the rows of its files in their order."""
+    places = spark.createDataFrame(
+        [(c, f, i // share, i) for i, (c, f) in enumerate(placed)],
+        "class_folder string, file string, _worker int, _place long",
+    )
+    rows = scan_files(spark, base_dir, sorted(set(placed)), classes, spec)
+    dealt = rows.join(bounded(places, len(placed)), ["class_folder", "file"])
+    # By the number itself: by its hash two workers would meet in one task.
+    sent = dealt.repartitionById(workers, F.col("_worker"))
+    ordered = sent.sortWithinPartitions("_worker", "_place", "row")
+    return ordered.select(*rows.columns, "_worker").withColumn("worker", F.col("_worker")).drop("_worker")
 
 
 def _draw(seed: int, worker: int, what: str) -> int:

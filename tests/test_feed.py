@@ -75,6 +75,34 @@ def test_shards_through_the_buffer(spark, shards, workers):  # noqa: F811
         feed.buffer_shuffle(spark, shards, files.where("class_folder = 'x'"), CLASSES, 2, SPEC)
 
 
+def test_many_files_through_the_buffer_by_one_scan(spark, tmp_path, monkeypatch):
+    base, names = str(tmp_path), [("sig", f"s {i}%.parquet") for i in range(34)] + [("bkg", f"s {i}%.parquet") for i in range(6)]
+    for i, (c, f) in enumerate(names):
+        write_shard(f"{base}/{c}/{f}", 0 if i == 5 else 3 + i % 7, 100 * i)
+    names.append(names[0])  # a name that comes twice is read twice
+    files = spark.createDataFrame(names, "class_folder string, file string")
+
+    def shuffled(workers):
+        rows = feed.buffer_shuffle(spark, base, files, CLASSES, workers, SPEC, buffer_rows=8, seed=3)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        taken = rows.select("worker", "position", "class_folder", "file", "row", "label", "met", "pt").collect()
+        return rows.schema, plan.count("parquet"), [tuple(r) for r in taken]
+
+    for workers in (6, 50):
+        schema, scans, got = shuffled(workers)
+        assert scans == 1
+        assert len(got) == len(set(r[:2] for r in got)) == sum(3 + i % 7 for i in [*range(40), 0] if i != 5)
+        by_worker = {w: [r[1] for r in got if r[0] == w] for w in {r[0] for r in got}}
+        assert all(p == list(range(len(p))) for p in by_worker.values())  # as they come out
+        if workers == 50:
+            continue
+        with monkeypatch.context() as one_by_one:
+            one_by_one.setattr(feed, "MOST_SCANS", len(names))
+            old_schema, old_scans, want = shuffled(workers)
+        assert old_scans == len(names) and [f.dataType for f in schema] == [f.dataType for f in old_schema]
+        assert schema.names == old_schema.names and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_a_cap_over_batches_and_restarts(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     schema = "c string, k long, l array<double>"
