@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..operators.splits import read_or_create_manifest
 from ..operators.vectorize import vectorize
 from ..plans.layout import raw_layout
 from ..plans.spec import ClassList, EventSpec, ObjectGroup, Treatment
-from ..session import fresh_folder, hadoop_path, stored
+from ..session import fresh_folder, hadoop_path, settings, stored
 from ..sources.events import listing, with_label
 from ..sources.ledger import Ledger, Versions
 from ..sources.sinks import missing_outputs, read_vectors, write_vectors
@@ -75,6 +77,7 @@ def class_shards(spark, sf_dir):
 
 # Stand-in files of this size are real shards in the queries below, with names of their own.
 SHARD_ROWS = 4096
+MOVERS = 8
 
 
 def by_shard(sql: str) -> str:
@@ -90,18 +93,39 @@ def named_shards(spark, sf_dir, sort=False):
     if sort:
         events = events.sortWithinPartitions("class_folder", "shard", "o_orderkey")
     events.write.partitionBy("class_folder", "shard").parquet(f"{base}/made")
-    fs, made = hadoop_path(spark, f"{base}/made")
-    for folder in fs.listStatus(made):
-        if folder.isDirectory():
-            here = folder.getPath()
-            fs.mkdirs(hadoop_path(spark, f"{base}/{here.getName()}")[1])
-            for shard in fs.listStatus(here):
-                (part,) = fs.listStatus(shard.getPath())
-                file = shard.getPath().getName().removeprefix("shard=")
-                fs.rename(part.getPath(), hadoop_path(spark, f"{base}/{here.getName()}/{file}")[1])
+    named_parts(spark, f"{base}/made", base)
     return base
 
 
+def named_parts(spark, made, base):
+    """Move the one file of each ``made/<class folder>/shard=<name>`` to ``base/<class folder>/<name>``.
+
+    The tasks list the folders, a slice each; the driver then asks for nothing but the moves, a
+    few at a time.
+    """
+    slices = str(4 * spark.sparkContext.defaultParallelism)
+    with settings(spark, sources__parallelPartitionDiscovery__parallelism=slices):
+        parts = [r["path"] for r in listing(spark, made, recursive=True).select("path").collect()]
+    fs, _ = hadoop_path(spark, base)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    moves = {}
+    for part in parts:
+        _, folder, shard, _ = part.rsplit("/", 3)
+        to = f"{base}/{folder}/{shard.removeprefix('shard=')}"
+        if to in moves:
+            raise ValueError(f"several files for {to}")
+        moves[to] = part
+    for folder in {to.rsplit("/", 1)[0] for to in moves}:
+        fs.mkdirs(path(folder))
+
+    def move(to):
+        if not fs.rename(path(moves[to]), path(to)):
+            raise OSError(f"{moves[to]} cannot be moved to {to}")
+
+    with ThreadPoolExecutor(MOVERS) as movers:
+        list(movers.map(move, moves))
+
+
 @query("catalog_totals", "SELECT o_orderpriority AS class_folder, count(*) AS n_rows FROM orders GROUP BY 1")
 def catalog_totals(spark, sf_dir):
     """Totals of a catalogue made from the shards' own footers."""
